@@ -9,8 +9,11 @@ from certjobs.llm.common import held_out, read_table, text_of
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text
+from certjobs.llm.licenses import LEAST, NOTICES, notices, scan_licenses
 from certjobs.llm.packing import pack
 from certjobs.llm.quality import fit_quality, score_quality
+from certjobs.llm.secrets import scan_secrets
+from certjobs.llm.substring_dedup import substring_dedup
 from certjobs.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -34,6 +37,73 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, owner, 'assign' AS kind, 0 AS ord, 12 AS l,
+         regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS a,
+         regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+         regexp_split_to_array(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gap FROM d
+  UNION ALL
+  SELECT doc_id, owner, 'access', 1, 18, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL
+  SELECT doc_id, owner, 'hex', 2, 16, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_split_to_array(t, '[0-9a-f]+') FROM d
+  UNION ALL
+  SELECT doc_id, owner, 'opaque', 3, 32, regexp_extract_all(t, '[A-Za-z0-9+/_=-]+', 0), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+', 0), regexp_split_to_array(t, '[A-Za-z0-9+/_=-]+') FROM d
+), e AS (
+  SELECT doc_id, owner, kind, ord, l, i, a[i] AS a, v[i] AS v, gap[i] AS gap FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)
+), pos AS (
+  SELECT *, sum(length(a) + length(gap)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM e
+), s AS (
+  SELECT doc_id, owner, kind, ord, CAST(stop - length(a) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, v FROM pos
+  WHERE length(v) >= l AND (kind <> 'opaque' OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')))
+), f AS (SELECT v, count(DISTINCT owner) AS owners FROM s GROUP BY v),
+j AS (SELECT s.*, owners FROM s JOIN f USING (v)),
+r AS (
+  SELECT doc_id,
+         count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind <> 'opaque') AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind <> 'opaque' OR owners <= 1) AS spans,
+         count(*) FILTER (kind <> 'opaque' AND owners <= 1) AS n_live, count(*) FILTER (kind <> 'opaque' AND owners > 1) AS n_copied
+  FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"), notices(spark))
+
+
+OP5_SQL = (
+    "WITH tpl(license_id, text) AS (VALUES "
+    + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(NOTICES.items()))
+    + r"""),
+tw AS (SELECT license_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tpl),
+tb AS (SELECT license_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS t FROM tw),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10))))) AS unit FROM documents),
+uw AS (SELECT doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u),
+ub AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS u FROM uw WHERE len(w) > 1 AND len(w) < 400),
+h AS (
+  SELECT doc_id, license_id, 2.0::DOUBLE * len(list_intersect(u, t)) / (len(u) + len(t)) AS score FROM ub CROSS JOIN tb
+), g AS (SELECT * FROM h WHERE score >= """
+    + str(LEAST)
+    + r""")
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, best_license, best_score FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses,
+         first(license_id ORDER BY score DESC, license_id) AS best_license, max(score) AS best_score
+  FROM g GROUP BY doc_id) USING (doc_id)
+"""
+)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -73,6 +143,23 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (g) WHERE least < doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
@@ -90,9 +177,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL}
