@@ -10,6 +10,7 @@ from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text
 from certjobs.llm.licenses import LEAST, NOTICES, notices, scan_licenses
+from certjobs.llm.near_dups import near_duplicates
 from certjobs.llm.packing import pack
 from certjobs.llm.quality import fit_quality, score_quality
 from certjobs.llm.secrets import scan_secrets
@@ -31,6 +32,10 @@ SELECT doc_id,
 FROM documents
 """
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -176,6 +181,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
