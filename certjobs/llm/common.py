@@ -102,10 +102,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, by_class: bool, chars: int, key: str = "doc_id") -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows outside the held-out fold, to fit a classifier on: (text, label) in a fixed
-    order. At most ``most`` rows (of each class, if ``by_class``), the first by a hash of their keys, and at most
-    ``chars`` code points of each. Only fitting uses it; scoring reads every row and whole texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, by_class: bool, chars: int, key: str = "doc_id") -> DataFrame:
+    """A bounded sample of labelled rows outside the held-out fold, to fit a classifier on: (k, t, y).
+
+    At most ``most`` rows (of each class, if ``by_class``), the first by a hash of their keys, and at most ``chars`` code
+    points of each. Only fitting uses it; scoring reads every row and whole texts."""
     usable = labels.filter(~held_out(key)).filter(F.col(key).isNotNull() & F.col(target).isin(0, 1)).groupBy(key).agg(F.max(target).alias("y"))
     order = [F.xxhash64(key), F.col(key)]
     if by_class:
@@ -113,6 +114,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int,
     else:
         chosen = usable.orderBy(*order).limit(most)
     # at most 2 * most keys and labels, so the broadcast is bounded
-    rows = docs.join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.substring(text_of(), 1, chars).alias("t"), "y").collect()
-    rows.sort(key=lambda r: (r["k"], r["t"]))
-    return [(r["t"], r["y"]) for r in rows]
+    return docs.join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.substring(text_of(), 1, chars).alias("t"), F.col("y").cast("int").alias("y"))

@@ -83,9 +83,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
 def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> CompressionScore:
     """Dictionaries from one half of a bounded labelled sample, the calibration from the other half, weighted so that
     the classes count as often as they are labelled. Without rows of both classes the score is a constant."""
-    sample = labelled_sample(docs, labels, target, rows, True, chars)
+    sample = sorted((r["k"], r["t"], r["y"]) for r in labelled_sample(docs, labels, target, rows, True, chars).collect())
     counts = {r[target]: r["count"] for r in labels.groupBy(target).count().collect() if r[target] in (0, 1)}  # two values
-    by = {c: [t for t, y in sample if y == c] for c in (0, 1)}
+    by = {c: [t for _, t, y in sample if y == c] for c in (0, 1)}
     if min(len(by[0]), len(by[1])) < 2:
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return CompressionScore(b"", b"", 0.0, math.log(share / (1 - share)))

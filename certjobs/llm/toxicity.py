@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.llm.common import labelled_sample, text_of
+from certjobs.llm.common import labelled_sample, text_of, written
 
 #: Labelled rows that the scorer is fitted on, and code points of each.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 20_000
-#: Documents of the sample that must hold a feature.
-LEAST_DOCS = 4
+#: Documents of the sample that must hold a feature: this many, and one in so many.
+LEAST_DOCS, LEAST_SHARE = 4, 1500
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (5, 6, 7, 8, 9)
 #: Restored tokens that a task remembers.
@@ -164,35 +164,58 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit_weights(rows: list[set[str]], y: np.ndarray, rounds: int = 300) -> tuple[dict[str, float], float]:
-    """Logistic regression on feature presence with a ridge, by Adam steps over the whole sample."""
-    docs, toxic = Counter(f for r in rows for f in r), Counter(f for r, t in zip(rows, y, strict=True) if t for f in r)
-    rate = max(0.02, 2.0 * float(y.mean()))
-    names = sorted(f for f, n in docs.items() if n >= LEAST_DOCS and (toxic[f] + 1) / (n + 2) > rate)
-    number = {f: k for k, f in enumerate(names)}
-    pairs = [(i, number[f]) for i, r in enumerate(rows) for f in sorted(r & number.keys())]
-    at, col = (np.array([p[k] for p in pairs], int) for k in (0, 1))
-    w, prior = np.zeros(len(names)), (float(y.sum()) + 1) / (len(y) + 2)
-    b, mean, var, mb, vb = float(np.log(prior / (1 - prior))), np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+def fit_weights(at: np.ndarray, col: np.ndarray, y: np.ndarray, wide: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge, by Adam steps over the whole sample: row ``at[i]`` has feature ``col[i]``."""
+    prior = (float(y.sum()) + 1) / (len(y) + 2)
+    w, mean, var = np.zeros(wide), np.zeros(wide), np.zeros(wide)
+    b, mb, vb = float(np.log(prior / (1 - prior))), 0.0, 0.0
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col], len(rows)) + b, -50, 50)))
-        g, gb = np.bincount(col, (p - y)[at], len(names)) / len(rows) + 1e-4 * w, float((p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col], len(y)) + b, -50, 50)))
+        g, gb = np.bincount(col, (p - y)[at], wide) / len(y) + 1e-4 * w, float((p - y).mean())
         mean, var, mb, vb = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= 0.05 * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
-    return {f: float(w[k]) for f, k in number.items() if w[k]}, b
+    return w, b
+
+
+def _featured(cost: np.ndarray):
+    """(k, t, y) -> (k, y, f): the features of the restored texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(cost)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                found = [sorted(features(decoder.restore(t.as_py()))) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(found, pa.list_(pa.string()))], ["k", "y", "f"])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """The character model from all of ``docs``; the scorer from a bounded sample of labelled rows, restored first.
-    Without labelled rows of both classes the score is a constant."""
+
+    Features are counted by Spark; those that enough documents hold, toxic ones about twice as often as all, go to the
+    driver. Without labelled rows of both classes the score is a constant."""
     cost = language_model(docs)
     sample = labelled_sample(docs, labels, target, rows, False, chars)
-    decoder, y = Decoder(cost), np.array([t for _, t in sample], float)
+    held = written(sample.mapInArrow(_featured(cost), "k string, y int, f array<string>"), "features")
+    known = held.select("k", "y").toArrow()  # at most ``rows``
+    y_of = dict(zip(known["k"].to_pylist(), known["y"].to_pylist(), strict=True))
+    keys = {k: i for i, k in enumerate(sorted(y_of))}
+    y = np.array([y_of[k] for k in keys], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel(cost, {}, float(np.log(share / (1 - share))))
-    return ToxicityModel(cost, *fit_weights([features(decoder.restore(t)) for t, _ in sample], y))
+    rate = max(0.02, 2 * float(y.mean()))
+    each = held.select("k", "y", F.explode("f").alias("f"))
+    least = max(LEAST_DOCS, len(y) // LEAST_SHARE)
+    counted = each.groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("t")).filter((F.col("n") >= least) & ((F.col("t") + 1) / (F.col("n") + 2) > rate))
+    pairs = each.join(counted, "f").select("k", "f").distinct().toArrow().sort_by([("k", "ascending"), ("f", "ascending")])
+    names = sorted(pc.unique(pairs["f"]).to_pylist())
+    at, col = (np.asarray(pc.index_in(pairs[c], pa.array(v, pa.string()))) for c, v in (("k", list(keys)), ("f", names)))
+    w, b = fit_weights(at, col, y, len(names))
+    return ToxicityModel(cost, {f: float(x) for f, x in zip(names, w, strict=True) if x}, b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score") -> DataFrame:
