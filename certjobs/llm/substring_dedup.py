@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.llm.common import attach, text_of
+from certjobs.llm.common import attach, text_of, written
 from certjobs.llm.frequent import among, frequent_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, signed, slices
 
@@ -49,13 +49,22 @@ def _own_anchors(window: int, size: int):
 
 
 def _emit_anchors(window: int, size: int, hot: np.ndarray):
-    """(d, h, text) -> (d, h, a, hot): the distinct anchors of each document."""
+    """(d, h, text) -> (d, h, a, hot): the distinct anchors of each document. Of equal texts that a task meets, only those with
+    a smaller key than all before them pass, so the one with the smallest key always does."""
     per_row = _own_anchors(window, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
         for batch in batches:
+            ds, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for d, h in zip(ds, hs, strict=True):
+                keep.append(d < least.get(h, d + 1))
+                if keep[-1]:
+                    least[h] = d
+            batch = batch.filter(pa.array(keep, pa.bool_()))
             d, h = (np.asarray(batch.column(c)) for c in (0, 1))
-            for w in slices(batch.column(2), NOT_SPACE, False):
+            for w in slices(batch.column(2), NOT_SPACE, False) if batch.num_rows else ():
                 each = [per_row(w, r) for r in range(w.rows)]
                 n, a = [len(x) for x in each], np.concatenate(each)
                 rows = slice(w.first, w.first + w.rows)
@@ -66,88 +75,95 @@ def _emit_anchors(window: int, size: int, hot: np.ndarray):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (d, h, a, hot) in order of a -> (d, h, a, large) of the anchors that two documents hold.
+def shared_hashes(by_text: bool):
+    """Rows (d, h, a, hot) in order of a -> (d, h, a, large) of the hashes ``a`` that two rows hold (two rows with different h,
+    if ``by_text``).
 
-    At most GROUP rows wait at a time: a group that outgrows them is large. Hot anchors are large without a look.
+    At most GROUP rows wait at a time: a group that outgrows them is large. Hot ones are large without a look.
     """
-    d, h, out = [], [], {"d": [], "h": [], "a": [], "large": []}
-    current, flushed = None, False
-
-    def put(ds, hs, a, large) -> None:
-        out["d"] += ds
-        out["h"] += hs
-        out["a"] += [a] * len(ds)
-        out["large"] += [large] * len(ds)
-
-    def close() -> None:
-        nonlocal d, h
-        if d and (flushed or len(d) > 1):
-            put(d, h, current, flushed)
-        d, h = [], []
-
-    def batch_of() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(out["d"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["a"], pa.int64()), pa.array(out["large"], pa.bool_())], list(out))
-        for v in out.values():
-            v.clear()
-        return made
-
-    for batch in batches:
-        hot = np.asarray(batch.column(3))
-        ds, hs, a = (np.asarray(batch.column(c)) for c in (0, 1, 2))
-        for x, y, z in zip(ds[hot].tolist(), hs[hot].tolist(), a[hot].tolist(), strict=True):
-            put([x], [y], z, True)
-        ds, hs, a = ds[~hot], hs[~hot], a[~hot]
-        if len(a):
-            # anchors of one row only, neither first nor last of the batch, are settled at once
-            edge = np.concatenate([[True], a[1:] != a[:-1], [True]])
-            alone = edge[:-1] & edge[1:]
-            alone[0] = alone[-1] = False
-            for x, y, z in zip(ds[~alone].tolist(), hs[~alone].tolist(), a[~alone].tolist(), strict=True):
-                if z != current:
-                    close()
-                    current, flushed = z, False
-                d.append(x)
-                h.append(y)
-                if len(d) > GROUP:
-                    put(d, h, z, True)
-                    d, h, flushed = [], [], True
-        if len(out["d"]) > 20_000:
-            yield batch_of()
-    close()
-    yield batch_of()
-
-
-RUNS = "a long, d long, h long, at int, large boolean, words string"
-
-
-def _runs(window: int, size: int):
-    """(d, h, text, shared, large) -> for each anchor occurrence the words of the windows it serves, as one run; for a
-    large anchor a run for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, h, out = [], [], {"d": [], "h": [], "a": [], "large": []}
+        current, flushed = None, False
+
+        def put(ds, hs, a, large) -> None:
+            out["d"] += ds
+            out["h"] += hs
+            out["a"] += [a] * len(ds)
+            out["large"] += [large] * len(ds)
+
+        def close() -> None:
+            nonlocal d, h
+            if d and (flushed or len(d) > 1 and (not by_text or len(set(h)) > 1)):
+                put(d, h, current, flushed)
+            d, h = [], []
+
+        def batch_of() -> pa.RecordBatch:
+            made = [pa.array(out[n], pa.int64()) for n in ("d", "h", "a")] + [pa.array(out["large"], pa.bool_())]
+            for v in out.values():
+                v.clear()
+            return pa.RecordBatch.from_arrays(made, list(out))
+
+        for batch in batches:
+            hot = np.asarray(batch.column(3))
+            ds, hs, a = (np.asarray(batch.column(c)) for c in (0, 1, 2))
+            if hot.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (ds, hs, a)] + [pa.array(np.ones(int(hot.sum()), bool))], list(out))
+            ds, hs, a = ds[~hot], hs[~hot], a[~hot]
+            if len(a):
+                # hashes of one row only, neither first nor last of the batch, are settled at once
+                edge = np.concatenate([[True], a[1:] != a[:-1], [True]])
+                alone = edge[:-1] & edge[1:]
+                alone[0] = alone[-1] = False
+                for x, y, z in zip(ds[~alone].tolist(), hs[~alone].tolist(), a[~alone].tolist(), strict=True):
+                    if z != current:
+                        close()
+                        current, flushed = z, False
+                    d.append(x)
+                    h.append(y)
+                    if len(d) > GROUP:
+                        put(d, h, z, True)
+                        d, h, flushed = [], [], True
+            if len(out["d"]) > 20_000:
+                yield batch_of()
+        close()
+        yield batch_of()
+
+    return run
+
+
+RUNS = "a long, d long, h long, at int, words string"
+
+
+def _runs(window: int, size: int, apart: bool):
+    """(d, h, text, shared) -> for each occurrence of a shared anchor the words of the windows it serves, as one run, or, if
+    ``apart``, as a run for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ds, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: dict[str, list] = {n: [] for n in ("a", "d", "h", "at", "large", "words")}
+            rows: dict[str, list] = {n: [] for n in ("a", "d", "h", "at", "words")}
             for w in slices(batch.column(2), NOT_SPACE, False):
                 for r in range(w.rows):
                     i, b = w.first + r, int(w.cuts[r])
                     at, g = anchors(w.hashes[b : w.cuts[r + 1]], window, size)
                     if not len(at):
                         continue
-                    shared = np.sort(np.array(batch.column(3)[i].as_py(), np.int64).view(np.uint64))
-                    large = np.sort(np.array(batch.column(4)[i].as_py(), np.int64).view(np.uint64))
+                    shared = np.sort(np.asarray(batch.column(3)[i].values).view(np.uint64))
                     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                     until = np.append(first[1:], len(at))
                     keys = g[at[first]]
                     chosen = np.flatnonzero(among(keys, shared))
-                    apart = among(keys, large)
-                    for k in chosen.tolist():
-                        s, e, a = int(first[k]), int(until[k]), int(signed(keys[k : k + 1])[0])
-                        for x, y in [(p, p + 1) for p in range(s, e)] if apart[k] else [(s, e)]:
-                            words = b" ".join(w.word(j) for j in range(b + x, b + y + window - 1))
-                            for name, value in zip(rows, (a, ds[i], hs[i], x, bool(apart[k]), words), strict=True):
-                                rows[name].append(value)
+                    if not len(chosen):
+                        continue
+                    own = [w.word(j) for j in range(b, int(w.cuts[r + 1]))]
+                    for s, e, a in zip(first[chosen].tolist(), until[chosen].tolist(), signed(keys[chosen]).tolist(), strict=True):
+                        for x, y in [(p, p + 1) for p in range(s, e)] if apart else [(s, e)]:
+                            rows["a"].append(a)
+                            rows["d"].append(ds[i])
+                            rows["h"].append(hs[i])
+                            rows["at"].append(x)
+                            rows["words"].append(b" ".join(own[x : y + window - 1]))
                 if len(rows["a"]) > 20_000:
                     yield _batch(rows)
             yield _batch(rows)
@@ -156,8 +172,8 @@ def _runs(window: int, size: int):
 
 
 def _batch(rows: dict[str, list]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-    made = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=False)] + [pa.array([x.decode() for x in rows["words"]], pa.string())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    made = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]
     out = pa.RecordBatch.from_arrays(made, list(rows))
     for v in rows.values():
         v.clear()
@@ -248,8 +264,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     window goes to the group of its anchor, and only groups that two documents share are looked at: their runs of words
     meet in one shuffle, where the suffixes of a group are sorted into the leaves of its subtree, whose nodes at
     depth ``window`` are the repeats. A group that outgrows memory is split by the longest prefix, the window
-    itself: then a minimum over each window, combined before its shuffle, takes the place of the sort. All reads of
-    the texts after the first share one exchange by key.
+    itself: then a minimum over each window, combined before its shuffle, takes the place of the sort. The joins of
+    texts with what was found about them share one exchange by key.
     """
     none = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
     rows = docs.select(none.alias("d"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
@@ -257,18 +273,20 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     marked = docs.select(none.alias("d"), F.xxhash64(text_of(text)).alias("h"), F.unhex(F.md5(text_of(text))).alias("c"))
     classes = marked.groupBy("c").agg(F.min("d").alias("rep"), F.count("*").alias("size"))
-    info = attach(marked, classes, ["c"], "size", ["d", "h"]).groupBy("d", "h").agg(F.min("rep").alias("rep"))
+    info = written(attach(marked, classes, ["c"], "size", ["d", "h"]).groupBy("d", "h").agg(F.min("rep").alias("rep")), "copies")
 
-    first = rows.join(info.filter("rep = d"), ["d", "h"]).select("d", "h", "text").dropDuplicates(["d", "h"])
-    emitted = first.mapInArrow(_emit_anchors(window, anchor, hot), "d long, h long, a long, hot boolean")
+    emitted = rows.mapInArrow(_emit_anchors(window, anchor, hot), "d long, h long, a long, hot boolean")
     dealt = emitted.withColumn("p", F.when(F.col("hot"), F.xxhash64("d", "h", "a")).otherwise(F.col("a")))
-    shared = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(_shared, "d long, h long, a long, large boolean")
-    per_doc = shared.groupBy("d", "h").agg(F.collect_list("a").alias("shared"), F.collect_list(F.when(F.col("large"), F.col("a"))).alias("large"))
+    held = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(shared_hashes(True), "d long, h long, a long, large boolean")
+    shared = written(held, "shared").join(info.filter("rep = d").select("d", "h"), ["d", "h"], "left_semi")
+
+    def runs(large: bool) -> DataFrame:
+        own = shared.filter(F.col("large") == large).groupBy("d", "h").agg(F.collect_list("a").alias("shared"))
+        return rows.join(own, ["d", "h"]).select("d", "h", "text", "shared").mapInArrow(_runs(window, anchor, large), RUNS)
 
-    runs = rows.join(per_doc, ["d", "h"]).select("d", "h", "text", "shared", "large").mapInArrow(_runs(window, anchor), RUNS)
-    small = runs.filter(~F.col("large")).repartition("a").sortWithinPartitions("a").mapInArrow(_trees(window), "d long, h long, at int")
+    small = runs(False).repartition("a").sortWithinPartitions("a").mapInArrow(_trees(window), "d long, h long, at int")
     spread = F.pmod(F.xxhash64("d", "h"), F.lit(SALTS)).cast("int")
-    windows = runs.filter("large").select("d", "h", "at", F.unhex(F.md5("words")).alias("w"), spread.alias("s"))
+    windows = runs(True).select("d", "h", "at", F.unhex(F.md5("words")).alias("w"), spread.alias("s"))
     starts = small.unionByName(_repeated(windows)).groupBy("d", "h").agg(F.collect_list("at").alias("starts"))
 
     joined = rows.join(info, ["d", "h"]).join(starts, ["d", "h"], "left").select("d", "h", "text", "rep", "starts")
