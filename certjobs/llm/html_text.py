@@ -51,29 +51,29 @@ def _aside(tag: str, attributes: str, inside: int) -> bool:
 
 
 def text_lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page without markup: a line for every block, as (text, characters of it inside links, in the article).
+    """The page without markup: a line for every block, as (text, its characters outside links and white space, in the article).
 
     A block of menus, forms, adverts and the like leaves one empty line.
     """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked, link, article, skip, depth, at = 0, 0, 0, "", 0, 0
+    plain, link, article, skip, depth, at = 0, 0, 0, "", 0, 0
     folded, last = page.lower(), {}  # the last end tag of each kind
 
     def close() -> None:
-        nonlocal linked
+        nonlocal plain
         line = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if line:
-            lines.append((line, linked, article > 0))
-        linked = 0
+            lines.append((line, plain, article > 0))
+        plain = 0
 
     def said(raw: str) -> None:
-        nonlocal linked
+        nonlocal plain
         if raw and not skip:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            linked += len(text) if link else 0
+            plain += 0 if link else len(_SPACE.sub("", text))
 
     n = len(page)
     while at < n:
@@ -123,7 +123,7 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, lines: int = LINES, dense: int = DENSE) -> str:
     """Text between the surge and the dive of the line-block distribution.
 
-    The weight of a line is its characters outside links; where the page marks an article, lines outside it weigh
+    The weight of a line is its characters outside links and white space; where the page marks an article, lines outside it weigh
     nothing. The weights of ``lines`` lines in a row are summed at every line. The text surges at the first line of the
     heaviest stretch of windows of at least ``dense`` characters, and dives where the windows fall below it; at both
     ends, lines without weight are left out. With a marked article the stretch is all of the article. A page whose
@@ -133,7 +133,7 @@ def main_text(page: str | None, lines: int = LINES, dense: int = DENSE) -> str:
     if not found:
         return ""
     marked = any(inside and text for text, _, inside in found)
-    weight = np.array([(len(t) - linked if not marked else len(t)) if (inside or not marked) else 0 for t, linked, inside in found])
+    weight = np.array([(len(t) if marked else plain) if (inside or not marked) else 0 for t, plain, inside in found])
     sums = np.convolve(weight, np.ones(lines, np.int64))[lines - 1 :] if len(weight) >= lines else np.cumsum(weight[::-1])[::-1]
     on = sums > 0 if marked else sums >= min(dense, int(sums.max()) or 1)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
