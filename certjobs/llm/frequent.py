@@ -34,7 +34,7 @@ def frequent_hashes(texts: DataFrame, kind: np.ndarray, lower: bool, per_row: Ca
             keys = both
             pending.clear()
             held = 0
-            if len(keys) > 4_000_000:  # lossy counting: what is far below the share goes
+            if len(keys) > 1_000_000:  # lossy counting: what is far below the share goes
                 keep = counts > max(1, rows * share / 4)
                 keys, counts = keys[keep], counts[keep]
 
@@ -45,7 +45,7 @@ def frequent_hashes(texts: DataFrame, kind: np.ndarray, lower: bool, per_row: Ca
                     h = per_row(w, r)
                     pending.append(h)
                     held += len(h)
-                if held > 2_000_000:
+                if held > 500_000:
                     fold()
         fold()
         keep = counts >= max(3, rows * share)

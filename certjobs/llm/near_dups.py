@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from certjobs.llm.common import attach, components, text_of, written
 from certjobs.llm.frequent import among, frequent_hashes
-from certjobs.llm.substring_dedup import NONE, _shared
+from certjobs.llm.substring_dedup import NONE, shared_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, mix, signed, slices, whole
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -233,16 +233,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     minima = first.select("d", F.posexplode("mins").alias("j", "v"))
     heads = minima.groupBy("j", "v").agg(F.min("d").alias("a"), F.count("*").alias("size")).filter("size > 1")
     star = attach(minima, heads, ["j", "v"], "size", ["d"]).filter("a < d").groupBy("a", F.col("d").alias("b")).agg(F.count("*").alias("k"))
-    edges = written(verify(written(star.filter(F.col("k") >= AGREEING).select("a", "b"), "star"), texts, size, least), "links")
+    asked = written(star.filter(F.col("k") >= AGREEING).select("a", "b"), "star")
+    edges = written(verify(asked, texts, size, least), "links")
     nodes = components(edges)
 
     held = first.select("d", "n", F.explode(F.concat(F.transform("pre", lambda x: F.struct(x.alias("a"), F.lit(False).alias("hot"))), F.transform("hot", lambda x: F.struct(x.alias("a"), F.lit(True).alias("hot"))))).alias("x"))
     dealt = held.select("d", F.col("n").cast("long").alias("h"), "x.a", "x.hot").withColumn("p", F.when(F.col("hot"), F.xxhash64("d", "a")).otherwise(F.col("a")))
-    shared = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(_shared, "d long, h long, a long, large boolean")
+    shared = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(shared_hashes(False), "d long, h long, a long, large boolean")
     shared = written(shared.select(F.col("a").alias("w"), "d", F.col("h").alias("n")).distinct(), "shared")
 
-    for all_pairs in (False, False, True):
-        found = written(verify(written(_candidates(shared, nodes, all_pairs, least), "candidates"), texts, size, least), "links")
+    tried = asked
+    for all_pairs in (False, True):
+        pairs = written(_candidates(shared, nodes, all_pairs, least).join(tried, ["a", "b"], "left_anti"), "candidates")
+        if pairs.isEmpty():
+            continue
+        tried = tried.union(pairs)
+        found = written(verify(pairs, texts, size, least), "links")
         if not found.isEmpty():
             edges = edges.union(found)
             nodes = components(edges)
