@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,28 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
+def pivots(texts: list[str], least: float) -> list[str]:
+    """Words of which any text that matches a template holds at least one.
+
+    A match shares at least ``least * (1 + least / (2 - least)) / 2`` of a template's bigrams. So, of any larger share of its
+    bigrams than the rest, one is in the text; for each template, words are chosen until the bigrams with them are that many, long
+    words first.
+    """
+    share = least * (1 + least / (2 - least)) / 2
+    chosen: set[str] = set()
+    for text in texts:
+        words = re.findall("[a-z0-9]+", text.lower())
+        left = set(zip(words, words[1:], strict=False))
+        most = len(left) * (1 - share) - 1e-9
+        missing = len(left) - sum(1 for b in left if chosen & set(b))
+        while left and len(left) - missing <= most:
+            open_ = {w: sum(w in b for b in left if not chosen & set(b)) for w in {x for b in left for x in b} - chosen}
+            best = max(open_, key=lambda w: (min(len(w), 6), open_[w], w))
+            chosen.add(best)
+            missing = len(left) - sum(1 for b in left if chosen & set(b))
+    return sorted(chosen)
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_matches`` (matching pairs of unit and template), ``licenses`` (their distinct
     template ids, sorted, comma-joined) and the best match (``best_license``, ``best_score``; ties by id), null if none.
@@ -72,8 +98,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, key: str = "doc_id", te
     )
     bytes_ = sized.agg(F.sum(F.octet_length(F.array_join("t", " ")) + 64).alias("b")).first()["b"] or 0
     small = F.broadcast(sized) if bytes_ <= BROADCAST_BYTES else sized
-    body = text_of(text)
-    units = docs.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(F.concat(F.array(body), F.split(body, "\n", -1)))).alias("unit"))
+    body, shown = text_of(text), docs
+    if bytes_ <= BROADCAST_BYTES:  # texts without any pivot word match nothing and are not taken apart
+        words = pivots([r["t"] for r in templates.select(text_of("text").alias("t")).collect()], least)
+        shown = docs.filter(reduce(or_, [F.contains(F.lower(body), F.lit(w)) for w in words], F.lit(False)))
+    units = shown.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(F.concat(F.array(body), F.split(body, "\n", -1)))).alias("unit"))
     met = units.select("doc_id", bigrams(F.col("unit")).alias("u")).withColumn("n", F.size("u")).join(small, "n")
     dice = (F.lit(2.0) * F.size(F.array_intersect("u", "t"))) / (F.col("n") + F.col("nt"))
     hits = met.select("doc_id", "license_id", dice.alias("score")).filter(F.col("score") >= least)
