@@ -27,27 +27,46 @@ SALTS = 64
 NONE = -(1 << 63)
 
 
-def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window: the ``size``-gram with the smallest hash in it (the first of equal ones).
-
-    Equal windows have equal anchors at equal places. Returns the position of each window's anchor and the grams' hashes.
-    """
+def anchors(hashes: np.ndarray, window: int, size: int) -> np.ndarray:
+    """The anchor of each window: the smallest hash of a ``size``-gram in it. Equal windows have equal anchors."""
     g = grams(hashes, size)
     inside = window - size + 1
     if len(g) < inside:
-        return np.empty(0, np.int64), g
-    seen = np.lib.stride_tricks.sliding_window_view(g, inside)
-    return np.arange(len(seen)) + seen.argmin(1), g
+        return np.empty(0, np.uint64)
+    least = g[: len(g) - inside + 1].copy()
+    for k in range(1, inside):
+        np.minimum(least, g[k : k + len(least)], out=least)
+    return least
+
+
+def _turns(a: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
 
 
 def _own_anchors(window: int, size: int):
     def per_row(w: Words, r: int) -> np.ndarray:
-        at, g = anchors(w.hashes[w.cuts[r] : w.cuts[r + 1]], window, size)
-        return np.unique(g[at])
+        a = anchors(w.hashes[w.cuts[r] : w.cuts[r + 1]], window, size)
+        return np.unique(a[_turns(a)])
 
     return per_row
 
 
+#: ASCII white space to blanks, byte by byte.
+_BLANKS = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
+
+
+def joined_words(w: Words, first: int, last: int, plain: bool) -> bytes:
+    """Words ``first`` to ``last`` of the slice, joined by one blank; ``plain`` says that one byte stands between any two."""
+    if plain:
+        return w.buf[w.starts[first] : w.ends[last]].tobytes().translate(_BLANKS)
+    return b" ".join([w.word(j) for j in range(first, last + 1)])
+
+
+def _is_plain(w: Words, a: int, b: int) -> bool:
+    return bool((w.starts[a + 1 : b] - w.ends[a : b - 1] == 1).all())
+
+
 def _emit_anchors(window: int, size: int, hot: np.ndarray):
     """(d, h, text) -> (d, h, a, hot): the distinct anchors of each document. Of equal texts that a task meets, only those with
     a smaller key than all before them pass, so the one with the smallest key always does."""
@@ -146,24 +165,21 @@ def _runs(window: int, size: int, apart: bool):
             for w in slices(batch.column(2), NOT_SPACE, False):
                 for r in range(w.rows):
                     i, b = w.first + r, int(w.cuts[r])
-                    at, g = anchors(w.hashes[b : w.cuts[r + 1]], window, size)
-                    if not len(at):
+                    keys = anchors(w.hashes[b : w.cuts[r + 1]], window, size)
+                    if not len(keys):
                         continue
+                    first = _turns(keys)
+                    until = np.append(first[1:], len(keys))
                     shared = np.sort(np.asarray(batch.column(3)[i].values).view(np.uint64))
-                    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                    until = np.append(first[1:], len(at))
-                    keys = g[at[first]]
-                    chosen = np.flatnonzero(among(keys, shared))
-                    if not len(chosen):
-                        continue
-                    own = [w.word(j) for j in range(b, int(w.cuts[r + 1]))]
-                    for s, e, a in zip(first[chosen].tolist(), until[chosen].tolist(), signed(keys[chosen]).tolist(), strict=True):
+                    chosen = np.flatnonzero(among(keys[first], shared))
+                    plain = _is_plain(w, b, int(w.cuts[r + 1]))
+                    for s, e, a in zip(first[chosen].tolist(), until[chosen].tolist(), signed(keys[first[chosen]]).tolist(), strict=True):
                         for x, y in [(p, p + 1) for p in range(s, e)] if apart else [(s, e)]:
                             rows["a"].append(a)
                             rows["d"].append(ds[i])
                             rows["h"].append(hs[i])
                             rows["at"].append(x)
-                            rows["words"].append(b" ".join(own[x : y + window - 1]))
+                            rows["words"].append(joined_words(w, b + x, b + y + window - 2, plain))
                 if len(rows["a"]) > 20_000:
                     yield _batch(rows)
             yield _batch(rows)
@@ -244,8 +260,11 @@ def _judge(window: int):
                         at = np.unique(np.array(starts[i].as_py(), np.int64))
                         gone[at] += 1
                         np.add.at(gone, at + window, -1)
-                    keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-                    rows.append((ds[i].as_py(), n, n - len(keep), b" ".join([w.word(a + j) for j in keep.tolist()]).decode()))
+                    keep = np.cumsum(gone[:-1]) == 0
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+                    plain = n > 0 and _is_plain(w, a, b)
+                    text = b" ".join([joined_words(w, a + x, a + y - 1, plain) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                    rows.append((ds[i].as_py(), n, n - int(keep.sum()), text.decode()))
                 cols = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], JUDGED.names)
