@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is never text of the page.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+#: Those of them that swallow the rest of a page where they are never closed.
+_UNPARSED = {"script", "style", "textarea", "title", "iframe"}
 #: Elements that hold menus, forms and the like.
 _ASIDE = {"head", "nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "select", "fieldset"}
 #: Words in class, id or role attributes that say the same.
@@ -38,43 +41,104 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _NEVER = {"html", "body", "article", "main"}
 
 
-def _aside(tag: str, attributes: str, inside: int) -> bool:
+#: What a start tag ends, and what may stand between: end tags of list items, definitions, cells and paragraphs are optional.
+_CELLS, _ROWS, _BODIES = {"td", "th"}, {"tr"}, {"tbody", "thead", "tfoot"}
+_ENDS = (
+    {"li": ({"li"}, None), "option": ({"option"}, None)} | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, None)) | dict.fromkeys(_CELLS, (_CELLS, {"table"}))
+    | {"tr": (_CELLS | _ROWS, {"table"})} | dict.fromkeys(_BODIES, (_CELLS | _ROWS | _BODIES, {"table"}))
+)
+_OPTIONAL = {"p", *_ENDS}
+_BETWEEN = {"div", "p", "address"} | _INLINE
+_TABLE = {"table", "caption"} | _CELLS | _ROWS | _BODIES
+_BLOCKS = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+}
+
+
+def _aside(tag: str, attributes: str, inside: int) -> int:
+    """Whether an element holds menus and the like: 2 by its tag or a whole word of its attributes, 1 by a part of a word."""
     if tag in _VOID or tag in _NEVER and not (tag == "article" and inside):
-        return False
+        return 0
     if tag in _ASIDE and not (tag == "header" and inside):
-        return True
-    for m in _MARKS.finditer(attributes):
-        for word in m[1].strip("\"'").lower().split():
-            if word in _NAMES or _NAMES.intersection(re.split(r"[-_]+", word)):
-                return True
-    return False
+        return 2
+    words = [w for m in _MARKS.finditer(attributes) for w in m[1].strip("\"'").lower().split()]
+    if not _NAMES.isdisjoint(words):
+        return 2
+    return int(any(not _NAMES.isdisjoint(re.split(r"[-_]+", w)) for w in words))
+
+
+def _left_by_start(tag: str, stack: list[str]) -> int:
+    """How many of the open elements stay open when ``tag`` starts."""
+    n = len(stack)
+    if tag in _ENDS:
+        ended, barrier = _ENDS[tag]
+        for i in range(n - 1, -1, -1):
+            if stack[i] in ended:
+                while i and stack[i - 1] in ended:
+                    i -= 1
+                return i
+            if (stack[i] in barrier) if barrier else (stack[i] not in _BETWEEN):
+                break
+    if tag in _BLOCKS:
+        i = n
+        while i and stack[i - 1] in _INLINE:
+            i -= 1
+        if i and stack[i - 1] == "p":
+            return i - 1
+    return n
+
+
+def _left_by_end(tag: str, stack: list[str]) -> int:
+    """How many of the open elements stay open after the end tag of ``tag``; a surplus one ends nothing."""
+    n = len(stack)
+    for i in range(n - 1, -1, -1):
+        if stack[i] == tag:
+            return i
+        if stack[i] not in _INLINE if tag in _INLINE else stack[i] in _TABLE and tag not in _TABLE and tag not in _NEVER:
+            break
+    return n
 
 
 def text_lines(page: str) -> list[tuple[str, int, bool]]:
     """The page without markup: a line for every block, as (text, its characters outside links and white space, in the article).
 
-    A block of menus, forms, adverts and the like leaves one empty line.
+    A block of menus, forms, adverts and the like leaves one empty line. A block that only a part of a class word tells to
+    be one ("has-sidebar") stays if it holds the page's main element or its first article; without an article its
+    first h1, and without that more than half of its text.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, int, int]] = []  # and the group it is in, the group whose place it holds
     parts: list[str] = []
-    plain, link, article, skip, depth, at = 0, 0, 0, "", 0, 0
+    plain, link, article, skip, at = 0, 0, 0, -1, 0  # skip: the open elements outside the skipped one
     folded, last = page.lower(), {}  # the last end tag of each kind
+    stack: list[str] = []
+    opened: Counter[str] = Counter()
+    groups: list[tuple[int, int, int]] = []  # the open ones: number, open elements and articles outside
+    n_groups, held = 0, {}  # the groups around the first main, article and h1
 
     def close() -> None:
         nonlocal plain
         line = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if line:
-            lines.append((line, plain, article > 0))
+            lines.append((line, plain, article > 0, groups[-1][0] if groups else 0, 0))
         plain = 0
 
     def said(raw: str) -> None:
         nonlocal plain
-        if raw and not skip:
+        if raw and skip < 0:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             plain += 0 if link else len(_SPACE.sub("", text))
 
+    def leave(left: int) -> None:
+        nonlocal article
+        opened.subtract(stack[left:])
+        del stack[left:]
+        while groups and len(stack) <= groups[-1][1]:
+            close()
+            article = min(article, groups.pop()[2])
+
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -86,28 +150,53 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1])
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-            continue
+        closing, single = bool(m[1]), m[3].endswith("/")
         if not closing and tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag not in _INLINE:
                 close()
-            at = end.end() if end else n
+            if not (single and tag in ("svg", "math")):
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if last.setdefault(tag, folded.rfind(f"</{tag}")) >= at else None
+                if end or tag in _UNPARSED:
+                    at = end.end() if end else n
             continue
-        if not closing and not m[3].endswith("/") and _aside(tag, m[3], article):
-            if tag not in last:
-                last[tag] = folded.rfind(f"</{tag}")
+        if closing:
+            left = _left_by_end(tag, stack) if opened[tag] > 0 else len(stack)
+        else:
+            left = _left_by_start(tag, stack)
+        own = left == skip and closing and stack[left] == tag
+        if left < len(stack):
+            leave(left)
+        if skip >= 0:
+            if left <= skip:
+                skip = -1
+            if own:
+                continue
+        opens = not closing and not single and tag not in _VOID
+        if skip >= 0:
+            if opens:
+                stack.append(tag)
+                opened[tag] += 1
+            continue
+        kind = _aside(tag, m[3], article) if opens else 0
+        if kind and (tag in _OPTIONAL or last.setdefault(tag, folded.rfind(f"</{tag}")) >= at):
             close()
-            if last[tag] < at:  # never closed: only its tag is left out
+            if kind == 2 or tag in _INLINE:
+                lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, 0))
+                skip = len(stack)
+                stack.append(tag)
+                opened[tag] += 1
                 continue
-            lines.append(("", 0, article > 0))
-            skip, depth = tag, 1
+            n_groups += 1
+            lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, n_groups))
+            groups.append((n_groups, len(stack), article))
+        elif kind:  # never closed: only its tag is left out
+            close()
             continue
+        if opens:
+            stack.append(tag)
+            opened[tag] += 1
+            if tag in ("main", "article", "h1"):
+                held.setdefault(tag, [g for g, _, _ in groups])
         if tag == "a":
             link = 0 if closing else 1
         if tag == "br":
@@ -117,7 +206,17 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             if tag in ("article", "main"):
                 article = max(0, article + (-1 if closing else 1))
     close()
-    return lines
+    if not n_groups:
+        return [x[:3] for x in lines]
+    keep = {0, *held.get("main", ()), *held.get("article", held.get("h1", ()))}
+    if "article" not in held and "h1" not in held:
+        inside, parent = [0] * (n_groups + 1), {x[4]: x[3] for x in lines if x[4]}
+        for _, k, _, g, _ in lines:
+            inside[g] += k
+        for g in range(n_groups, 0, -1):
+            inside[parent[g]] += inside[g]
+        keep |= {g for g in parent if 2 * inside[g] > inside[0]}
+    return [x[:3] for x in lines if x[3] in keep and (not x[4] or x[4] not in keep)]
 
 
 def main_text(page: str | None, lines: int = LINES, dense: int = DENSE) -> str:

@@ -14,7 +14,7 @@ from certjobs.llm import words as words_
 from certjobs.llm.common import components
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
-from certjobs.llm.html_text import extract_text, main_text
+from certjobs.llm.html_text import extract_text, main_text, text_lines
 from certjobs.llm.licenses import notices, scan_licenses
 from certjobs.llm.near_dups import near_duplicates
 from certjobs.llm.packing import Ids, pack, powers, tokenizer_files
@@ -205,6 +205,25 @@ def test_html(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, "", 0), (2, "", 0), (3, "unclosed x", 10)]
 
 
+PROSE = "A long paragraph of prose that says enough to be text, and then some more of it."
+
+
+def test_html_text_behind_skipped_blocks():
+    for block in (
+        "<div class=ad><script>document.write('<div>')</script>Buy</div>", "<p class=ad>Buy", "<ul><li class=share>Buy</ul>", "<ul><li class=share>Buy<li>One.</ul>", "<dl><dt class=ad>Buy<dd>One.</dl>",
+        "<table><tr class=ad><td>Buy<tr><td>One.</table>", "<table><tr><td class=ad>Buy<td>One.</table>", "<svg class=x />", "<math/>", "<canvas>", "<nav><ul><li>Buy<li>Buy</ul></nav>", '<p><span class="ad">Buy</p><p><span>One.</span>',
+        "<section><div class=ad>Buy</section>", '<div class="ad-box"><p>Buy</div>',
+    ):
+        one = ["One."] if "One." in block else []
+        for tail in (f"<p>{PROSE}</p>" * 3, f"<p>{PROSE}<ul><li>{PROSE}</ul><div>{PROSE}</div>"):
+            assert main_text(f"<article><p>{PROSE}</p>{block}{tail}</article><div>x</div>").split("\n") == [PROSE, *one, PROSE, PROSE, PROSE], block
+    side = '<div class="main-sidebar"><p>Side</p></div>'
+    for top in ("<article>", "<main>", "<h1>T</h1>", ""):
+        page = f'<body><div class="page has-sidebar">{side}{top}<p>{PROSE}</p><p>{PROSE}</p></div><div class="comment-list"><p>No.</p></div></body>'
+        assert [x for x, _, _ in text_lines(page) if x] == ["T"] * ("h1" in top) + [PROSE, PROSE], top
+    assert [x for x, _, _ in text_lines(f"<div class=comments><article><p>No</p></article></div><p>{PROSE}</p>") if x] == [PROSE]
+
+
 def test_secrets(spark):
     opaque = "Ab1" * 12
     rows = [
