@@ -222,29 +222,40 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, lines: int = LINES, dense: int = DENSE) -> str:
     """Text between the surge and the dive of the line-block distribution.
 
-    The weight of a line is its characters outside links and white space; where the page marks an article, lines outside it weigh
-    nothing. The weights of ``lines`` lines in a row are summed at every line. The text surges at the first line of the
-    heaviest stretch of windows of at least ``dense`` characters, and dives where the windows fall below it; at both
-    ends, lines without weight are left out. With a marked article the stretch is all of the article. A page whose
-    windows all stay below ``dense`` gives its lines with weight.
+    The weight of a line is its characters outside links and white space, and the weights of ``lines`` lines in a row are summed
+    at every line. A window of at least ``dense`` characters is dense (where none is, the heaviest are). More than ``lines``
+    lines in a row without weight part the page; dense windows with less between them are one stretch. The text is the
+    heaviest stretch, and at both ends lines without weight are left out. Where the page marks an article, only its lines count,
+    the text goes from the first part with a dense window to the end of the last, and what is between them stays. An article of
+    links alone weighs what the links say.
     """
     found = text_lines(page or "")
-    if not found:
+    if any(inside and text for text, _, inside in found):
+        marked, found = True, [x for x in found if x[2]]
+    else:
+        marked = False
+    weight = np.array([plain for _, plain, _ in found], np.int64)
+    if marked and not weight.any():
+        weight = np.array([len(_SPACE.sub("", text)) for text, _, _ in found], np.int64)
+    heavy = np.flatnonzero(weight)
+    if not len(heavy):
         return ""
-    marked = any(inside and text for text, _, inside in found)
-    weight = np.array([(len(t) if marked else plain) if (inside or not marked) else 0 for t, plain, inside in found])
     sums = np.convolve(weight, np.ones(lines, np.int64))[lines - 1 :] if len(weight) >= lines else np.cumsum(weight[::-1])[::-1]
-    on = sums > 0 if marked else sums >= min(dense, int(sums.max()) or 1)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
-    spans = [(a, min(len(weight), b + lines - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-    if not spans:
-        return ""
+    on = np.flatnonzero(sums >= min(dense, int(sums.max())))
+    parted = np.flatnonzero(np.diff(heavy) > lines + 1)
+    spans = []
+    for first, final in zip(heavy[[0, *(parted + 1)]], heavy[[*parted, -1]], strict=True):
+        within = on[(on > first - lines) & (on <= final)]
+        if len(within):
+            spans.append((first, final + 1) if marked else (max(first, within[0]), min(final + 1, within[-1] + lines)))
     if marked:
-        a, b = spans[0][0], spans[-1][1]
+        a = 0 if spans[0][0] == heavy[0] and heavy[0] <= lines else spans[0][0]
+        b = len(found) if spans[-1][1] == heavy[-1] + 1 and len(found) - heavy[-1] - 1 <= lines else spans[-1][1]
     else:
         a, b = max(spans, key=lambda s: (int(weight[s[0] : s[1]].sum()), -s[0]))
-    used = [i for i in range(a, b) if weight[i] > 0]
-    return "\n".join(found[i][0] for i in range(used[0], used[-1] + 1) if found[i][0] and (weight[i] > 0 or not marked)) if used else ""
+        used = a + np.flatnonzero(weight[a:b])
+        a, b = used[0], used[-1] + 1
+    return "\n".join(text for text, _, _ in found[a:b] if text)
 
 
 def extract_text(pages: DataFrame, source: str = "html", lines: int = LINES, dense: int = DENSE) -> DataFrame:

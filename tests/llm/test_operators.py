@@ -224,6 +224,18 @@ def test_html_text_behind_skipped_blocks():
     assert [x for x, _, _ in text_lines(f"<div class=comments><article><p>No</p></article></div><p>{PROSE}</p>") if x] == [PROSE]
 
 
+def test_html_surge_and_dive():
+    thin, links = "".join(f"<p>Oh {i}.</p>" for i in range(5)), "".join(f"<li><a href=x>Another story, number {i}</a>" for i in range(5))
+    for body in (f"<p>{PROSE}</p>{thin}<p>{PROSE}</p>", f"<p>{PROSE}</p><nav>n</nav><p>Oh.</p><p>So.</p><p>No.</p><p>{PROSE}</p>"):
+        want = [PROSE, *(["Oh 0.", "Oh 1.", "Oh 2.", "Oh 3.", "Oh 4."] if "Oh 0" in body else ["Oh.", "So.", "No."]), PROSE]
+        assert main_text(body).split("\n") == main_text(f"<article>{body}</article>").split("\n") == want
+    page = f"<article><ul>{links}</ul><h1><a href=y>T</a></h1>{thin}<p>{PROSE}</p><ul>{links}</ul><p>{PROSE}</p>{thin}<ul>{links}</ul><p>More</p></article>"
+    found = main_text(page).split("\n")
+    assert found[0] == "Oh 0." and found[-1] == "Oh 4." and found.count("Another story, number 0") == 1 and found.count(PROSE) == 2
+    assert main_text(f"<article><h1><a href=y>T</a></h1>{thin}<p>{PROSE}</p>{thin}</article>").split("\n")[0] == "T"
+    assert main_text("<article><p><a href=y>All of it a link</a></p></article><p>x</p>") == "All of it a link"
+
+
 def test_secrets(spark):
     opaque = "Ab1" * 12
     rows = [
