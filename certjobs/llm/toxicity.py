@@ -41,9 +41,10 @@ _CLASS[128:] = 27
 
 _SIGN = "0-9@$!|+€"
 #: Three or more single characters with one blank or mark between each two.
-_SPACED = re.compile(rf"(?<![\w@$!|+€])(?:[^\W_]|[@$!|+€])(?:([ .\-_*])(?:[^\W_]|[@$!|+€])(?:\1(?:[^\W_]|[@$!|+€]))+)(?![\w@$!|+€])")
-#: A word with a sign before or between letters, or a character three times in a row.
-_ODD = re.compile(rf"(?<![\w@$!|+€])(?=[\w@$!|+€]*?(?:[{_SIGN}][^\W\d_]|([^\W\d_])\1\1))[\w@$!|+€]+")
+_SPACED = re.compile(r"(?<![\w@$!|+€])(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?![\w@$!|+€])")
+#: Words and signs without a blank; those with a letter and a sign, or a letter twice in a row, are odd.
+_TOKEN = re.compile(r"[\w@$!|+€]+")
+_ODD = re.compile(rf"(?=.*(?:[^\W\d_].*[{_SIGN}]|[{_SIGN}].*[^\W\d_]|([^\W\d_])\1))", re.S | re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,12 +60,34 @@ class Decoder:
         self.known: dict[str, str] = {}
 
     def token(self, raw: str) -> str:
+        """A word with its signs and repeats decoded; one that is not odd has a lattice of one path and stays."""
         if raw not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[raw] = self._decode(raw.lower())
+            self.known[raw] = self._decode(self._arcs(raw.lower())) if _ODD.match(raw) else raw
         return self.known[raw]
 
+    def spaced(self, raw: str) -> str:
+        """Single characters with marks between them: at each mark the path joins them or starts another word."""
+        steps: list[list[tuple[str, float]]] = []
+        letters = [c.lower()[0] for c in raw[::2]]
+        for c, before in zip(letters, ["", *letters], strict=False):
+            if before:
+                steps.append([("", 0.0), (" ", 0.0)])
+            steps.append([*self._arcs(c)[0], *([("", REPEAT_COST)] if c == before else [])])
+        return self._decode(steps)
+
+    def words(self, text: str) -> set[str]:
+        """The words of a text, as written and as restored: what is decoded never takes a written word away."""
+        found = set(_WORD.findall(text.lower()))
+        for raw in set(_TOKEN.findall(text)):
+            path = self.token(raw)
+            if path is not raw:
+                found.update(_WORD.findall(path))
+        for m in _SPACED.finditer(text):
+            found.update(_WORD.findall(self.spaced(m[0])))
+        return found
+
     def _arcs(self, raw: str) -> list[list[tuple[str, float]]]:
         """The lattice: for each run of one character, what it may be restored to and at what cost."""
         out, i = [], 0
@@ -85,10 +108,10 @@ class Decoder:
             i = j
         return out
 
-    def _decode(self, raw: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for arcs in self._arcs(raw):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+    def _decode(self, lattice: list[list[tuple[str, float]]]) -> str:
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for arcs in lattice:
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (sofar, path) in best.items():
                 for chars, price in arcs:
                     total, p, q = sofar + price, a, b
@@ -97,14 +120,19 @@ class Decoder:
                         total += self.cost[p][q][r]
                         p, q = q, r
                     if (p, q) not in after or total < after[p, q][0]:
-                        after[p, q] = (total, path + chars)
+                        after[p, q] = (total, (chars, path))
             best = after
-        return min((total + self.cost[a][b][0], path) for (a, b), (total, path) in best.items())[1]
+        path = min(((total + self.cost[a][b][0], (a, b), path) for (a, b), (total, path) in best.items()), key=lambda x: x[:2])[2]
+        out = []
+        while path:
+            chars, path = path
+            out.append(chars)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> str:
         """The text with spaced-out words joined and odd words decoded; all else has a lattice of one path and stays."""
-        joined = _SPACED.sub(lambda m: self.token(m[0].replace(m[1], "")), text)
-        return _ODD.sub(lambda m: self.token(m[0]), joined)
+        joined = _SPACED.sub(lambda m: self.spaced(m[0]), text)
+        return _TOKEN.sub(lambda m: self.token(m[0]), joined)
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,14 +166,13 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(three / three.sum(2, keepdims=True))
 
 
-def features(text: str) -> set[str]:
-    """The words of a text and, behind a mark, beginnings of its longer words."""
-    words = set(_WORD.findall(text.lower()))
+def features(words: set[str]) -> set[str]:
+    """Words and, behind a mark, beginnings of the longer ones."""
     return words | {"^" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
 class ToxicityModel:
-    """A logistic score over the features of the restored text."""
+    """A logistic score over the features of the text and its restored words."""
 
     def __init__(self, cost: np.ndarray, weights: dict[str, float], shift: float):
         self.cost, self.weights, self.shift = cost, weights, shift
@@ -158,7 +185,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         self._decoder = self._decoder or Decoder(self.cost)
-        words = set(_WORD.findall(self._decoder.restore(text or "").lower()))
+        words = self._decoder.words(text or "")
         found = {w[:k] for w in words for k in STEMS if len(w) > k} & self.stems.keys()
         z = self.shift + sum(map(self.words.__getitem__, sorted(words & self.words.keys()))) + sum(map(self.stems.__getitem__, sorted(found)))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
@@ -179,14 +206,14 @@ def fit_weights(at: np.ndarray, col: np.ndarray, y: np.ndarray, wide: int, round
 
 
 def _featured(cost: np.ndarray):
-    """(k, t, y) -> (k, y, f): the features of the restored texts."""
+    """(k, t, y) -> (k, y, f): the features of the texts and their restored words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(cost)
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 part = batch.slice(i, 100)
-                found = [sorted(features(decoder.restore(t.as_py()))) for t in part.column(1)]
+                found = [sorted(features(decoder.words(t.as_py()))) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(found, pa.list_(pa.string()))], ["k", "y", "f"])
 
     return run

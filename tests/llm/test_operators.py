@@ -191,6 +191,17 @@ def test_classifiers(spark):
     assert decoder.restore("plain words stay, 42 and it's fine") == "plain words stay, 42 and it's fine"
 
 
+def test_obfuscations(spark):
+    texts = ["what a moron he is", "you are an idiot and a clown", "a river and a stone, the idiot at the window", "the garden of a moron is a letter", "it is a clown, not an idiot"] * 40
+    decoder = Decoder(language_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for raw, word in (
+        ("idio7", "idiot"), ("idi07", "idiot"), ("mmoorroonn", "moron"), ("what a m o r o n", "moron"), ("a c l o w n", "clown"), ("i d-i o t", "idiot"), ("an i d i 0 7.", "idiot"), ("i d i i o t", "idiot"),
+    ):
+        assert word in decoder.words(raw), (raw, decoder.words(raw))
+    assert decoder.restore("what a m o r o n") == "what a moron"
+    assert {"letter", "good", "covid"} <= decoder.words("Letter good! covid19") and decoder.words("42 !!") == set()
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header>Head</header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><div class="ad">Buy</div><p>First <b>bold</b>
  text&nbsp;here.<p>Sh.</p><!-- no --></article><section id="comments"><p>Reader says a lot of things here that are long enough to count as text</p></section><footer>Foot</footer></body></html>"""
