@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A group with more than this share of all rows counts as hot; so at most 1 / HOT_SHARE groups are hot.
+#: A group with more than this share of all grouped rows counts as hot; so at most 1 / HOT_SHARE groups are hot.
 HOT_SHARE = 1 / 1000
-#: Hot groups' rows are spread over this many sub-keys.
-SALTS = 256
+#: Groups of no more rows than this are never hot.
+FEW = 100
+#: A null key, which counts as the smallest.
+NONE = -(1 << 63)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a new one only where none is set."""
+    """The folder named by spark.checkpoint.dir, which all executors share. Where none is set, as in tests, a new one is made
+    in local mode; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,26 +47,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str]) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Left join of ``rows`` to one row per group, safe against hot groups.
 
-    ``groups`` has one row per ``keys`` with its number of rows in ``size``. Groups above HOT_SHARE of all grouped
-    rows (at most 1 / HOT_SHARE of them, so the broadcast is bounded) are joined by broadcast; rows of all other
-    groups meet in a shuffle whose largest key holds HOT_SHARE of the rows. Hot rows get a sub-key from ``spread``
-    in that shuffle, so they fill no single task.
+    ``groups`` has one row per ``keys`` with its number of rows in ``size``; it is written once. Groups above HOT_SHARE of
+    all grouped rows (at most 1 / HOT_SHARE of them, so the broadcast is bounded) meet their rows by broadcast, and these rows
+    never enter the shuffle; the rows of all other groups meet in a shuffle whose largest key holds HOT_SHARE of the rows.
+    Rows with a null in ``keys`` match nothing and are kept.
     """
+    groups = written(groups, "groups")
     total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
-    limit = max(total * HOT_SHARE, 1000)
-    values = [c for c in groups.columns if c not in keys]
+    limit = max(total * HOT_SHARE, FEW)
     hot = groups.filter(F.col(size) > limit)
-    renamed = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *[F.col(v).alias(f"__h_{v}") for v in values])
-    on_hot = [F.col(k) == F.col(f"__h_{k}") for k in keys]
-    salt = F.when(F.col(f"__h_{size}").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(F.lit(0))
-    marked = rows.join(F.broadcast(renamed), on_hot, "left").withColumn("__salt", salt.cast("int"))
-    rest = groups.filter(F.col(size) <= limit).withColumn("__salt", F.lit(0))
-    joined = marked.join(rest, [*keys, "__salt"], "left")
-    kept = [c for c in rows.columns]
-    return joined.select(*kept, *[F.coalesce(F.col(v), F.col(f"__h_{v}")).alias(v) for v in values])
+    if hot.isEmpty():
+        return rows.join(groups, keys, "left")
+    often = rows.join(F.broadcast(hot), keys, "inner")
+    seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= limit), keys, "left")
+    return often.unionByName(seldom)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -76,11 +78,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("size"))
         # large star: neighbours above the node move to the lowest of its neighbourhood
-        large = attach(both, low, ["a"], "size", ["b"]).filter("b > a").select(F.col("low").alias("a"), "b")
+        large = attach(both, low, ["a"], "size").filter("b > a").select(F.col("low").alias("a"), "b")
         large = written(large.filter("a <> b").distinct(), "large")
         # small star: neighbours below the node, and the node itself, move to the lowest of them
         below = large.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("size"))
-        small = attach(large, below, ["b"], "size", ["a"]).select(F.col("low").alias("x"), F.col("a").alias("y"))
+        small = attach(large, below, ["b"], "size").select(F.col("low").alias("x"), F.col("a").alias("y"))
         own = below.select(F.col("low").alias("x"), F.col("b").alias("y"))
         pairs = written(small.union(own).filter("x <> y").distinct().toDF("a", "b"), "stars")
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         .filter("group_size > 1")
     )
     carried = [c for c in rows.columns if c not in ("__key", "__len", "__hash")]
-    joined = attach(rows, groups, ["__len", "__hash"], "group_size", ["__key"])
+    joined = attach(rows, groups, ["__len", "__hash"], "group_size")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("__key")).otherwise(F.col("keep_id"))
     return joined.select(

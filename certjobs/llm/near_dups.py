@@ -6,27 +6,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import attach, components, text_of, written
+from certjobs.llm.common import NONE, attach, components, text_of, written
 from certjobs.llm.frequent import among, frequent_hashes
-from certjobs.llm.substring_dedup import NONE, shared_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, mix, signed, slices, whole
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 5
 LEAST = 80
-#: Shingles that a larger share of the documents hold come last in the order of a prefix.
+#: Shingles that a larger share of the documents hold come last in every order, and are dealt apart.
 HOT = 1 / 2000
 #: Independent minima by which documents are first put into groups, and how many must agree.
 MINIMA = 8
 AGREEING = 4
-#: Bits of the gate that spares reading texts which no candidate needs (a fixed 2 MB).
+#: Bits of the gate that spares taking texts apart which no candidate needs (a fixed 2 MB).
 GATE_BITS = 1 << 24
-#: Pairs of one document that a task verifies together, on average.
+#: Sets of one document's partners that a task compares together, on average, and members of a list that meet together.
 PAIRS = 256
+BLOCK = 2000
 
 _SEEDS = mix(np.arange(101, 101 + MINIMA, dtype=np.uint64))
 
@@ -38,51 +37,83 @@ def shingles(w: Words, r: int, size: int = SHINGLE) -> np.ndarray:
 
 
 def least_overlap(n: int, least: int) -> int:
-    """Common elements that a set of ``n`` needs at least with any set it links to."""
+    """Common elements that a set of ``n`` needs at least with any set it links to; such a set has as many elements at least."""
     return (least * n + 99) // 100
 
 
 def needed_hits(n: int, least: int) -> int:
-    """Common elements that two linked sets have within their prefixes at least, for the smaller of the two numbers."""
+    """Common elements asked for within a prefix; grows with ``n``."""
     return min(least_overlap(n, least), 1 + n // 20)
 
 
 def prefix_length(n: int, least: int) -> int:
-    """With the elements of all sets in one order, the ``needed_hits`` first common elements of two linked sets lie in the first
-    n - least_overlap + needed_hits elements of each."""
+    """With the elements of all sets in one order, each of the first h common elements of two linked sets lies in the first
+    n - least_overlap + h elements of each (behind it come the other common ones, least_overlap - h at least). So the prefixes
+    of two linked sets have as many common elements as the lesser of their two ``needed_hits``."""
     return n - least_overlap(n, least) + needed_hits(n, least)
 
 
-SKETCH = "d long, n int, s1 long, s2 long, mins array<long>, pre array<long>, hot array<long>"
+def prefix_bound(n: int, least: int) -> int:
+    """Elements of its prefix that a linked set has in the prefix of another set at least: a partner has ``least_overlap``
+    elements or more, and ``needed_hits`` grows with the size."""
+    return needed_hits(least_overlap(n, least), least)
+
+
+SKETCH = "d long, u long, n int, mins array<long>, pre array<long>, hot array<long>"
 
 
 def _sketch(size: int, least: int, frequent: np.ndarray):
-    """(d, text) -> the row's set size, two hashes of the whole set, its minima, and its prefix (rare shingles, then hot ones)."""
+    """(d, text) -> a hash of the row's whole set (u), the set's size, its minima, and its prefix (rare shingles, then hot ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column(0)
             for w in slices(batch.column(1), NOT_SPACE, True):
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(5)]
                 for r in range(w.rows):
                     s = shingles(w, r, size)
                     hot = among(s, frequent)
                     ordered = np.concatenate([s[~hot], s[hot]])[: prefix_length(len(s), least)]
                     rare = min(len(ordered), int((~hot).sum()))
-                    values = (
-                        len(s), *(np.uint64(whole(s, seed)).view(np.int64) for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35)),
-                        [int(signed(mix(s ^ k).min().reshape(1))[0]) for k in _SEEDS] if len(s) else [], signed(ordered[:rare]), signed(ordered[rare:]),
-                    )
-                    for c, v in zip(cols, values, strict=True):
+                    mins = [int(signed(mix(s ^ k).min().reshape(1))[0]) for k in _SEEDS] if len(s) else []
+                    for c, v in zip(cols, (_identity(s), len(s), mins, signed(ordered[:rare]), signed(ordered[rare:])), strict=True):
                         c.append(v)
-                types = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-                yield pa.RecordBatch.from_arrays(
-                    [d[w.first : w.first + w.rows], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["d", "n", "s1", "s2", "mins", "pre", "hot"]
-                )
+                types = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+                made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([d[w.first : w.first + w.rows], *made], ["d", "u", "n", "mins", "pre", "hot"])
 
     return run
 
 
+def _identity(s: np.ndarray) -> int:
+    return int(signed(np.array([whole(s, 0x2545F4914F6CDD1D)], np.uint64))[0])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, u, hot) in order of w, u -> partial counts (u, k) of the shingles that another set holds too; hot ones count
+    without a look. Nothing is held but the last set seen of the current shingle."""
+    last_w, last_u, open_ = None, None, False  # open_: the last row of the batch before is not known to be shared yet
+    for batch in batches:
+        w, u, hot = (np.asarray(batch.column(i)) for i in range(3))
+        counted = [u[hot]]
+        w, u = w[~hot], u[~hot]
+        if len(w):
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
+            new[0] = (w[0], u[0]) != (last_w, last_u)
+            w, u = w[new], u[new]
+        if len(w):
+            if open_ and w[0] == last_w:
+                counted.append(np.array([last_u]))
+            before, after = np.zeros(len(w), bool), np.zeros(len(w), bool)
+            before[1:] = after[:-1] = w[1:] == w[:-1]
+            before[0] = w[0] == last_w
+            counted.append(u[before | after])
+            last_w, last_u, open_ = int(w[-1]), int(u[-1]), not bool(before[-1])
+        ids, k = np.unique(np.concatenate(counted), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k, pa.int64())], ["u", "k"])
+
+
 def _gate(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that has the slot of every id, gathered as its 512 parts."""
     slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)) + 1  # the first bitmap holds 1 to 32768
@@ -94,117 +125,179 @@ def _gate(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(size: int, bits: np.ndarray):
-    """(d, slot, text) -> (d, the sorted shingles as bytes) of the rows whose slot the gate has."""
+def _sets(size: int, bits: np.ndarray, frequent: np.ndarray):
+    """(d, slot, text) -> the whole sets (rare shingles and hot ones) of the rows whose slot the gate has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = np.asarray(batch.column(1))
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
             for w in slices(batch.column(2), NOT_SPACE, True) if batch.num_rows else ():
-                raw = [shingles(w, r, size).tobytes() for r in range(w.rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[w.first : w.first + w.rows], pa.array(raw, pa.binary())], ["d", "set"])
+                sets = [shingles(w, r, size) for r in range(w.rows)]
+                hot = [among(s, frequent) for s in sets]
+                made = [
+                    pa.array([_identity(s) for s in sets], pa.int64()), pa.array([signed(s[~h]) for s, h in zip(sets, hot, strict=True)], pa.list_(pa.int64())),
+                    pa.array([signed(s[h]) for s, h in zip(sets, hot, strict=True)], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[w.first : w.first + w.rows], *made], ["d", "u", "rare", "hot"])
 
     return run
 
 
 def _linked(least: int):
-    """(a, b, set of a, set of b) -> the pairs that link."""
+    """Rows (a, part, b, set) in order, each ``a``'s own set (b null) before its partners' -> the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = np.empty(0, np.int64), None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int(among(s, t).sum()) if len(s) <= len(t) else int(among(t, s).sum())
-                keep.append(both > 0 and 100 * both >= least * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for i in range(len(a)):
+                s = np.asarray(batch.column(3)[i].values)
+                if b[i] is None:
+                    own, of = np.sort(s), a[i]
+                elif a[i] == of:
+                    both = int(among(s, own).sum())
+                    if both and 100 * both >= least * (len(s) + len(own) - both):
+                        out.append((a[i], b[i]))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Sets are built again from the texts that the gate lets through; the set of
-    an ``a`` with very many partners is repeated for each PAIRS of them."""
-    asked = pairs.groupBy("a").agg(F.count("*").alias("asked"))
-    ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    found = texts.select("d", F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot"), "text").mapInArrow(_sets(size, _gate(ids)), "d long, set binary")
-    parts = F.ceil(F.col("asked") / PAIRS).cast("int")
-    sized = attach(pairs, asked, ["a"], "asked", ["b"]).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("asked")
-    right = found.select(F.col("d").alias("b"), F.col("set").alias("set_b"))
-    left = found.withColumnRenamed("d", "a").join(asked, "a").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("set").alias("set_a"))
-    return sized.join(right, "b").join(left, ["a", "part"]).select("a", "b", "set_a", "set_b").mapInArrow(_linked(least), "a long, b long").distinct()
-
-
-def _pairs(all_pairs: bool, least: int):
-    """Rows (w, d, n, c) in order of w -> candidate pairs (a, b, na, nb) of different components c with sizes that can link:
-    every such pair of a shingle, or each document with one member of the shingle's most frequent component."""
-
-    def emit(group: list[tuple[int, int, int]], out: list[tuple[int, int, int, int]]) -> None:
-        if all_pairs:
-            group.sort()
-            for i, (n, d, c) in enumerate(group):
-                for m, e, b in group[i + 1 :]:
-                    if 100 * n < least * m:
-                        break
-                    if b != c:
-                        out.append((d, e, n, m) if d < e else (e, d, m, n))
-            return
-        if not group:
-            return
-        often: dict[int, int] = {}
-        for _, _, c in group:
-            often[c] = often.get(c, 0) + 1
-        top = max(often, key=lambda c: (often[c], -c))
-        m, e = max((n, d) for n, d, c in group if c == top)
-        for n, d, c in group:
-            if c != top and 100 * min(n, m) >= least * max(n, m):
-                out.append((d, e, n, m) if d < e else (e, d, m, n))
+def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. The set of ``a`` is shipped once for each PAIRS of its partners."""
+    asked = pairs.groupBy("a").agg((F.floor(F.count("*") / PAIRS) + 1).cast("int").alias("parts"))
+    whole_ = sets.select("u", F.concat("rare", "hot").alias("set"))
+    own = whole_.join(asked, F.col("u") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    others = pairs.join(asked, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    others = others.join(whole_, F.col("b") == F.col("u")).select("a", "part", "b", "set")
+    both = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return both.mapInArrow(_linked(least), "a long, b long").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, group, out = None, [], []
-        for batch in batches:
-            for w, d, n, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if w != current:
-                    emit(group, out)
-                    current, group = w, []
-                    if len(out) > 50_000:
-                        yield _pair_batch(out)
-                group.append((n, d, c))
-        emit(group, out)
-        yield _pair_batch(out)
 
-    return run
+def _lo(n: Column, least: int) -> Column:
+    """``least_overlap`` as a column."""
+    return F.floor((F.lit(least) * n + 99) / 100)
 
 
-def _pair_batch(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) or [()] * 4
-    out.clear()
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb"])
+def _bound(n: Column, least: int) -> Column:
+    """``prefix_bound`` as a column."""
+    return F.least(_lo(_lo(n, least), least), F.lit(1) + F.floor(_lo(n, least) / 20))
 
 
-def _hits(n: Column, least: int) -> Column:
-    """``needed_hits`` as a column."""
-    return F.least(F.floor((F.lit(least) * n + 99) / 100), F.lit(1) + F.floor(n / 20))
+def _possible(n: Column, m: Column, room: Column, least: int) -> Column:
+    """Whether two sets of ``n`` and ``m`` elements may link if at most ``room`` of them are common: a link has
+    ``least / (100 + least)`` of the sum of both sizes in common at least."""
+    return (F.lit(100 + least) * room >= F.lit(least) * (n + m)) & (F.lit(100) * F.least(n, m) >= F.lit(least) * F.greatest(n, m))
 
 
-def _candidates(shared: DataFrame, nodes: DataFrame, all_pairs: bool, least: int) -> DataFrame:
-    """Pairs of documents in different groups that the token-group matrix does not rule out.
+def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The token-group matrix: a row (w, u, n, c, room, l) for each shingle w of a set u in group c that another group holds too.
 
-    The matrix has a row for each shingle of a prefix and a group (component so far) whose members hold it. A shingle
-    of one group only says nothing new. A document meets another group only if at least ``needed_hits`` of its prefix are
-    in the union of other groups' shingles; only those documents open the groups, and of the opened members only those
-    stay that share ``needed_hits`` shingles with it.
+    ``l`` names the list of the sets that hold w, so shingles with equal lists have one name. ``room`` is the number of shared
+    shingles of u from w on, in one order of all shingles (rare before frequent): two sets whose first common shingle is w
+    have no more than the lesser room in common. Sets that share fewer than ``least_overlap`` shingles with other groups are
+    ruled out.
     """
-    rows = shared.join(nodes.select(F.col("node").alias("d"), "component"), "d", "left").select("w", "d", "n", F.coalesce("component", "d").alias("c"))
-    rows = written(rows, "matrix")
-    unions = rows.groupBy("w").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"))
-    mixed = attach(rows, unions, ["w"], "size", ["d"]).filter("low < high").select("w", "d", "n", "c")
-    enough = mixed.groupBy("d").agg(F.count("*").alias("k"), F.first("n").alias("own")).filter(F.col("k") >= _hits(F.col("own"), least)).select("d")
-    opened = mixed.join(enough, "d").select("w", "d", "n", "c")
-    emitted = opened.repartition("w").sortWithinPartitions("w").mapInArrow(_pairs(all_pairs, least), "a long, b long, na long, nb long")
-    met = emitted.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return met.filter(F.col("k") >= F.least(_hits(F.col("na"), least), _hits(F.col("nb"), least))).select("a", "b")
+    placed = sets.join(sizes.select("u", "n"), "u").join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    facts = {"low": F.min("c"), "high": F.max("c"), "df": F.count("*"), "sig": F.sum(F.xxhash64("u").cast("decimal(38,0)"))}
+    named = F.xxhash64("df", F.col("sig").cast("string")).alias("l")
+    rare = placed.select("u", "n", "c", F.explode("rare").alias("w"))
+    of_w = Window.partitionBy("w")
+    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "n", "c", "w", "df", named)
+    often = placed.select("u", "n", "c", F.explode("hot").alias("w"))
+    # hot shingles are at most (shingles per row) / HOT, whatever the size of the table
+    lists = often.groupBy("w").agg(*[v.alias(k) for k, v in facts.items()]).filter("low < high").select("w", "df", named)
+    often = often.join(F.broadcast(lists), "w").select("u", "n", "c", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
+    of_u = Window.partitionBy("u")
+    ranked = rare.unionByName(often).select("*", F.count("*").over(of_u).alias("k"), F.row_number().over(of_u.orderBy("df", "w")).alias("at"))
+    return ranked.filter(F.col("k") >= _lo(F.col("n"), least)).select("w", "u", "n", "c", (F.col("k") - F.col("at") + 1).alias("room"), "l")
+
+
+def _meet(least: int):
+    """Rows (l, x, y, own, u, n, c, room) in order of l, x, y -> the pairs (a, b) of a list's blocks x and y that may link."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y, own, u, n, c, room = rows
+        order = np.argsort(n, kind="stable")
+        own, u, n, c, room = own[order], u[order], n[order], c[order], room[order]
+        until = np.searchsorted(n, 100 * n // least, "right")  # a partner's set is larger by no more than this
+        for i in range(len(u)):
+            s = slice(i + 1, int(until[i]))
+            fits = (c[s] != c[i]) & ((100 + least) * np.minimum(room[s], room[i]) >= least * (n[s] + n[i]))
+            if x[0] != y[0]:
+                fits &= own[s] != own[i]
+            b = u[s][fits]
+            if len(b):
+                yield np.minimum(b, u[i]), np.maximum(b, u[i])
+
+    def batch_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(2)]
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    def closed(waiting: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for a, b in pairs([np.concatenate(c) for c in zip(*waiting, strict=True)]):
+            parts.append((a, b))
+            held += len(a)
+            if held > 50_000:
+                yield batch_of(parts)
+                held = 0
+        yield batch_of(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, waiting = None, []
+        for batch in batches:
+            cols = [np.asarray(batch.column(i)) for i in range(8)]
+            if not batch.num_rows:
+                continue
+            keys = cols[:3]
+            turn = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            for s, e in zip(turn, np.append(turn[1:], batch.num_rows), strict=True):
+                key = tuple(int(k[s]) for k in keys)
+                if key != current:
+                    if waiting:
+                        yield from closed(waiting)
+                    current, waiting = key, []
+                waiting.append([c[s:e] for c in cols[1:]])
+        if waiting:
+            yield from closed(waiting)
+
+    return run
+
+
+def candidates(matrix: DataFrame, leaders: bool, least: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of sets in different groups which the matrix does not rule out: each set of a list with the one of
+    the most room (``leaders``), or all pairs that have room. Lists are dealt in blocks of BLOCK sets."""
+    lists = matrix.filter(F.col("room") >= _lo(F.col("n"), least)).groupBy("l", "u").agg(F.max("room").alias("room"), F.first("n").cast("long").alias("n"), F.first("c").alias("c"))
+    lists = written(lists, "lists")
+    if leaders:
+        heads = lists.groupBy("l").agg(F.max(F.struct("room", "n", "u", "c")).alias("top"), F.count("*").alias("size")).filter("size > 1")
+        met = attach(lists, heads, ["l"], "size").filter(F.col("top").isNotNull() & (F.col("c") != F.col("top.c")))
+        met = met.filter(_possible(F.col("n"), F.col("top.n"), F.least("room", "top.room"), least))
+        return met.select(F.least("u", "top.u").alias("a"), F.greatest("u", "top.u").alias("b")).distinct()
+    sizes = lists.groupBy("l").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = attach(lists, sizes, ["l"], "size").filter(F.col("size").isNotNull()).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = dealt.select("l", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "u", "n", "c", "room")
+    return keyed.repartition("l", "x", "y").sortWithinPartitions("l", "x", "y").mapInArrow(_meet(least), "a long, b long").distinct()
+
+
+def opened(pairs: DataFrame, matrix: DataFrame, least: int) -> DataFrame:
+    """Of the pairs, those where each of the two sets has enough in common with the token union of the other's group."""
+    place = matrix.groupBy("u").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+    side = lambda one, other: (
+        pairs.select(one, other).join(place.select(F.col("u").alias(other), "c"), other).select(F.col(one).alias("u"), F.col("c").alias("g"), F.col(other).alias("o"))
+    )
+    asked = side("a", "b").unionByName(side("b", "a"))
+    unions = matrix.select("w", F.col("c").alias("g")).distinct()
+    shared = matrix.select("w", "u", "n").join(asked.select("u", "g").distinct(), "u").join(unions, ["w", "g"])
+    kept = shared.groupBy("u", "g").agg(F.countDistinct("w").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= _lo(F.col("n"), least))
+    open_ = asked.join(kept.select("u", "g"), ["u", "g"]).select("u", "o")
+    both = pairs.join(open_.select(F.col("u").alias("a"), F.col("o").alias("b")), ["a", "b"], "left_semi")
+    return both.join(open_.select(F.col("u").alias("b"), F.col("o").alias("a")), ["a", "b"], "left_semi").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -212,13 +305,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Words are separated by ASCII white space, A to Z lower-cased. Two texts link when the common shingles are at least
     ``least`` hundredths of all shingles of both. Null and empty texts have no shingles and link with nothing. Rows
-    with equal keys are one document; a null key counts as the smallest; an empty table gives no rows.
-
-    Steps: (1) rows with equal sets are one class, of which one stands for all; (2) documents whose minima agree with
-    those of the first of their bucket make the first groups, once the pair's whole sets are found to link; (3) the
-    token-group matrix over the prefixes finds every pair between groups that may still link, first with one member of
-    the largest group of a shingle, so that groups grow, then all that is left; (4) such pairs are verified on whole sets. Links
-    inside a group add nothing to components, so they are not listed; no link between groups is lost.
+    that repeat a key are judged each by its own text; a null key counts as the smallest; an empty table gives no rows.
+
+    Steps: (1) rows with equal sets are one class, of which one row stands for all; (2) only classes whose prefix has enough
+    shingles in the prefixes of others (``prefix_bound``) go on, with whole sets; (3) those whose minima agree with the first
+    of their bucket make the first groups, once the two whole sets are found to link; (4) the token-group matrix bounds what a
+    set has in common with all other groups, with any set of a list (``room``), and with a single group's token union; only
+    what passes is opened, which is to say that whole sets are compared. Lists first meet their leader, so that groups
+    grow, then all pairs that are left. Links inside a group add nothing to components, so they are not listed; no
+    link between groups is lost.
     """
     none = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
     texts = docs.select(none.alias("d"), text_of(text).alias("text"))
@@ -226,34 +321,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     frequent = frequent_hashes(texts.select("text"), NOT_SPACE, True, per_row, HOT)
     sketch = written(texts.mapInArrow(_sketch(size, least, frequent), SKETCH), "sketch")
 
-    same = ["n", "s1", "s2"]
-    classes = written(sketch.filter("n > 0").groupBy(*same).agg(F.min("d").alias("rep"), F.count("*").alias("size")), "classes")
-    first = sketch.join(classes.select(F.col("rep").alias("d"), *same), ["d", *same], "left_semi")
-
-    minima = first.select("d", F.posexplode("mins").alias("j", "v"))
-    heads = minima.groupBy("j", "v").agg(F.min("d").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    star = attach(minima, heads, ["j", "v"], "size", ["d"]).filter("a < d").groupBy("a", F.col("d").alias("b")).agg(F.count("*").alias("k"))
-    asked = written(star.filter(F.col("k") >= AGREEING).select("a", "b"), "star")
-    edges = written(verify(asked, texts, size, least), "links")
-    nodes = components(edges)
-
-    held = first.select("d", "n", F.explode(F.concat(F.transform("pre", lambda x: F.struct(x.alias("a"), F.lit(False).alias("hot"))), F.transform("hot", lambda x: F.struct(x.alias("a"), F.lit(True).alias("hot"))))).alias("x"))
-    dealt = held.select("d", F.col("n").cast("long").alias("h"), "x.a", "x.hot").withColumn("p", F.when(F.col("hot"), F.xxhash64("d", "a")).otherwise(F.col("a")))
-    shared = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(shared_hashes(False), "d long, h long, a long, large boolean")
-    shared = written(shared.select(F.col("a").alias("w"), "d", F.col("h").alias("n")).distinct(), "shared")
-
-    tried = asked
-    for all_pairs in (False, True):
-        pairs = written(_candidates(shared, nodes, all_pairs, least).join(tried, ["a", "b"], "left_anti"), "candidates")
+    classes = written(sketch.filter("n > 0").groupBy("u", "n").agg(F.min("d").alias("rep"), F.count("*").alias("size")), "classes")
+    first = sketch.join(classes.select(F.col("rep").alias("d"), "u", "n"), ["d", "u", "n"], "left_semi")
+    rows = first.select("u", F.explode("pre").alias("w"), F.lit(False).alias("hot")).unionByName(first.select("u", F.explode("hot").alias("w"), F.lit(True).alias("hot")))
+    dealt = rows.select("w", "u", "hot", F.when(F.col("hot"), F.xxhash64("u", "w")).otherwise(F.col("w")).alias("p"))
+    counts = dealt.repartition("p").drop("p").sortWithinPartitions("w", "u").mapInArrow(_shared, "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
+    alive = written(classes.join(counts, "u").filter(F.col("k") >= _bound(F.col("n"), least)).select("u", "n", "rep"), "alive")
+
+    slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot")
+    whole_ = texts.select("d", slot, "text").mapInArrow(_sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent), "d long, u long, rare array<long>, hot array<long>")
+    sets = written(whole_.join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi").select("u", "rare", "hot"), "sets")
+
+    minima = first.select("u", "n", F.posexplode("mins").alias("j", "v")).join(alive.select("u"), "u", "left_semi")
+    heads = minima.groupBy("j", "v").agg(F.min(F.struct("u", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    star = attach(minima, heads, ["j", "v"], "size").filter(F.col("head").isNotNull() & (F.col("u") != F.col("head.u")))
+    star = star.filter(_possible(F.col("n"), F.col("head.n"), F.least("n", "head.n"), least)).groupBy(F.col("head.u").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"))
+    tried = written(star.filter(F.col("k") >= AGREEING).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+
+    links = written(verify(tried, sets, least), "links")
+    nodes = components(links)
+    for leaders in (True, False):
+        matrix = written(token_groups(sets, alive, nodes, least), "matrix")
+        pairs = written(candidates(matrix, leaders, least).join(tried, ["a", "b"], "left_anti"), "candidates")
+        pairs = written(opened(pairs, matrix, least), "opened")
         if pairs.isEmpty():
             continue
-        tried = tried.union(pairs)
-        found = written(verify(pairs, texts, size, least), "links")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            nodes = components(edges)
-
-    joined = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", F.coalesce("component", "rep").alias("component"))
-    rows = attach(sketch.select("d", *same), joined, same, "size", ["d"])
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(written(verify(pairs, sets, least), "links"))
+        nodes = components(links)
+
+    grouped = written(nodes.withColumnRenamed("node", "u").join(classes, "u"), "grouped")
+    smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"), F.count("*").alias("members"))
+    named = attach(grouped.select("u", "n", "component"), smallest, ["component"], "members").select("u", "n", "smallest")
+    joined = classes.join(named, ["u", "n"], "left").select("u", "n", "size", F.coalesce("smallest", "rep").alias("component"))
+    out = attach(sketch.select("d", "u", "n"), joined, ["u", "n"], "size")
     real = lambda c: F.when(c != NONE, c)
-    return rows.select(real(F.col("d")).alias(key), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "d")).alias("component_id"))
+    return out.select(real(F.col("d")).alias(key), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "d")).alias("component_id"))

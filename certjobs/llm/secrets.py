@@ -91,7 +91,7 @@ def scan_secrets(
     found = written(candidates(docs, key, text, owner, repository), "candidates")  # read three times below, without texts
     frequency = ownership(found)
     each = found.select("row_key", F.explode(F.concat("base", "opaque")).alias("s")).withColumn("secret", F.col("s.secret"))
-    judged = attach(each, frequency, ["secret"], "uses", ["row_key"])
+    judged = attach(each, frequency, ["secret"], "uses")
     few = F.col("owners") <= most_owners
     is_opaque = F.col("s.kind") == "opaque"
     bare = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))

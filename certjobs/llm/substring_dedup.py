@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.llm.common import attach, text_of, written
+from certjobs.llm.common import NONE, attach, text_of, written
 from certjobs.llm.frequent import among, frequent_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, signed, slices
 
@@ -23,8 +23,6 @@ HOT = 1 / 1000
 GROUP = 5000
 #: Sub-keys that the rows of a large group's window are spread over.
 SALTS = 64
-#: A null key, which counts as the smallest.
-NONE = -(1 << 63)
 
 
 def anchors(hashes: np.ndarray, window: int, size: int) -> np.ndarray:
@@ -292,7 +290,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     marked = docs.select(none.alias("d"), F.xxhash64(text_of(text)).alias("h"), F.unhex(F.md5(text_of(text))).alias("c"))
     classes = marked.groupBy("c").agg(F.min("d").alias("rep"), F.count("*").alias("size"))
-    info = written(attach(marked, classes, ["c"], "size", ["d", "h"]).groupBy("d", "h").agg(F.min("rep").alias("rep")), "copies")
+    info = written(attach(marked, classes, ["c"], "size").groupBy("d", "h").agg(F.min("rep").alias("rep")), "copies")
 
     emitted = rows.mapInArrow(_emit_anchors(window, anchor, hot), "d long, h long, a long, hot boolean")
     dealt = emitted.withColumn("p", F.when(F.col("hot"), F.xxhash64("d", "h", "a")).otherwise(F.col("a")))

@@ -11,12 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from certjobs.llm import words as words_
-from certjobs.llm.common import components
+from certjobs.llm.common import attach, components
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text, main_text, text_lines
 from certjobs.llm.licenses import notices, scan_licenses
-from certjobs.llm.near_dups import near_duplicates
+from certjobs.llm.near_dups import _meet, least_overlap, near_duplicates, prefix_bound, prefix_length
 from certjobs.llm.packing import Ids, pack, powers, tokenizer_files
 from certjobs.llm.quality import fit_quality, score_quality
 from certjobs.llm.secrets import scan_secrets
@@ -73,22 +73,104 @@ def test_exact_dedup(spark):
     assert sorted((r["group_size"], r["kept"]) for r in twice) == [(1, True), (2, True), (2, True)]
 
 
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def linked_components(rows):
+    """Brute force over all pairs: [(key, set size, component)] in order of the rows."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    low = lambda x: (x is not None, x)
+    smallest = {}
+    for i, (k, _) in enumerate(rows):
+        smallest[find(i)] = min(smallest.get(find(i), k), k, key=low)
+    return [(k, len(s), smallest[find(i)]) for i, ((k, _), s) in enumerate(zip(rows, sets))]
+
+
 def test_near_duplicates(spark):
     rows = corpus()
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    parent = {i: i for i in sets}
-    find = lambda x: x if parent[x] == x else find(parent[x])
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
-    assert len({find(i) for i in sets}) < len(sets) - 10
+    want = linked_components(rows)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted(want) and len({c for _, _, c in want}) < len(rows) - 10
+
+
+def test_near_duplicates_dense(spark):
+    """A template whose copies lie about the threshold, a passage that hundreds of texts share, chains of edits, repeated and null keys."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    template, passage = [word() for _ in range(60)], [word() for _ in range(30)]
+    texts = []
+    for i in range(150):
+        own = list(template)
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(60)] = word()
+        texts.append(" ".join(own + [word() for _ in range(r.randint(0, 4))]))
+    for _ in range(150):
+        own = [word() for _ in range(r.choice([4, 20, 40]))]
+        texts.append(" ".join(own + passage + own[: r.randint(0, 3)]))
+    step = [word() for _ in range(80)]
+    for i in range(25):
+        step = step[2:] + [word(), word()]
+        texts.append(" ".join(step))
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, texts[160] + " more"), (3, texts[170]), (3, texts[170]), (900, texts[-1]), (900, texts[2]), (901, None), (901, "")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()]
+    order = lambda x: [(v is not None, v) for v in x]
+    assert sorted(got, key=order) == sorted(linked_components(rows), key=order)
+
+
+def test_near_duplicates_empty(spark):
+    assert near_duplicates(frame(spark, [])).count() == 0
+    assert [tuple(x) for x in near_duplicates(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]
+
+
+def test_prefix_bound():
+    """For any two sizes and the least overlap of a link, the bounds hold with the common elements as far back as they can be."""
+    for least in (50, 80, 95):
+        for n in range(1, 400):
+            for m in range(n, 100 * n // least + 1):
+                common = -(-least * (n + m) // (100 + least))
+                if common > n:
+                    continue
+                for a in (n, m):
+                    # all own elements first: the h-th common one then stands at a - common + h
+                    inside = min(prefix_length(x, least) - (x - common) for x in (n, m))
+                    assert common >= least_overlap(a, least) and inside >= prefix_bound(a, least)
+
+
+def test_meeting_in_blocks():
+    """Every pair of a list meets once, however the list is cut into blocks; only pairs with room are emitted."""
+    r = np.random.default_rng(1)
+    n, c, u = r.integers(20, 30, 60), r.integers(0, 20, 60), r.permutation(60)
+    room = n - r.integers(0, 6, 60)
+    want = {(min(u[i], u[j]), max(u[i], u[j])) for i in range(60) for j in range(i) if c[i] != c[j] and 180 * min(room[i], room[j]) >= 80 * (n[i] + n[j]) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])}
+    for parts in (1, 3):
+        own = u % parts
+        rows = sorted((1, min(own[i], x), max(own[i], x), own[i], u[i], n[i], c[i], room[i]) for i in range(60) for x in range(parts))
+        batches = [pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in zip(*rows[k : k + 17])], list("abcdefgh")) for k in range(0, len(rows), 17)]
+        got = [p for b in _meet(80)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_attach_keeps_hot_rows_out_of_the_shuffle(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("d"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")).unionByName(spark.createDataFrame([(-1, None)], "d long, k long"))
+    groups = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("size"), F.min("d").alias("low"))
+    out = attach(rows, groups, ["k"], "size")
+    assert out.count() == 20_001 and out.filter("k = 7 AND low = 0 AND size > 6000").count() == 6668 and out.filter("low IS NULL").count() == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = attach(rows, groups, ["k"], "size")._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and plan.index("LeftAnti") > plan.index("SortMergeJoin")  # below it in the tree
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_components(spark):
