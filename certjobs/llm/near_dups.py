@@ -25,7 +25,7 @@ AGREEING = 4
 GATE_BITS = 1 << 24
 #: Sets of one document's partners that a task compares together, on average, and members of a list that meet together.
 PAIRS = 256
-BLOCK = 2000
+BLOCK = 500
 
 _SEEDS = mix(np.arange(101, 101 + MINIMA, dtype=np.uint64))
 
@@ -90,13 +90,12 @@ def _identity(s: np.ndarray) -> int:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, u, hot) in order of w, u -> partial counts (u, k) of the shingles that another set holds too; hot ones count
-    without a look. Nothing is held but the last set seen of the current shingle."""
+    """Rows (w, u) in order -> partial counts (u, k) of the shingles that another set holds too; repeated rows count once.
+    Nothing is held but the last set seen of the current shingle."""
     last_w, last_u, open_ = None, None, False  # open_: the last row of the batch before is not known to be shared yet
     for batch in batches:
-        w, u, hot = (np.asarray(batch.column(i)) for i in range(3))
-        counted = [u[hot]]
-        w, u = w[~hot], u[~hot]
+        w, u = (np.asarray(batch.column(i)) for i in range(2))
+        counted = [np.empty(0, np.int64)]
         if len(w):
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
@@ -166,12 +165,13 @@ def _linked(least: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. The set of ``a`` is shipped once for each PAIRS of its partners."""
-    asked = pairs.groupBy("a").agg((F.floor(F.count("*") / PAIRS) + 1).cast("int").alias("parts"))
-    whole_ = sets.select("u", F.concat("rare", "hot").alias("set"))
-    own = whole_.join(asked, F.col("u") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    """The pairs (a, b) of a written table whose whole sets link. The set of ``a`` is shipped once for each PAIRS of its partners."""
+    asked = written(pairs.groupBy("a").agg((F.floor(F.count("*") / PAIRS) + 1).cast("int").alias("parts")), "asked")
+    ids = written(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "ids")
+    used = written(sets.join(ids, "u", "left_semi").select("u", F.concat("rare", "hot").alias("set")), "used")
+    own = used.join(asked, F.col("u") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
     others = pairs.join(asked, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    others = others.join(whole_, F.col("b") == F.col("u")).select("a", "part", "b", "set")
+    others = others.join(used, F.col("b") == F.col("u")).select("a", "part", "b", "set")
     both = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return both.mapInArrow(_linked(least), "a long, b long").distinct()
 
@@ -200,19 +200,20 @@ def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int
     have no more than the lesser room in common. Sets that share fewer than ``least_overlap`` shingles with other groups are
     ruled out.
     """
-    placed = sets.join(sizes.select("u", "n"), "u").join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    placed = sets.join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
     facts = {"low": F.min("c"), "high": F.max("c"), "df": F.count("*"), "sig": F.sum(F.xxhash64("u").cast("decimal(38,0)"))}
     named = F.xxhash64("df", F.col("sig").cast("string")).alias("l")
-    rare = placed.select("u", "n", "c", F.explode("rare").alias("w"))
+    rare = placed.select("u", "c", F.explode("rare").alias("w"))
     of_w = Window.partitionBy("w")
-    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "n", "c", "w", "df", named)
-    often = placed.select("u", "n", "c", F.explode("hot").alias("w"))
+    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "c", "w", "df", named)
+    often = placed.select("u", "c", F.explode("hot").alias("w"))
     # hot shingles are at most (shingles per row) / HOT, whatever the size of the table
     lists = often.groupBy("w").agg(*[v.alias(k) for k, v in facts.items()]).filter("low < high").select("w", "df", named)
-    often = often.join(F.broadcast(lists), "w").select("u", "n", "c", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
+    often = often.join(F.broadcast(lists), "w").select("u", "c", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
     of_u = Window.partitionBy("u")
     ranked = rare.unionByName(often).select("*", F.count("*").over(of_u).alias("k"), F.row_number().over(of_u.orderBy("df", "w")).alias("at"))
-    return ranked.filter(F.col("k") >= _lo(F.col("n"), least)).select("w", "u", "n", "c", (F.col("k") - F.col("at") + 1).alias("room"), "l")
+    kept = ranked.join(sizes.select("u", F.col("n").cast("long").alias("n")), "u").filter(F.col("k") >= _lo(F.col("n"), least))
+    return kept.select("w", "u", "n", "c", (F.col("k") - F.col("at") + 1).alias("room"), "l")
 
 
 def _meet(least: int):
@@ -321,18 +322,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     frequent = frequent_hashes(texts.select("text"), NOT_SPACE, True, per_row, HOT)
     sketch = written(texts.mapInArrow(_sketch(size, least, frequent), SKETCH), "sketch")
 
-    classes = written(sketch.filter("n > 0").groupBy("u", "n").agg(F.min("d").alias("rep"), F.count("*").alias("size")), "classes")
-    first = sketch.join(classes.select(F.col("rep").alias("d"), "u", "n"), ["d", "u", "n"], "left_semi")
-    rows = first.select("u", F.explode("pre").alias("w"), F.lit(False).alias("hot")).unionByName(first.select("u", F.explode("hot").alias("w"), F.lit(True).alias("hot")))
-    dealt = rows.select("w", "u", "hot", F.when(F.col("hot"), F.xxhash64("u", "w")).otherwise(F.col("w")).alias("p"))
-    counts = dealt.repartition("p").drop("p").sortWithinPartitions("w", "u").mapInArrow(_shared, "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
-    alive = written(classes.join(counts, "u").filter(F.col("k") >= _bound(F.col("n"), least)).select("u", "n", "rep"), "alive")
+    per_class = [F.min("d").alias("rep"), F.count("*").alias("size"), F.max(F.size("hot")).alias("hot")]
+    classes = written(sketch.filter("n > 0").groupBy("u", "n").agg(*per_class), "classes")
+    rare = sketch.select(F.explode("pre").alias("w"), "u")
+    counts = rare.repartition("w").sortWithinPartitions("w", "u").mapInArrow(_shared, "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
+    enough = F.coalesce("k", F.lit(0)) + F.col("hot") >= _bound(F.col("n"), least)  # hot shingles count as shared without a look
+    alive = written(classes.join(counts, "u", "left").filter(enough).select("u", "n", "rep"), "alive")
 
     slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot")
     whole_ = texts.select("d", slot, "text").mapInArrow(_sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent), "d long, u long, rare array<long>, hot array<long>")
     sets = written(whole_.join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi").select("u", "rare", "hot"), "sets")
 
-    minima = first.select("u", "n", F.posexplode("mins").alias("j", "v")).join(alive.select("u"), "u", "left_semi")
+    first = sketch.select("d", "u", "n", "mins").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi")
+    minima = first.select("u", "n", F.posexplode("mins").alias("j", "v"))
     heads = minima.groupBy("j", "v").agg(F.min(F.struct("u", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     star = attach(minima, heads, ["j", "v"], "size").filter(F.col("head").isNotNull() & (F.col("u") != F.col("head.u")))
     star = star.filter(_possible(F.col("n"), F.col("head.n"), F.least("n", "head.n"), least)).groupBy(F.col("head.u").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"))
@@ -340,8 +342,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     links = written(verify(tried, sets, least), "links")
     nodes = components(links)
+    tokens = written(token_groups(sets, alive, nodes, least), "matrix")
     for leaders in (True, False):
-        matrix = written(token_groups(sets, alive, nodes, least), "matrix")
+        placed = tokens.drop("c").join(nodes.select(F.col("node").alias("u"), "component"), "u", "left")
+        matrix = placed.select("w", "u", "n", F.coalesce("component", "u").alias("c"), "room", "l")
         pairs = written(candidates(matrix, leaders, least).join(tried, ["a", "b"], "left_anti"), "candidates")
         pairs = written(opened(pairs, matrix, least), "opened")
         if pairs.isEmpty():
