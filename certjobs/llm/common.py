@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,74 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that this driver has written to the shared folder, in order.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back, so that lost executors cost no
     recomputation of earlier steps."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that were written on the way there are deleted."""
+    before = len(_TABLES)
+    out = written(make(), label)
+    spark = out.sparkSession
+    for path in _TABLES[before:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _TABLES[before:-1]
+    return out
+
+
+#: Bits of a gate: so many for each row, within these bounds (the upper one is 32 MB).
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+
+
+def gate_bits(rows: int) -> int:
+    """Bits of a gate for so many rows: the next power of two."""
+    return max(LEAST_BITS, min(MOST_BITS, 1 << (BITS_PER_ROW * max(rows, 1) - 1).bit_length()))
+
+
+def gate(slots: DataFrame) -> DataFrame:
+    """The slots of the single column ``slot`` as bitmaps: (part, bits), 32,768 slots a row; so at most MOST_BITS / 8 bytes."""
+    at = F.col("slot") + 1  # the first bitmap holds 1 to 32768
+    return slots.groupBy(F.bitmap_bucket_number(at).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+
+
+def passing(rows: DataFrame, slot: Column, bitmaps: DataFrame) -> DataFrame:
+    """``rows`` with ``__pass``: whether the gate has the row's slot. Gates are broadcast, as their size is bounded."""
+    joined = rows.withColumn("__slot", slot).join(F.broadcast(bitmaps), F.bitmap_bucket_number(F.col("__slot") + 1) == F.col("__part"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.pmod(F.col("__slot"), F.lit(32768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(__byte, cast(pmod(__slot, 8) AS int)) & 1")
+    marked = joined.withColumn("__byte", F.when(F.col("__part").isNotNull(), byte)).withColumn("__pass", F.coalesce(bit == 1, F.lit(False)))
+    return marked.drop("__slot", "__part", "__bits", "__byte")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``rows`` without those whose ``keys`` (null-safe) the written table ``gone`` has.
+
+    Only rows that a gate over ``gone`` lets through meet it in a join; all others pass as they are, so whole texts are not
+    shuffled to drop a few.
+    """
+    count = gone.count()
+    if not count:
+        return rows
+    bits = gate_bits(count)
+    slot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    marked = passing(rows, slot(keys.values()), gate(gone.select(slot([F.col(k) for k in keys]).alias("slot")).distinct()))
+    listed = gone.select(*[F.col(k).alias(f"__gone_{k}") for k in keys]).distinct()
+    same = [c.eqNullSafe(F.col(f"__gone_{k}")) for k, c in keys.items()]
+    some = marked.filter("__pass").join(listed, same, "left_anti")
+    return marked.filter("NOT __pass").unionByName(some).drop("__pass")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -104,16 +164,29 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, by_class: bool, chars: int, key: str = "doc_id") -> DataFrame:
+def usable_labels(labels: DataFrame, target: str, key: str = "doc_id") -> DataFrame:
+    """The labels that a model may learn from: one row (key, y) for each key outside the held-out fold, y 0 or 1."""
+    return labels.filter(~held_out(key)).filter(F.col(key).isNotNull() & F.col(target).isin(0, 1)).groupBy(key).agg(F.max(target).alias("y"))
+
+
+def spread_blocks(text: Column, size: int, most: int) -> Column:
+    """At most ``most`` blocks of ``size`` code points, spread evenly over the whole text; all of them where there are no more."""
+    n = F.ceil(F.length(text) / size).cast("int")
+    taken = F.least(n, F.lit(most))
+    at = F.transform(F.sequence(F.lit(0), F.greatest(taken, F.lit(1)) - 1), lambda i: F.floor(i * n / F.greatest(taken, F.lit(1))).cast("int"))
+    return F.transform(at, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, by_class: bool, text: Column, key: str = "doc_id") -> DataFrame:
     """A bounded sample of labelled rows outside the held-out fold, to fit a classifier on: (k, t, y).
 
-    At most ``most`` rows (of each class, if ``by_class``), the first by a hash of their keys, and at most ``chars`` code
-    points of each. Only fitting uses it; scoring reads every row and whole texts."""
-    usable = labels.filter(~held_out(key)).filter(F.col(key).isNotNull() & F.col(target).isin(0, 1)).groupBy(key).agg(F.max(target).alias("y"))
+    At most ``most`` rows (of each class, if ``by_class``), the first by a hash of their keys; ``text`` is what is taken of each.
+    Only fitting uses it; scoring reads every row and whole texts."""
+    usable = usable_labels(labels, target, key)
     order = [F.xxhash64(key), F.col(key)]
     if by_class:
         chosen = usable.filter("y = 0").orderBy(*order).limit(most).union(usable.filter("y = 1").orderBy(*order).limit(most))
     else:
         chosen = usable.orderBy(*order).limit(most)
     # at most 2 * most keys and labels, so the broadcast is bounded
-    return docs.join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.substring(text_of(), 1, chars).alias("t"), F.col("y").cast("int").alias("y"))
+    return docs.join(F.broadcast(chosen), key).select(F.col(key).alias("k"), text.alias("t"), F.col("y").cast("int").alias("y"))
