@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.llm.common import labelled_sample
+from certjobs.llm.common import labelled_sample, spread_blocks, text_of, usable_labels
 
-#: Labelled rows of each class that the dictionaries and the calibration are fitted on, and code points of each.
+#: Labelled rows of each class that the dictionaries and the calibration are fitted on, and blocks of each, spread over its
+#: whole text.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 8000
+SAMPLE_BLOCKS = 16
 #: Bytes of a dictionary, bytes compressed at a time, and the compression level.
 DICTIONARY = 128 << 10
 BLOCK = 512
@@ -27,8 +29,8 @@ def _blocks(raw: bytes) -> list[bytes]:
     return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    parts = [b for t in texts for b in _blocks(t.encode()) if len(b) >= 8]
+def _dictionary(texts: list[list[str]]) -> bytes:
+    parts = [b for t in texts for s in t for b in _blocks(s.encode()) if len(b) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself serves
@@ -55,11 +57,14 @@ class CompressionScore:
 
     def difference(self, text: str | None) -> float:
         """(size with the bad dictionary - size with the good one) / bytes, over the whole text in blocks."""
-        raw = (text or "").encode()
-        if not raw:
+        return self.of_blocks(_blocks((text or "").encode()))
+
+    def of_blocks(self, blocks: list[bytes]) -> float:
+        total = sum(map(len, blocks))
+        if not total:
             return 0.0
         good, bad = self._pair
-        return sum(len(bad.compress(b)) - len(good.compress(b)) for b in _blocks(raw)) / len(raw)
+        return sum(len(bad.compress(b)) - len(good.compress(b)) for b in blocks) / total
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.difference(text) + self.shift))))
@@ -80,11 +85,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a / scale), float(b)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> CompressionScore:
+def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, blocks: int = SAMPLE_BLOCKS) -> CompressionScore:
     """Dictionaries from one half of a bounded labelled sample, the calibration from the other half, weighted so that
-    the classes count as often as they are labelled. Without rows of both classes the score is a constant."""
-    sample = sorted((r["k"], r["t"], r["y"]) for r in labelled_sample(docs, labels, target, rows, True, chars).collect())
-    counts = {r[target]: r["count"] for r in labels.groupBy(target).count().collect() if r[target] in (0, 1)}  # two values
+    the classes count as often as they are labelled outside the held-out fold; no held-out label is read. Without rows of both
+    classes the score is a constant."""
+    texts = labelled_sample(docs, labels, target, rows, True, spread_blocks(text_of(), BLOCK, blocks))
+    sample = sorted((r["k"], r["t"], r["y"]) for r in texts.collect())  # at most 2 * rows * blocks * BLOCK code points
+    counts = {r["y"]: r["n"] for r in usable_labels(labels, target).groupBy("y").agg(F.count("*").alias("n")).collect()}  # two values
     by = {c: [t for _, t, y in sample if y == c] for c in (0, 1)}
     if min(len(by[0]), len(by[1])) < 2:
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -93,7 +100,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", row
     rest = [(t, c) for c in (0, 1) for t in by[c][1::2]]
     y = np.array([c for _, c in rest], float)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    model.slope, model.shift = fit_logistic(np.array([model.difference(t) for t, _ in rest]), y, weight * len(y) / weight.sum())
+    model.slope, model.shift = fit_logistic(np.array([model.of_blocks([b for s in t for b in _blocks(s.encode())]) for t, _ in rest]), y, weight * len(y) / weight.sum())
     return model
 
 
