@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,15 +21,18 @@ MOST = 2048
 #: Rows of one bucket and sub-key that are numbered together, on average.
 NUMBERED = 1_000_000
 
+#: Runs without a word boundary from which on a text goes to the tokenizers library: white space, or anything else.
+_RUN = re.compile(r"\s{512}|\S{4096}")
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 class Ids:
     """Ids of whole texts under a byte-level vocabulary, as little-endian unsigned 32-bit bytes.
 
-    The ids are those of the tokenizers library for ``file``. A text that holds a special token's string goes to that library;
-    any other text gets the same ids, several times faster, from the same vocabulary as ranks (``ranks``). The tests
-    compare both.
+    The ids are those of the tokenizers library for ``file``. That library itself encodes texts that hold a special token's
+    string or a long run (``_RUN``), on which the other encoder fails or slows down; any other text gets the same ids, several
+    times faster, from the same vocabulary as ranks (``ranks``). The tests compare both on every code point and on such runs.
     """
 
     def __init__(self, file: str, ranks: str):
@@ -43,7 +47,7 @@ class Ids:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if _RUN.search(text) or any(s in text for s in self.special):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
