@@ -14,15 +14,14 @@ from pyspark.sql import types as T
 
 from certjobs.llm.common import labelled_sample, text_of, written
 
-#: Labelled rows that the scorer is fitted on, and code points of each.
+#: Labelled rows that the scorer is fitted on, by their whole texts.
 SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 20_000
 #: Documents of the sample that must hold a feature: this many, and one in so many.
 LEAST_DOCS, LEAST_SHARE = 4, 1500
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (5, 6, 7, 8, 9)
-#: Restored tokens that a task remembers.
-REMEMBERED = 100_000
+#: Tokens that a task remembers, plain ones and restored ones.
+REMEMBERED = 300_000
 
 #: Letters that a sign may stand for.
 SIGNS = {
@@ -57,15 +56,12 @@ class Decoder:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
-        self.known: dict[str, str] = {}
+        self.plain: set[str] = set()
+        self.odd: dict[str, list[str]] = {}
 
     def token(self, raw: str) -> str:
         """A word with its signs and repeats decoded; one that is not odd has a lattice of one path and stays."""
-        if raw not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[raw] = self._decode(self._arcs(raw.lower())) if _ODD.match(raw) else raw
-        return self.known[raw]
+        return self._decode(self._arcs(raw.lower())) if _ODD.match(raw) else raw
 
     def spaced(self, raw: str) -> str:
         """Single characters with marks between them: at each mark the path joins them or starts another word."""
@@ -79,11 +75,19 @@ class Decoder:
 
     def words(self, text: str) -> set[str]:
         """The words of a text, as written and as restored: what is decoded never takes a written word away."""
-        found = set(_WORD.findall(text.lower()))
-        for raw in set(_TOKEN.findall(text)):
+        low = text.lower()
+        found, tokens = set(_WORD.findall(low)), set(_TOKEN.findall(low))
+        new = tokens.difference(self.plain, self.odd)
+        if len(self.plain) + len(self.odd) + len(new) > REMEMBERED:
+            self.plain, self.odd, new = set(), {}, tokens
+        for raw in new:
             path = self.token(raw)
-            if path is not raw:
-                found.update(_WORD.findall(path))
+            if path is raw:
+                self.plain.add(raw)
+            else:
+                self.odd[raw] = _WORD.findall(path)
+        for raw in tokens & self.odd.keys():
+            found.update(self.odd[raw])
         for m in _SPACED.finditer(text):
             found.update(_WORD.findall(self.spaced(m[0])))
         return found
@@ -219,13 +223,13 @@ def _featured(cost: np.ndarray):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """The character model from all of ``docs``; the scorer from a bounded sample of labelled rows, restored first.
 
     Features are counted by Spark; those that enough documents hold, toxic ones about twice as often as all, go to the
     driver. Without labelled rows of both classes the score is a constant."""
     cost = language_model(docs)
-    sample = labelled_sample(docs, labels, target, rows, False, chars)
+    sample = labelled_sample(docs, labels, target, rows, False, text_of())
     held = written(sample.mapInArrow(_featured(cost), "k string, y int, f array<string>"), "features")
     known = held.select("k", "y").toArrow()  # at most ``rows``
     y_of = dict(zip(known["k"].to_pylist(), known["y"].to_pylist(), strict=True))
@@ -249,7 +253,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", na
     """``docs`` with the probability ``name`` that a text is toxic; an existing column of that name is replaced. Whole
     texts are restored and scored; null counts as empty, and an empty text gets the score of no features."""
     base = docs.drop(name)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS * SAMPLE_CHARS
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # features that LEAST_DOCS of SAMPLE_ROWS texts hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
