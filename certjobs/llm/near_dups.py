@@ -59,11 +59,11 @@ def prefix_bound(n: int, least: int) -> int:
     return needed_hits(least_overlap(n, least), least)
 
 
-SKETCH = "d long, u long, n int, mins array<long>, pre array<long>, hot array<long>"
+SKETCH = "d long, tag long, u long, n int, mins array<long>, pre array<long>, hot array<long>"
 
 
 def _sketch(size: int, least: int, frequent: np.ndarray):
-    """(d, text) -> a hash of the row's whole set (u), the set's size, its minima, and its prefix (rare shingles, then hot ones)."""
+    """(d, text, tag) -> a hash of the row's whole set (u), the set's size, its minima, and its prefix (rare shingles, then hot ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +80,8 @@ def _sketch(size: int, least: int, frequent: np.ndarray):
                         c.append(v)
                 types = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
                 made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([d[w.first : w.first + w.rows], *made], ["d", "u", "n", "mins", "pre", "hot"])
+                own = slice(w.first, w.first + w.rows)
+                yield pa.RecordBatch.from_arrays([d[own], batch.column(2)[own], *made], ["d", "tag", "u", "n", "mins", "pre", "hot"])
 
     return run
 
@@ -301,8 +302,9 @@ def opened(pairs: DataFrame, matrix: DataFrame, least: int) -> DataFrame:
     return both.join(open_.select(F.col("u").alias("b"), F.col("o").alias("a")), ["a", "b"], "left_semi").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST, tag: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``key``, ``n_shingles``, ``component_id``, the smallest key reachable by links, ``group_id``, which
+    names the component (null for texts without words), and ``tag``, if one is given, a long by which rows can be told apart.
 
     Words are separated by ASCII white space, A to Z lower-cased. Two texts link when the common shingles are at least
     ``least`` hundredths of all shingles of both. Null and empty texts have no shingles and link with nothing. Rows
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     link between groups is lost.
     """
     none = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
-    texts = docs.select(none.alias("d"), text_of(text).alias("text"))
+    texts = docs.select(none.alias("d"), text_of(text).alias("text"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
     per_row: Callable[[Words, int], np.ndarray] = lambda w, r: shingles(w, r, size)
     frequent = frequent_hashes(texts.select("text"), NOT_SPACE, True, per_row, HOT)
     sketch = written(texts.mapInArrow(_sketch(size, least, frequent), SKETCH), "sketch")
@@ -356,8 +358,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     grouped = written(nodes.withColumnRenamed("node", "u").join(classes, "u"), "grouped")
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"), F.count("*").alias("members"))
-    named = attach(grouped.select("u", "n", "component"), smallest, ["component"], "members").select("u", "n", "smallest")
-    joined = classes.join(named, ["u", "n"], "left").select("u", "n", "size", F.coalesce("smallest", "rep").alias("component"))
-    out = attach(sketch.select("d", "u", "n"), joined, ["u", "n"], "size")
+    named = attach(grouped.select("u", "n", "component"), smallest, ["component"], "members").select("u", "n", "smallest", F.col("component").alias("group"))
+    joined = classes.join(named, ["u", "n"], "left").select("u", "n", "size", F.coalesce("smallest", "rep").alias("component"), F.coalesce("group", "u").alias("group"))
+    out = attach(sketch.select("d", "tag", "u", "n"), joined, ["u", "n"], "size")
     real = lambda c: F.when(c != NONE, c)
-    return out.select(real(F.col("d")).alias(key), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "d")).alias("component_id"))
+    return out.select(real(F.col("d")).alias(key), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "d")).alias("component_id"), F.col("group").alias("group_id"), *([] if tag is None else ["tag"]))

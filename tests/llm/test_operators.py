@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on small fixtures with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,10 +9,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from certjobs.llm import words as words_
-from certjobs.llm.common import attach, components
+from certjobs.llm.common import attach, components, gate_bits, held_out, spread_blocks, without, written
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text, main_text, text_lines
@@ -69,6 +71,10 @@ def test_exact_dedup(spark):
         same = [j for j, u in rows if (u or "") == (t or "")]
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(same), len(same), i == max(same))
     assert exact_dedup(frame(spark, [])).count() == 0
+    many = [(i, "same" if i % 3 else f"{i % 50} " + "x" * (i % 7)) for i in range(3000)]
+    texts = dict(many)
+    largest = {t: max(i for i, u in many if u == t) for t in set(texts.values())}
+    assert all(r["keep_id"] == largest[texts[r["doc_id"]]] for r in exact_dedup(spark.createDataFrame(many, "doc_id long, text string")).collect())
     twice = exact_dedup(spark.createDataFrame([(None, "a"), (None, "a"), (3, "b")], "doc_id long, text string")).collect()
     assert sorted((r["group_size"], r["kept"]) for r in twice) == [(1, True), (2, True), (2, True)]
 
@@ -127,7 +133,7 @@ def test_near_duplicates_dense(spark):
 
 def test_near_duplicates_empty(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
-    assert [tuple(x) for x in near_duplicates(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]
+    assert [tuple(x) for x in near_duplicates(frame(spark, [(4, None)])).collect()] == [(4, 0, 4, None)]
 
 
 def test_prefix_bound():
@@ -158,6 +164,14 @@ def test_meeting_in_blocks():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_without(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(500)], "doc_id long, text string")
+    keys = {"doc_id": F.col("doc_id"), "tag": F.xxhash64("text")}
+    gone = written(spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(0, 500, 14)] + [(3, "t4")], "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("tag")), "gone")
+    assert sorted(r["text"] for r in without(rows, gone, keys).collect()) == sorted(f"t{i}" for i in range(500) if i % 14)
+    assert without(rows, written(gone.limit(0), "none"), keys).count() == 500 and gate_bits(0) < gate_bits(10**6) < gate_bits(10**12)
+
+
 def test_attach_keeps_hot_rows_out_of_the_shuffle(spark):
     rows = spark.range(20_000).select(F.col("id").alias("d"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")).unionByName(spark.createDataFrame([(-1, None)], "d long, k long"))
     groups = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("size"), F.min("d").alias("low"))
@@ -240,6 +254,21 @@ def test_packing(spark):
     assert pack(frame(spark, [])).count() == 0
 
 
+def test_packing_ids_on_every_code_point_and_long_runs():
+    ids = Ids(*tokenizer_files())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} b{c}{c}\n" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    texts += [" " * 200_000, "a" + "\n" * 5000 + "b", "x" * 100_000, "é" * 9000, "\t" * 511 + "a", "\u2003" * 3000 + " z", "don't  we'LL  it's   ", "1" * 5000]
+    for text in texts:
+        assert ids.of(text) == np.array(ids.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_repeated_rows_and_runs(spark):
+    got = pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, " " * 100_000), (2, None)], "doc_id long, text string")).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 2 * next(r["doc_tokens"] for r in got if r["doc_id"] == 1)
+
+
 def labelled(spark):
     """Good prose and junk; toxic where two bad words stand, some of them obfuscated."""
     r = random.Random(3)
@@ -273,6 +302,59 @@ def test_classifiers(spark):
     assert decoder.restore("plain words stay, 42 and it's fine") == "plain words stay, 42 and it's fine"
 
 
+def test_quality_reads_no_held_out_label(spark):
+    docs, labels = labelled(spark)
+    turned = labels.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality"))).unionByName(spark.createDataFrame([(None, 1, 1), (7, 3, 3)], labels.schema))
+    one, two = fit_quality(docs, labels), fit_quality(docs, turned)
+    assert (one.good, one.bad, one.slope, one.shift) == (two.good, two.bad, two.slope, two.shift)
+    assert fit_quality(docs.limit(0), labels.limit(0)).score("x") == 0.5
+
+
+def test_quality_scores_recomputed(spark):
+    """Scores of whole texts, recomputed block by block from the two dictionaries; blocks of the sample reach to a text's end."""
+    docs, labels = labelled(spark)
+    model = fit_quality(docs, labels)
+    rows = [(1, "river stone " * 400), (1, "river stone " * 400), (2, None), (3, "$$$ " * 3000)]
+    got = score_quality(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    for r in got:
+        raw, total = (r["text"] or "").encode(), 0
+        for i in range(0, len(raw), 512):
+            sizes = []
+            for d in (model.bad, model.good):
+                c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+                sizes.append(len(c.compress(raw[i : i + 512])))
+            total += sizes[0] - sizes[1]
+        z = model.slope * (total / len(raw) if raw else 0.0) + model.shift
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 0.02
+    text = "".join(chr(97 + i % 26) * 10 for i in range(100))
+    one = lambda most: spark.createDataFrame([(text,)], "text string").select(spread_blocks(F.col("text"), 100, most)).first()[0]
+    assert "".join(one(10)) == text and one(3) == [text[:100], text[300:400], text[600:700]] and spark.range(1).select(spread_blocks(F.lit(""), 10, 3)).first()[0] == [""]
+
+
+def test_decoder_against_exhaustive_search(spark):
+    """The best path of a token's lattice, against the cheapest of all its paths."""
+    decoder = Decoder(language_model(spark.createDataFrame([(1, "the idiot and the moron sat in a garden of stone " * 5)], "doc_id long, text string")))
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+    for raw in ("1d10t", "m00r0n", "gaarden", "st0n3", "a$$", "7h3", "é1"):
+        arcs = decoder._arcs(raw)
+        paths = []
+        for choice in itertools.product(*arcs):
+            word, price = "".join(c for c, _ in choice), sum(p for _, p in choice)
+            padded = [0, 0, *map(kind, word), 0]
+            paths.append((price + sum(decoder.cost[a][b][c] for a, b, c in zip(padded, padded[1:], padded[2:])), word))
+        best = min(paths)[0]
+        assert any(abs(p - best) < 1e-9 and w == decoder._decode(arcs) for p, w in paths), raw
+
+
+def test_toxicity_edges(spark):
+    docs, labels = labelled(spark)
+    model = fit_toxicity(docs, labels)
+    rows = [(1, "a1" * 30_000), (1, "a1" * 30_000), (2, "x " * 50_000), (3, None)]
+    got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    assert score_toxicity(docs.limit(0), fit_toxicity(docs.limit(0), labels)).count() == 0
+
+
 def test_obfuscations(spark):
     texts = ["what a moron he is", "you are an idiot and a clown", "a river and a stone, the idiot at the window", "the garden of a moron is a letter", "it is a clown, not an idiot"] * 40
     decoder = Decoder(language_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
