@@ -1,11 +1,15 @@
-"""From raw documents to training sequences: five stages, each a Spark job over all that the one before it kept."""
+"""From raw documents to training sequences: five stages, each a Spark job over all that the one before it kept.
+
+A row is known by its doc_id (which may be null) and a hash of its text, so rows that share a doc_id are judged each by its own
+text, and rows without one are kept or dropped like any other. Of rows that are alike in both, exact deduplication keeps one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import read_table, written
+from certjobs.llm.common import attach, read_table, settled, text_of, without, written
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.near_dups import near_duplicates
@@ -16,6 +20,10 @@ from certjobs.llm.quality import fit_quality, score_quality
 LEAST_QUALITY = 0.3
 
 
+def _row() -> dict[str, Column]:
+    return {"doc_id": F.col("doc_id"), "tag": F.xxhash64(text_of())}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the compression classifier rejects."""
     model = fit_quality(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
@@ -23,15 +31,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of equal texts the one with the largest doc_id."""
-    kept = written(exact_dedup(docs).filter("kept").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep of equal texts the one with the largest doc_id; null counts as empty and as the smallest doc_id. Of several rows with
+    that text and that doc_id one stays, whatever else they hold."""
+    judged = settled(lambda: exact_dedup(docs, carry=[_row()["tag"].alias("tag")]), "judged")
+    gone = settled(lambda: judged.filter("NOT kept").select("doc_id", "tag").distinct(), "gone")
+    again = settled(lambda: judged.filter("kept").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "tag"), "again")
+    left = without(docs, gone, _row())
+    if again.isEmpty():
+        return left
+    single = without(left, again, _row())
+    named = again.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_row()["tag"] == F.col("__tag"))
+    # one row of each, combined before the shuffle
+    one = left.join(named, same, "left_semi").groupBy(F.col("doc_id").alias("__id"), _row()["tag"].alias("__tag")).agg(F.first(F.struct(*docs.columns)).alias("r"))
+    return single.unionByName(one.select("r.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each component of near duplicates the document with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(written(kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    """Keep of each component of near duplicates the document with the smallest doc_id (null is the smallest; ties by the hash
+    of the text). Texts without words are no near duplicates and stay."""
+    found = settled(lambda: near_duplicates(docs, tag=_row()["tag"]).filter("group_id IS NOT NULL").select("doc_id", "tag", "group_id"), "components")
+
+    def others() -> DataFrame:
+        row = F.struct("doc_id", "tag")
+        heads = found.groupBy("group_id").agg(F.min(row).alias("head"), F.count("*").alias("size")).filter("size > 1")
+        joined = attach(found, heads, ["group_id"], "size").filter("head IS NOT NULL")
+        return joined.filter(~row.eqNullSafe(F.col("head"))).select("doc_id", "tag").distinct()
+
+    return without(docs, settled(others, "gone"), _row())
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
