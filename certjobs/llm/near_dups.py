@@ -43,7 +43,7 @@ def least_overlap(n: int, least: int) -> int:
 
 def needed_hits(n: int, least: int) -> int:
     """Common elements asked for within a prefix; grows with ``n``."""
-    return min(least_overlap(n, least), 1 + n // 20)
+    return min(least_overlap(n, least), 1 + n // 10)
 
 
 def prefix_length(n: int, least: int) -> int:
@@ -184,7 +184,7 @@ def _lo(n: Column, least: int) -> Column:
 
 def _bound(n: Column, least: int) -> Column:
     """``prefix_bound`` as a column."""
-    return F.least(_lo(_lo(n, least), least), F.lit(1) + F.floor(_lo(n, least) / 20))
+    return F.least(_lo(_lo(n, least), least), F.lit(1) + F.floor(_lo(n, least) / 10))
 
 
 def _possible(n: Column, m: Column, room: Column, least: int) -> Column:
@@ -293,9 +293,11 @@ def opened(pairs: DataFrame, matrix: DataFrame, least: int) -> DataFrame:
     side = lambda one, other: (
         pairs.select(one, other).join(place.select(F.col("u").alias(other), "c"), other).select(F.col(one).alias("u"), F.col("c").alias("g"), F.col(other).alias("o"))
     )
-    asked = side("a", "b").unionByName(side("b", "a"))
-    unions = matrix.select("w", F.col("c").alias("g")).distinct()
-    shared = matrix.select("w", "u", "n").join(asked.select("u", "g").distinct(), "u").join(unions, ["w", "g"])
+    asked = written(side("a", "b").unionByName(side("b", "a")), "asked")
+    # only the rows of sets and groups that are asked about go on
+    groups = written(asked.select("g").distinct(), "groups")
+    unions = matrix.select("w", F.col("c").alias("g")).join(groups, "g", "left_semi").distinct()
+    shared = matrix.select("w", "u", "n").join(written(asked.select("u", "g").distinct(), "bounds"), "u").join(unions, ["w", "g"])
     kept = shared.groupBy("u", "g").agg(F.countDistinct("w").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= _lo(F.col("n"), least))
     open_ = asked.join(kept.select("u", "g"), ["u", "g"]).select("u", "o")
     both = pairs.join(open_.select(F.col("u").alias("a"), F.col("o").alias("b")), ["a", "b"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POW: np.ndarray | None = None
 _INV: np.ndarray | None = None
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _ALL = np.arange(256)
 #: Bytes of a word, when words are `[^\x20\x09-\x0D]+`.
 NOT_SPACE = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
@@ -129,3 +132,11 @@ def slices(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool) ->
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         yield Words(r, to - r, buf, starts, ends, np.searchsorted(starts, cuts), hash_words(buf, starts, ends))
         r = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
