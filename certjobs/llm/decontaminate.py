@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.llm.common import text_of
+from certjobs.llm.common import attach, gate, gate_bits, passing, text_of, written
 from certjobs.llm.words import ALNUM, Words, grams, mix, signed, slices
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Benchmark text that may be broadcast; a larger benchmark is joined by a shuffle on the window hashes.
-BROADCAST_BYTES = 32 << 20
+#: Windows that may be broadcast (28 bytes each beside the items' texts, so some 64 MB); a larger benchmark is joined by a
+#: shuffle on the window hashes.
+BROADCAST_WINDOWS = 1_500_000
+
+#: Fixed value: a word of the lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ADDED = T.StructType(
     [
@@ -36,19 +40,30 @@ def item_windows(words: Words, row: int, window: int) -> tuple[int, int, int]:
 
 
 class WindowSet:
-    """Window hashes by window length, with the words to verify a hit and the items a window belongs to."""
+    """The windows of all items as flat arrays: by window length, sorted hashes with the bytes (words joined by one blank) and
+    the item of each. A window takes 28 bytes beside its item's text, which is held once."""
 
     def __init__(self, items: list[str], texts: list[str | None], window: int):
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}
+        self.items, parts, base = items, [], 0
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for w in slices(pa.array(texts, pa.large_string()), ALNUM, True):
             for r in range(w.rows):
                 a, n, size = item_windows(w, r, window)
-                for k, h in enumerate(grams(w.hashes[a : a + n + size - 1], size)) if n else ():
-                    key = tuple(w.word(i) for i in range(a + k, a + k + size))
-                    found.setdefault(size, {}).setdefault(int(h), {}).setdefault(key, set()).add(items[w.first + r])
-        self.by_size = {
-            size: (np.array(sorted(m), np.uint64), [m[h] for h in sorted(m)], self._bits(np.array(sorted(m), np.uint64))) for size, m in found.items()
-        }
+                if not n:
+                    continue
+                words = [w.word(i) for i in range(a, a + n + size - 1)]
+                ends = np.cumsum([len(x) + 1 for x in words])
+                starts = np.concatenate([[0], ends[:-1]])
+                hashes = grams(w.hashes[a : a + n + size - 1], size)
+                rows.setdefault(size, []).append((hashes, base + starts[:n], (ends[size - 1 :] - starts[:n] - 1).astype(np.int32), np.full(n, w.first + r, np.int32)))
+                parts.append(b" ".join(words) + b" ")
+                base += int(ends[-1])
+        self.text = b"".join(parts)
+        self.by_size = {}
+        for size, found in rows.items():
+            keys, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.by_size[size] = (keys[order], *(c[order] for c in rest), self._bits(keys))
 
     @staticmethod
     def _bits(keys: np.ndarray) -> np.ndarray:
@@ -59,33 +74,23 @@ class WindowSet:
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words lie in an occurrence of a window, and the items found by row."""
         edge, items = np.zeros(len(w.hashes) + 1, np.int64), {}
-        for size, (keys, members, bits) in self.by_size.items():
+        for size, (keys, starts, lengths, owners, bits) in self.by_size.items():
             g = grams(w.hashes, size)
             at = np.flatnonzero(bits[g & np.uint64((1 << 20) - 1)])
-            pos = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-            same = keys[pos] == g[at]
-            at, pos = at[same], pos[same]
+            low = np.searchsorted(keys, g[at])
+            high = np.searchsorted(keys, g[at], "right")
             rows = np.searchsorted(w.cuts, at, "right") - 1
-            inside = at + size <= w.cuts[rows + 1]
-            for i, p, r in zip(at[inside].tolist(), pos[inside].tolist(), rows[inside].tolist(), strict=True):
-                owners = members[p].get(tuple(w.word(x) for x in range(i, i + size)))
-                if owners is not None:
+            inside = (low < high) & (at + size <= w.cuts[rows + 1])
+            for i, lo, hi, r in zip(at[inside].tolist(), low[inside].tolist(), high[inside].tolist(), rows[inside].tolist(), strict=True):
+                own = b" ".join([w.word(x) for x in range(i, i + size)])
+                same = [k for k in range(lo, hi) if lengths[k] == len(own) and self.text.startswith(own, int(starts[k]))]
+                if same:
                     edge[i] += 1
                     edge[i + size] -= 1
-                    items.setdefault(r, set()).update(owners)
+                    items.setdefault(r, set()).update(self.items[owners[k]] for k in same)
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def cut_words(w: Words, row: int, hit: np.ndarray) -> bytes:
-    """Bounds of the text pieces outside the hit words, as the bytes of the row without them."""
-    a, b = int(w.cuts[row]), int(w.cuts[row + 1])
-    keep = np.ones(int(w.ends[b - 1]) - int(w.starts[a]) if b > a else 0, bool)
-    base = int(w.starts[a]) if b > a else 0
-    for i in np.flatnonzero(hit[a:b]) + a:
-        keep[int(w.starts[i]) - base : int(w.ends[i]) - base] = False
-    return keep
-
-
 def _added(batch: pa.RecordBatch, text: str, found: WindowSet, clean: bool) -> list[pa.Array]:
     n_words, n_hit, items, cleaned = [], [], [], []
     for w in slices(batch.column(batch.schema.get_field_index(text)), ALNUM, True):
@@ -118,7 +123,7 @@ def _added(batch: pa.RecordBatch, text: str, found: WindowSet, clean: bool) -> l
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, clean: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+    window: int = WINDOW, clean: bool = False, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids of the benchmark items found, as sorted strings) and, where
     ``clean`` is set, ``clean_text`` (the text without the hit words).
@@ -128,13 +133,16 @@ def decontaminate(
     word by word. Null and empty texts have no words; an empty benchmark hits nothing; items with null ids or without
     words are left out; repeated rows are judged alike. Added columns replace columns of the same names.
 
-    The benchmark is measured first: up to ``broadcast_bytes`` of text, its windows go to every task; beyond that, the
-    windows of both sides meet in a shuffle on two independent 64-bit hashes.
+    The benchmark is measured first: up to ``broadcast_windows`` windows (a word may begin one) and sixteen bytes of text for each,
+    they go to every task; beyond that, the windows of both sides meet in a shuffle on their hash and their words. There a
+    window that very many documents hold is no hot key, as each distinct window comes once from the items and meets the
+    documents' windows by ``attach``.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), text_of(item_text).alias("text")).filter("item IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
+    size = items.agg(F.sum(F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    size = max(size["n"] or 0, (size["b"] or 0) // 16)
     base = docs.drop(*[f.name for f in ADDED])
-    if size > broadcast_bytes:
+    if size > broadcast_windows:
         return _by_shuffle(base, items, text, window, clean)
     rows = items.collect()
     found = docs.sparkSession.sparkContext.broadcast(WindowSet([r["item"] for r in rows], [r["text"] for r in rows], window))
@@ -147,37 +155,46 @@ def decontaminate(
     return base.mapInArrow(scan, T.StructType([*base.schema.fields, *ADDED.fields]))
 
 
-def _hashed(rows: DataFrame, window: int, sizes: list[int] | None) -> DataFrame:
-    """Windows of (id, text) rows: (id, at, size, h1, h2); of benchmark items if ``sizes`` is None."""
+def _windows(rows: DataFrame, window: int, sizes: list[int] | None) -> DataFrame:
+    """Windows of (id, text) rows: (id, at, h, words), h from the length and the words; of items if ``sizes`` is None."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for w in slices(batch.column(1), ALNUM, True):
-                other = mix(w.hashes ^ np.uint64(0x5851F42D4C957F2D))
                 for r in range(w.rows):
                     a, b = int(w.cuts[r]), int(w.cuts[r + 1])
                     for size in sizes if sizes is not None else [min(window, b - a)]:
                         if size and b - a >= size:
-                            h1, h2 = signed(grams(w.hashes[a:b], size)), signed(grams(other[a:b], size))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.repeat(ids[w.first + r], len(h1)), pa.array(np.arange(len(h1))), pa.repeat(pa.scalar(size, pa.int32()), len(h1)), pa.array(h1), pa.array(h2)],
-                                ["id", "at", "size", "h1", "h2"],
-                            )
+                            h = signed(mix(grams(w.hashes[a:b], size) + np.uint64(size)))
+                            for k in range(0, len(h), 20_000):
+                                n = len(h[k : k + 20_000])
+                                words = [b" ".join([w.word(x) for x in range(a + i, a + i + size)]) for i in range(k, k + n)]
+                                yield pa.RecordBatch.from_arrays(
+                                    [pa.repeat(ids[w.first + r], n), pa.array(np.arange(k, k + n)), pa.repeat(pa.scalar(size, pa.int32()), n), pa.array(h[k : k + n]), pa.array(words, pa.binary())],
+                                    ["id", "at", "size", "h", "words"],
+                                )
 
-    return rows.mapInArrow(emit, "id string, at long, size int, h1 long, h2 long")
+    return rows.mapInArrow(emit, "id string, at long, size int, h long, words binary")
 
 
 def _by_shuffle(base: DataFrame, items: DataFrame, text: str, window: int, clean: bool) -> DataFrame:
-    """The same for a benchmark too large to broadcast. Equal texts are scanned once, by their SHA-256."""
+    """The same for a benchmark too large to broadcast. Equal texts are scanned once, by their SHA-256; every hit is a hit word by
+    word, as the words are part of the key."""
     if clean:
-        raise ValueError("clean_text needs a benchmark within broadcast_bytes")
-    owned = _hashed(items.select("item", "text"), window, None)
-    owners = owned.groupBy("size", "h1", "h2").agg(F.collect_set("id").alias("owners"))
+        raise ValueError("clean_text needs a benchmark within broadcast_windows")
+    owned = written(_windows(items.select("item", "text"), window, None), "windows")
+    owners = owned.groupBy("size", "h", "words").agg(F.collect_set("id").alias("owners"))
     sizes = [r["size"] for r in owned.select("size").distinct().collect()]  # at most ``window`` values
     marked = base.withColumn("__sha", F.sha2(text_of(text), 256))
     texts = marked.groupBy("__sha").agg(F.first(text_of(text)).alias("text"))
-    hits = _hashed(texts, window, sizes).join(owners, ["size", "h1", "h2"])
+    bits = gate_bits(owned.count())
+    slot = F.pmod(F.col("h"), F.lit(bits))
+    gates = gate(owned.select(slot.alias("slot")).distinct())  # spares writing windows that no item has
+    found = written(passing(_windows(texts, window, sizes), slot, gates).filter("__pass").drop("__pass"), "scanned")
+    key = ["size", "h", "words"]
+    uses = found.join(owned.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("uses"))
+    hits = attach(found, owners.join(uses, key), key, "uses").filter("owners IS NOT NULL")
     spans = hits.groupBy("id").agg(
         F.flatten(F.collect_set("owners")).alias("owners"), F.collect_set(F.struct("at", "size")).alias("spans")
     )

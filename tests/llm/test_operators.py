@@ -199,7 +199,7 @@ def test_decontaminate(spark, limit):
     items = [(1, " ".join(rows[0][1].split()[:15])), (2, "ONE!"), (3, None), (4, "?!"), (5, rows[-1][1]), (10, rows[-1][1]), (None, "two words")]
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in decontaminate(frame(spark, rows), bench, broadcast_bytes=limit).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in decontaminate(frame(spark, rows), bench, broadcast_windows=limit).collect()}
     for i, t in rows:
         w, hit, found = cut(t), set(), set()
         for item, text in items:
@@ -211,7 +211,7 @@ def test_decontaminate(spark, limit):
                         hit |= set(range(j, j + n))
                         found.add(str(item))
         assert got[i] == (len(w), len(hit), sorted(found))
-    assert decontaminate(frame(spark, []), bench, broadcast_bytes=limit).count() == 0
+    assert decontaminate(frame(spark, []), bench, broadcast_windows=limit).count() == 0
 
 
 def test_clean_text(spark):
