@@ -52,14 +52,24 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """What ``make`` returns, written; the tables that were written on the way there are deleted."""
     before = len(_TABLES)
     out = written(make(), label)
-    spark = out.sparkSession
     for path in _TABLES[before:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(out.sparkSession, path)
     del _TABLES[before:-1]
     return out
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a table that ``written`` gave, once nothing reads it any more."""
+    files = table.inputFiles()
+    if files:
+        _delete(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Bits of a gate: so many for each row, within these bounds (the upper one is 32 MB).
 BITS_PER_ROW, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import NONE, attach, components, text_of, written
+from certjobs.llm.common import NONE, attach, components, forget, text_of, written
 from certjobs.llm.frequent import among, frequent_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, mix, signed, slices, whole
 
@@ -194,7 +194,7 @@ def _possible(n: Column, m: Column, room: Column, least: int) -> Column:
 
 
 def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The token-group matrix: a row (w, u, n, c, room, l) for each shingle w of a set u in group c that another group holds too.
+    """The token-group matrix: a row (w, u, n, room, l) for each shingle w of a set u that another group holds too.
 
     ``l`` names the list of the sets that hold w, so shingles with equal lists have one name. ``room`` is the number of shared
     shingles of u from w on, in one order of all shingles (rare before frequent): two sets whose first common shingle is w
@@ -206,15 +206,15 @@ def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int
     named = F.xxhash64("df", F.col("sig").cast("string")).alias("l")
     rare = placed.select("u", "c", F.explode("rare").alias("w"))
     of_w = Window.partitionBy("w")
-    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "c", "w", "df", named)
+    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "w", "df", named)
     often = placed.select("u", "c", F.explode("hot").alias("w"))
     # hot shingles are at most (shingles per row) / HOT, whatever the size of the table
     lists = often.groupBy("w").agg(*[v.alias(k) for k, v in facts.items()]).filter("low < high").select("w", "df", named)
-    often = often.join(F.broadcast(lists), "w").select("u", "c", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
+    often = often.join(F.broadcast(lists), "w").select("u", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
     of_u = Window.partitionBy("u")
     ranked = rare.unionByName(often).select("*", F.count("*").over(of_u).alias("k"), F.row_number().over(of_u.orderBy("df", "w")).alias("at"))
     kept = ranked.join(sizes.select("u", F.col("n").cast("long").alias("n")), "u").filter(F.col("k") >= _lo(F.col("n"), least))
-    return kept.select("w", "u", "n", "c", (F.col("k") - F.col("at") + 1).alias("room"), "l")
+    return kept.select("w", "u", "n", (F.col("k") - F.col("at") + 1).alias("room"), "l")
 
 
 def _meet(least: int):
@@ -332,12 +332,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     counts = rare.repartition("w").sortWithinPartitions("w", "u").mapInArrow(_shared, "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
     enough = F.coalesce("k", F.lit(0)) + F.col("hot") >= _bound(F.col("n"), least)  # hot shingles count as shared without a look
     alive = written(classes.join(counts, "u", "left").filter(enough).select("u", "n", "rep"), "alive")
+    narrow = written(sketch.select("d", "tag", "u", "n", "mins"), "rows")
+    forget(sketch)  # prefixes are a third of all shingles
 
     slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot")
     whole_ = texts.select("d", slot, "text").mapInArrow(_sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent), "d long, u long, rare array<long>, hot array<long>")
     sets = written(whole_.join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi").select("u", "rare", "hot"), "sets")
 
-    first = sketch.select("d", "u", "n", "mins").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi")
+    first = narrow.select("d", "u", "n", "mins").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi")
     minima = first.select("u", "n", F.posexplode("mins").alias("j", "v"))
     heads = minima.groupBy("j", "v").agg(F.min(F.struct("u", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     star = attach(minima, heads, ["j", "v"], "size").filter(F.col("head").isNotNull() & (F.col("u") != F.col("head.u")))
@@ -348,7 +350,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = components(links)
     tokens = written(token_groups(sets, alive, nodes, least), "matrix")
     for leaders in (True, False):
-        placed = tokens.drop("c").join(nodes.select(F.col("node").alias("u"), "component"), "u", "left")
+        placed = tokens.join(nodes.select(F.col("node").alias("u"), "component"), "u", "left")
         matrix = placed.select("w", "u", "n", F.coalesce("component", "u").alias("c"), "room", "l")
         pairs = written(candidates(matrix, leaders, least).join(tried, ["a", "b"], "left_anti"), "candidates")
         pairs = written(opened(pairs, matrix, least), "opened")
@@ -362,6 +364,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"), F.count("*").alias("members"))
     named = attach(grouped.select("u", "n", "component"), smallest, ["component"], "members").select("u", "n", "smallest", F.col("component").alias("group"))
     joined = classes.join(named, ["u", "n"], "left").select("u", "n", "size", F.coalesce("smallest", "rep").alias("component"), F.coalesce("group", "u").alias("group"))
-    out = attach(sketch.select("d", "tag", "u", "n"), joined, ["u", "n"], "size")
+    out = attach(narrow.select("d", "tag", "u", "n"), joined, ["u", "n"], "size")
     real = lambda c: F.when(c != NONE, c)
     return out.select(real(F.col("d")).alias(key), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "d")).alias("component_id"), F.col("group").alias("group_id"), *([] if tag is None else ["tag"]))
