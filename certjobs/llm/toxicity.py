@@ -77,17 +77,17 @@ class Decoder:
         """The words of a text, as written and as restored: what is decoded never takes a written word away."""
         low = text.lower()
         found, tokens = set(_WORD.findall(low)), set(_TOKEN.findall(low))
-        new = tokens.difference(self.plain, self.odd)
+        new = [x for x in tokens - self.plain if x not in self.odd]
         if len(self.plain) + len(self.odd) + len(new) > REMEMBERED:
-            self.plain, self.odd, new = set(), {}, tokens
+            self.plain, self.odd, new = set(), {}, list(tokens)
         for raw in new:
             path = self.token(raw)
             if path is raw:
                 self.plain.add(raw)
             else:
                 self.odd[raw] = _WORD.findall(path)
-        for raw in tokens & self.odd.keys():
-            found.update(self.odd[raw])
+        for extra in filter(None, map(self.odd.get, tokens)):
+            found.update(extra)
         for m in _SPACED.finditer(text):
             found.update(_WORD.findall(self.spaced(m[0])))
         return found
