@@ -10,21 +10,28 @@ from certjobs.operators import pages as pages_
 from certjobs.operators import rules, transfers
 
 
-def extracted(pages: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Routed documents with the nine field structs: doc_id, num_pages, page_number, source_file, page2 and the fields. The
-    one shuffle is the routing's, on doc_id; ``source`` (doc_id, original_filename) names the files."""
-    routed = pages_.route_pages(pages_.classify_pages(pages)).withColumn("page_number", F.col("page1.page_no"))
+def routed(pages: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Documents with their two pages: doc_id, num_pages, page_number, source_file, page1 and page2. The one shuffle is the
+    routing's, on doc_id; ``source`` (doc_id, original_filename) names the files."""
+    docs = pages_.route_pages(pages_.classify_pages(pages)).withColumn("page_number", F.col("page1.page_no"))
     if source is None:
-        routed = routed.withColumn("source_file", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
-    else:
-        routed = routed.join(source.select("doc_id", F.col("original_filename").alias("source_file")), "doc_id", "left")
-    return fields_.extract_fields(routed, keep=["num_pages", "page_number", "source_file", "page2"])
+        return docs.withColumn("source_file", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return docs.join(source.select("doc_id", F.col("original_filename").alias("source_file")), "doc_id", "left")
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """Routed documents with the nine field structs: doc_id, num_pages, page_number, source_file and the fields; narrow."""
+    return fields_.extract_fields(docs, keep=["num_pages", "page_number", "source_file"])
 
 
 def run(pages: DataFrame, source: DataFrame | None = None, validate_transfers: bool = False) -> dict[str, DataFrame]:
     """certificates, fields, transfers and outcomes of all documents, lazily. Persist ``pages`` or write the tables with
-    ``write_tables`` if several are used."""
-    wide = extracted(pages, source)
-    ledger = transfers.transfer_rows(wide)
-    certs = rules.certificates(wide.drop("page2"), latest=transfers.latest_transfers(ledger), validate_transfers=validate_transfers)
-    return {"certificates": certs.drop("outcomes"), "fields": fields_.long_fields(wide), "transfers": ledger, "outcomes": rules.outcome_rows(certs), "wide": wide}
+    ``write_tables`` if several are used. The ledger hangs on the routed pages, not on the fields, so neither is worked
+    out for the other."""
+    docs = routed(pages, source)
+    wide, ledger = extracted(docs), transfers.transfer_rows(docs)
+    certs = rules.certificates(wide, latest=transfers.latest_transfers(ledger), validate_transfers=validate_transfers)
+    return {
+        "certificates": certs.drop("outcomes"), "fields": fields_.long_fields(wide), "transfers": ledger, "outcomes": rules.outcome_rows(certs),
+        "documents": docs.select("doc_id", "num_pages"),
+    }

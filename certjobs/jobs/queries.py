@@ -74,7 +74,7 @@ def fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one_field(name: str) -> None:
     def one(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wide = extraction.extracted(derived.certificate_pages(spark, sf_dir))
+        wide = extraction.extracted(extraction.routed(derived.certificate_pages(spark, sf_dir)))
         return wide.select("doc_id", F.col(f"{name}.value").alias("value"), F.col(f"{name}.confidence").alias("confidence"), F.col(f"{name}.needs_review").alias("needs_review"))
 
     one.__name__ = f"field_{name}"
@@ -300,7 +300,7 @@ def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def accuracy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(spark, sf_dir)
-    records = report.accuracy_records(out["certificates"], out["fields"], transfers_.transfer_counts(out["transfers"]), out["wide"].select("doc_id", "num_pages"))
+    records = report.accuracy_records(out["certificates"], out["fields"], transfers_.transfer_counts(out["transfers"]), out["documents"])
     return records.withColumn("n_fields", F.size("fields")).drop("fields")
 
 
@@ -493,7 +493,15 @@ def live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.job_progress(derived.jobs(spark, sf_dir), state)
 
 
-@query("SELECT field_name, source, count(*) AS n, count(value) AS filled FROM fields WHERE doc_id % 10 <> 0 GROUP BY ALL UNION ALL SELECT 'fronts', NULL, count(*), NULL FROM typed WHERE page_type = 'certificate_front'")
+#: The common SQL extracts from each document's routed page 1; here it is the document's front page, whichever it is.
+_ROUTED, _FRONT = "min(page_no) FILTER (page2_no IS NULL OR page_no <> page2_no) AS page1_no", "min(page_no) FILTER (page_type = 'certificate_front') AS page1_no"
+
+
+@query(
+    BASE.replace(_ROUTED, _FRONT)
+    + "SELECT field_name, source, count(*) AS n, count(value) AS filled FROM fields GROUP BY ALL UNION ALL SELECT 'fronts', NULL, count(*), NULL FROM typed WHERE page_type = 'certificate_front'",
+    base=False,
+)
 def page_stream_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's stateless extraction over all pages at rest, each page by itself, with the number of front pages."""
     pages = derived.certificate_pages(spark, sf_dir)
