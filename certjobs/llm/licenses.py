@@ -15,6 +15,8 @@ from certjobs.llm.common import text_of
 LEAST = 0.8
 #: Template text that may be broadcast, spread over the sizes it can match; beyond it the join is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: What parts blocks: line ends with nothing but signs (blank lines, bare comment marks) between them.
+BLOCK_END = r"\n[^A-Za-z0-9]*\n"
 
 #: Short public licence notices.
 NOTICES = {
@@ -86,10 +88,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, key: str = "doc_id", te
     """One row per row of ``docs``: ``doc_id``, ``n_matches`` (matching pairs of unit and template), ``licenses`` (their distinct
     template ids, sorted, comma-joined) and the best match (``best_license``, ``best_score``; ties by id), null if none.
 
-    A document is compared as a whole and line by line (distinct units). Two sets of bigrams can only reach the
+    A document is compared as a whole, by blocks of lines (a notice wrapped over several lines, also in a comment) and line by
+    line; equal units count once. Two sets of bigrams can only reach the
     coefficient ``least`` if the smaller has at least ``least / (2 - least)`` of the larger's size; a template meets only
     units within these bounds. Units without two words match nothing; null texts and templates count as empty; an empty
-    table gives no rows, and rows that repeat a key are judged by all texts of that key.
+    table gives no rows, and rows that repeat a key, null included, are judged by all texts of that key.
     """
     ratio = least / (2 - least)
     sized = templates.select("license_id", bigrams(text_of("text")).alias("t")).filter(F.size("t") > 0)
@@ -102,7 +105,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, key: str = "doc_id", te
     if bytes_ <= BROADCAST_BYTES:  # texts without any pivot word match nothing and are not taken apart
         words = pivots([r["t"] for r in templates.select(text_of("text").alias("t")).collect()], least)
         shown = docs.filter(reduce(or_, [F.contains(F.lower(body), F.lit(w)) for w in words], F.lit(False)))
-    units = shown.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(F.concat(F.array(body), F.split(body, "\n", -1)))).alias("unit"))
+    units = shown.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(F.concat(F.array(body), F.split(body, BLOCK_END, -1), F.split(body, "\n", -1)))).alias("unit"))
     met = units.select("doc_id", bigrams(F.col("unit")).alias("u")).withColumn("n", F.size("u")).join(small, "n")
     dice = (F.lit(2.0) * F.size(F.array_intersect("u", "t"))) / (F.col("n") + F.col("nt"))
     hits = met.select("doc_id", "license_id", dice.alias("score")).filter(F.col("score") >= least)

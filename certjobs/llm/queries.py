@@ -93,7 +93,8 @@ OP5_SQL = (
     + r"""),
 tw AS (SELECT license_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tpl),
 tb AS (SELECT license_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS t FROM tw),
-u AS (SELECT doc_id, unnest(list_distinct(list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10))))) AS unit FROM documents),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10)),
+  string_split_regex(coalesce(text, ''), '\n[^A-Za-z0-9]*\n')))) AS unit FROM documents),
 uw AS (SELECT doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u),
 ub AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS u FROM uw WHERE len(w) > 1),
 h AS (

@@ -17,7 +17,7 @@ from certjobs.llm.common import attach, components, gate_bits, held_out, spread_
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text, main_text, text_lines
-from certjobs.llm.licenses import notices, scan_licenses
+from certjobs.llm.licenses import NOTICES, notices, scan_licenses
 from certjobs.llm.near_dups import _meet, least_overlap, near_duplicates, prefix_bound, prefix_length
 from certjobs.llm.packing import Ids, pack, powers, tokenizer_files
 from certjobs.llm.quality import fit_quality, score_quality
@@ -429,3 +429,52 @@ def test_licenses(spark):
     rows = [(1, "prose\nReleased under the MIT License.\nmore"), (2, "Released   under the mit license"), (3, None), (4, "the licence"), (5, "Licensed under the Apache License, Version 2.0!\nReleased under the MIT License.")]
     got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices(spark)).collect()}
     assert [got[i]["licenses"] for i in range(1, 6)] == ["MIT", "MIT", "", "", "Apache-2.0,MIT"] and got[3]["best_license"] is None and got[1]["best_score"] == 1.0
+
+
+def wrapped(text, width, mark):
+    """``text`` in lines of about ``width`` characters, each after ``mark``."""
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) > width:
+            lines, line = [*lines, line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join(mark + x for x in [*lines, line])
+
+
+def test_wrapped_licenses(spark):
+    code = "\n".join(f"value_{i} = compute(value_{i}, offset={i})" for i in range(80))
+    rows = []
+    for i, (name, text) in enumerate(sorted(NOTICES.items())):
+        rows += [(10 * i + j, name, f"{mark}\n{wrapped(text, 70, mark)}\n{mark}\n\n{code}") for j, mark in enumerate(("", "# ", " * "))]
+    got = {r["doc_id"]: r["licenses"].split(",") for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string"), notices(spark)).collect()}
+    assert len(got) == len(rows) and all(name in got[d] for d, name, _ in rows)
+    grant = NOTICES["MIT-grant"]
+    full = f"MIT License\n\nCopyright (c) 1999 A\n\n{wrapped(grant[: grant.index('The above')], 70, '')}\n\n{wrapped(grant[grant.index('The above') :], 70, '')}\n\nAS IS.\n\n{code}"
+    assert scan_licenses(spark.createDataFrame([(1, full)], "doc_id long, text string"), notices(spark)).first()["licenses"] == "MIT-grant"
+
+
+def test_scans_on_edges(spark):
+    """Licenses and secrets: empty tables, repeated rows, null ids, blank and very long texts, columns with the names of added ones."""
+    names = "doc_id long, text string, source string, n string, licenses string, spans string, n_matches string, owners string"
+    make = lambda *rows: spark.createDataFrame([(d, t, "s", "x", "x", "x", "x", "x") for d, t in rows], names)
+    notice = "Released under the MIT License."
+    long = "\n" * 200_000 + "e" * 200_000 + "\n" + notice + "\n" + "é ;" * 100_000
+    docs = make((1, notice), (1, notice), (None, notice), (2, "\n \n"), (3, long), (4, ""), (5, None))
+    got = sorted((str(r["doc_id"]), r["licenses"], r["n_matches"]) for r in scan_licenses(docs, notices(spark)).collect())
+    assert [g[:2] for g in got] == [("1", "MIT"), ("1", "MIT"), ("2", ""), ("3", "MIT"), ("4", ""), ("5", ""), ("None", "MIT")]
+    assert scan_licenses(make(), notices(spark)).count() == 0 and scan_licenses(docs, notices(spark).limit(0)).filter("n_matches > 0").count() == 0
+    found = sorted((str(r["doc_id"]), r["n_hex"], r["base_spans"]) for r in scan_secrets(docs).collect())
+    assert [f[:2] for f in found] == [("1", 0), ("1", 0), ("2", 0), ("3", 1), ("4", 0), ("5", 0), ("None", 0)] and found[3][2] == "hex:200000:400000"
+    assert scan_secrets(make()).count() == 0
+    same = scan_secrets(make((1, "token=abcdefghijkl"), (1, "token=abcdefghijkl"))).collect()
+    assert [(r["n_assign"], r["n_live"]) for r in same] == [(1, 1)] * 2
+
+
+def test_html_edges(spark):
+    """Empty table, repeated rows, null keys, unclosed markup in time, clashing columns."""
+    names = "page_id long, url string, html string, text string, n_chars string"
+    page = f"<p>{PROSE}</p>"
+    rows = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (None, None, page, None, None), (2, "u", "<a " * 100_000, "x", "y"), (3, "u", page * 20_000, "x", "y"), (4, "u", " \n ", "x", "y")]
+    got = sorted((str(r["page_id"]), r["n_chars"]) for r in extract_text(spark.createDataFrame(rows, names)).collect())
+    assert [g for g in got if g[0] != "2"] == [("1", len(PROSE)), ("1", len(PROSE)), ("3", 20_000 * (len(PROSE) + 1) - 1), ("4", 0), ("None", len(PROSE))]
+    assert extract_text(spark.createDataFrame([], names)).count() == 0
