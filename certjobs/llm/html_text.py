@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +18,10 @@ from pyspark.sql import types as T
 LINES = 3
 DENSE = 60
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Where one of these may begin, and what decides where a tag ends.
+_MAY_BEGIN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_SIGNS = re.compile(r"[>\"']")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is never text of the page.
@@ -56,6 +60,42 @@ _BLOCKS = {
 }
 
 
+class _Tags:
+    """Finds a page's tags and comments. A "<" that begins none is text; after the first such one, the ends of all tags are worked
+    out once, from the back, so that a page of unclosed tags is not read again for each."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.signs, self.closed, self.last = page, [], [], -2
+
+    def after(self, at: int) -> re.Match[str] | None:
+        """The first tag or comment from ``at`` on."""
+        while m := _MAY_BEGIN.search(self.page, at):
+            at = m.start()
+            found = _TOKEN.match(self.page, at) if self._may_end(at) else None
+            if found:
+                return found
+            if self.last == -2:
+                self._ends()
+            at += 1
+        return None
+
+    def _ends(self) -> None:
+        """Whether a tag is ever closed by a > outside quotes, by the next sign that it meets."""
+        self.signs, self.last = [m.start() for m in _SIGNS.finditer(self.page)], self.page.rfind(">")
+        self.closed, nearest = [False] * (len(self.signs) + 1), {}
+        for i in range(len(self.signs) - 1, -1, -1):
+            sign = self.page[self.signs[i]]
+            self.closed[i] = sign == ">" or (sign in nearest and self.closed[nearest[sign] + 1])
+            nearest[sign] = i
+
+    def _may_end(self, at: int) -> bool:
+        if self.last == -2 or self.page.startswith(("<!--", "<![CDATA["), at):
+            return True
+        if self.page[at + 1] in "!?":  # any > ends these
+            return at < self.last
+        return self.closed[bisect_left(self.signs, at)]
+
+
 def _aside(tag: str, attributes: str, inside: int) -> int:
     """Whether an element holds menus and the like: 2 by its tag or a whole word of its attributes, 1 by a part of a word."""
     if tag in _VOID or tag in _NEVER and not (tag == "article" and inside):
@@ -68,10 +108,10 @@ def _aside(tag: str, attributes: str, inside: int) -> int:
     return int(any(not _NAMES.isdisjoint(re.split(r"[-_]+", w)) for w in words))
 
 
-def _left_by_start(tag: str, stack: list[str]) -> int:
-    """How many of the open elements stay open when ``tag`` starts."""
+def _left_by_start(tag: str, stack: list[str], opened: Counter[str]) -> int:
+    """How many of the open elements stay open when ``tag`` starts; ``opened`` counts them."""
     n = len(stack)
-    if tag in _ENDS:
+    if tag in _ENDS and any(opened[x] > 0 for x in _ENDS[tag][0]):
         ended, barrier = _ENDS[tag]
         for i in range(n - 1, -1, -1):
             if stack[i] in ended:
@@ -80,7 +120,7 @@ def _left_by_start(tag: str, stack: list[str]) -> int:
                 return i
             if (stack[i] in barrier) if barrier else (stack[i] not in _BETWEEN):
                 break
-    if tag in _BLOCKS:
+    if tag in _BLOCKS and opened["p"] > 0:
         i = n
         while i and stack[i - 1] in _INLINE:
             i -= 1
@@ -139,9 +179,9 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             close()
             article = min(article, groups.pop()[2])
 
-    n = len(page)
+    n, tags = len(page), _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = tags.after(at)
         if not m:
             said(page[at:])
             break
@@ -156,13 +196,15 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
                 close()
             if not (single and tag in ("svg", "math")):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if last.setdefault(tag, folded.rfind(f"</{tag}")) >= at else None
+                if not end:
+                    last[tag] = -1  # nor is there one further on
                 if end or tag in _UNPARSED:
                     at = end.end() if end else n
             continue
         if closing:
             left = _left_by_end(tag, stack) if opened[tag] > 0 else len(stack)
         else:
-            left = _left_by_start(tag, stack)
+            left = _left_by_start(tag, stack, opened)
         own = left == skip and closing and stack[left] == tag
         if left < len(stack):
             leave(left)
