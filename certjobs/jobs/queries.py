@@ -165,6 +165,21 @@ def document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "job_id", "original_filename", "status", "error_stage")
 
 
+@query(
+    """, known AS (SELECT doc_id FROM docs UNION ALL SELECT -c_custkey FROM customer), pg AS (SELECT doc_id, count(*) AS n FROM typed GROUP BY doc_id),
+e AS (SELECT known.doc_id, CASE WHEN n IS NULL THEN 1 WHEN n > 1 AND known.doc_id % 19 = 0 THEN 2 WHEN known.doc_id % 17 = 0 THEN 3 WHEN known.doc_id % 13 = 0 THEN 4 END AS e, n
+ FROM known LEFT JOIN pg USING (doc_id))
+SELECT doc_id, CASE WHEN e IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN e <= 2 THEN 'pdf_conversion' WHEN e > 2 THEN 'ocr' END AS error_stage,
+ ['NoPages', 'PageNumber', 'PageSize', 'NoText'][e] AS error_type,
+ CASE e WHEN 1 THEN 'no pages' WHEN 2 THEN '1 page numbers missing or repeated' WHEN 3 THEN n || ' pages without size' WHEN 4 THEN 'no text on any page' END AS error_message FROM e"""
+)
+def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes over pages some of which are spoilt, and over customers' uploads (negative ids) that have no pages."""
+    documents = derived.documents(spark, sf_dir).select("doc_id").union(derived.table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("doc_id")))
+    errors = pages_.page_errors(documents, derived.spoilt_pages(spark, sf_dir))
+    return tables.document_outcomes(documents, errors).select("doc_id", "status", "error_stage", "error_type", "error_message")
+
+
 @query("SELECT certs.*, job_id FROM certs JOIN docs USING (doc_id) JOIN jobs USING (job_id) WHERE owner = 'user1' AND needs_review")
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.job_results(_certs(spark, sf_dir), derived.documents(spark, sf_dir), derived.jobs(spark, sf_dir), "user1", review_only=True)
@@ -233,13 +248,18 @@ def bulk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("SELECT doc_id, job_id, (SELECT count(*) FROM transfers WHERE transfers.doc_id = docs.doc_id) AS transfers FROM docs WHERE job_id <> 3")
+@query(
+    """SELECT 'document' AS kind, doc_id AS id, job_id, (SELECT count(*) FROM transfers WHERE transfers.doc_id = docs.doc_id) AS n FROM docs WHERE job_id <> 3
+UNION ALL SELECT 'job', job_id, job_id, CASE WHEN job_id = 3 THEN 0 ELSE total END FROM progress"""
+)
 def clear_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left, with their transfers, and all jobs, with their totals."""
     docs = derived.documents(spark, sf_dir)
-    jobs = derived.jobs(spark, sf_dir).withColumn("total_files", F.lit(1))
+    jobs = tables.job_progress(derived.jobs(spark, sf_dir), docs).withColumnRenamed("total", "total_files")
     out = tables.clear_job({"transfers": _run(spark, sf_dir)["transfers"]}, docs, jobs, 3)
     counts = out["transfers"].groupBy("doc_id").agg(F.count("*").alias("transfers"))
-    return out["documents"].select("doc_id", "job_id").join(counts, "doc_id", "left").withColumn("transfers", F.coalesce("transfers", F.lit(0).cast("long")))
+    left = out["documents"].join(counts, "doc_id", "left").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "job_id", F.coalesce("transfers", F.lit(0).cast("long")).alias("n"))
+    return left.union(out["jobs"].select(F.lit("job"), "job_id", "job_id", F.col("total_files").cast("long")))
 
 
 def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,13 +285,13 @@ def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = ", ".join(
     f"coalesce({c if c != 'needs_review' else 'upper(substr(needs_review::VARCHAR, 1, 1)) || substr(needs_review::VARCHAR, 2)'}::VARCHAR, '') AS \"{label}\""
     for c, label in tables.EXPORT.items()
-    if c not in ("registered_folio_no", "face_value", "overall_confidence")
+    if c not in ("registered_folio_no", "face_value")
 )
 
 
 @query(f"""SELECT {_LABELS}, '' AS "Registered Folio No", coalesce(face_value::DECIMAL(12, 2)::VARCHAR, '') AS "Face Value Per Share" FROM certs""")
 def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.export_certificates(_run(spark, sf_dir)["certificates"]).drop("Overall Confidence")
+    return tables.export_certificates(_run(spark, sf_dir)["certificates"])
 
 
 @query("""SELECT original_filename AS "File name", error_stage AS "Error Stage", error_type AS "Error Type", error_message AS "Error Message" FROM docs WHERE status = 'failed'""")
@@ -296,12 +316,16 @@ def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT source_file AS file, num_pages, validation_status, validation_flags, coalesce(transfer_rows, 0) AS transfer_rows,
- coalesce(transfer_rows_needing_review, 0) AS transfer_rows_needing_review, 9 AS n_fields FROM certs JOIN routed USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+ coalesce(transfer_rows_needing_review, 0) AS transfer_rows_needing_review, fields_text
+ FROM certs JOIN routed USING (doc_id) LEFT JOIN counts USING (doc_id) JOIN (SELECT doc_id, string_agg(field_name || '=' || coalesce(value, 'null') || ':' || round(confidence * 10000)::BIGINT
+ || ':' || source || ':' || needs_review, '|' ORDER BY field_name) AS fields_text FROM fields GROUP BY doc_id) USING (doc_id)"""
 )
 def accuracy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(spark, sf_dir)
     records = report.accuracy_records(out["certificates"], out["fields"], transfers_.transfer_counts(out["transfers"]), out["documents"])
-    return records.withColumn("n_fields", F.size("fields")).drop("fields")
+    one = lambda k, v: F.concat_ws(":", F.concat(k, F.lit("="), F.coalesce(v["value"], F.lit("null"))), F.round(v["confidence"] * 10000).cast("long"), v["source"], v["needs_review"].cast("string"))
+    each = F.transform(F.array_sort(F.map_entries("fields")), lambda e: one(e["key"], e["value"]))
+    return records.withColumn("fields_text", F.array_join(each, "|")).drop("fields")
 
 
 @query(
@@ -373,7 +397,7 @@ def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 AS blur, l_extendedprice / 1000 AS contrast, l_discount * 100 AS illumination, l_tax * 1000 - 40 AS raw, l_partkey, l_suppkey, l_shipdate FROM lineitem),
 f AS (SELECT *, CASE WHEN raw - floor(raw / 90) * 90 > 45 THEN raw - floor(raw / 90) * 90 - 90 ELSE raw - floor(raw / 90) * 90 END AS folded FROM m),
 a AS (SELECT *, CASE WHEN abs(folded) < 0.3 OR abs(folded) > 15 THEN 0 ELSE -folded END AS angle FROM f)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', 'grayscale', 'border_removal', CASE WHEN angle <> 0 THEN 'deskew' END, CASE WHEN blur < 100 THEN 'sharpen' END,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', 'grayscale', 'border_removal', CASE WHEN angle <> 0 THEN 'deskew(' || printf('%.2f', angle::DOUBLE) || 'deg)' END, CASE WHEN blur < 100 THEN 'sharpen(blur_score=' || printf('%.0f', blur::DOUBLE) || ')' END,
  CASE WHEN contrast < 55 THEN 'clahe_contrast' END, CASE WHEN blur > 300 THEN 'denoise' END) AS steps, CASE WHEN illumination > 8 THEN 'adaptive' ELSE 'otsu' END AS layout_threshold FROM a""",
     base=False,
 )
@@ -383,17 +407,27 @@ def preprocess_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") * 100).alias("illumination"), (F.col("l_tax") * 1000 - 40).alias("angle"),
     )
     planned = quality.preprocessing_plan(rows)
-    steps = F.array_join(F.transform("steps", lambda s: F.regexp_replace(s, r"\(.*", "")), ",")
-    return planned.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", steps.alias("steps"), "layout_threshold")
+    return planned.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("steps", ",").alias("steps"), "layout_threshold")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) // 32 AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, h, unnest(l) AS byte, unnest(range(len(l))) AS i FROM (SELECT doc_id, h, regexp_extract_all(x, '..') AS l FROM d)),
+p AS (SELECT doc_id, i // 32 AS r, i % 32 AS c, h // 8 AS bh, ('0x' || byte)::INT AS v FROM b WHERE i < h * 32),
+q AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, c ORDER BY r) AS up, lead(v) OVER (PARTITION BY doc_id, c ORDER BY r) AS down,
+ lag(v) OVER (PARTITION BY doc_id, r ORDER BY c) AS lft, lead(v) OVER (PARTITION BY doc_id, r ORDER BY c) AS rgt FROM p),
+m AS (SELECT doc_id, var_pop(coalesce(up, down, v) + coalesce(down, up, v) + coalesce(lft, rgt) + coalesce(rgt, lft) - 4 * v) AS blur, stddev_pop(v) AS contrast FROM q GROUP BY doc_id),
+g AS (SELECT doc_id, stddev_pop(a) AS illumination FROM (SELECT doc_id, avg(v) AS a FROM p GROUP BY doc_id, r // greatest(bh, 1), c // 4) GROUP BY doc_id)
+SELECT doc_id, 1 AS page_no, round(blur, 3) AS blur, round(contrast, 3) AS contrast, round(illumination, 3) AS illumination FROM d LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    base=False,
+)
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of gray pages made of the documents' bytes, 32 to a row."""
+    """Metrics of gray pages made of the documents' bytes, 32 to a row; rounded to three digits, as sums differ by their order."""
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     h = F.floor(F.length("raw") / 32).cast("int")
     gray = F.substring(F.col("raw"), F.lit(1), h * 32)
-    return quality.page_quality(docs.select("doc_id", F.lit(1).alias("page_no"), h.alias("h"), F.lit(32).alias("w"), gray.alias("gray")))
+    measured = quality.page_quality(docs.select("doc_id", F.lit(1).alias("page_no"), h.alias("h"), F.lit(32).alias("w"), gray.alias("gray")))
+    return measured.select("doc_id", "page_no", *[F.round(c, 3).alias(c) for c in ("blur", "contrast", "illumination")])
 
 
 @query(

@@ -31,6 +31,31 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return hit.withColumn("page_type", kind).drop("__label")
 
 
+def page_errors(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """What keeps documents from being extracted: (doc_id, stage, type, message), for each of ``documents`` its first error only.
+
+    In this order: no pages, a page number that is missing or used twice (both of stage PDF_CONVERSION), a page without a size,
+    no text on any page (both OCR). Pages are counted per document before the join.
+    """
+    size = (F.col("image_width") > 0) & (F.col("image_height") > 0)
+    said = F.exists("lines", lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+    seen = pages.groupBy("doc_id", "page_no").agg(
+        F.count("*").alias("copies"), F.count_if(~F.coalesce(size, F.lit(False))).alias("unsized"), F.count_if(F.coalesce(said, F.lit(False))).alias("texts")
+    )
+    repeated = (F.col("copies") > 1) | F.col("page_no").isNull()
+    by_doc = seen.groupBy("doc_id").agg(F.lit(True).alias("any"), F.count_if(repeated).alias("repeated"), F.sum("unsized").alias("unsized"), F.sum("texts").alias("texts"))
+    error = lambda stage, kind, message: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("type"), message.alias("message"))
+    counted = lambda c, what: F.concat(F.col(c).cast("string"), F.lit(what))
+    first = (
+        F.when(F.col("any").isNull(), error("PDF_CONVERSION", "NoPages", F.lit("no pages")))
+        .when(F.col("repeated") > 0, error("PDF_CONVERSION", "PageNumber", counted("repeated", " page numbers missing or repeated")))
+        .when(F.col("unsized") > 0, error("OCR", "PageSize", counted("unsized", " pages without size")))
+        .when(F.col("texts") == 0, error("OCR", "NoText", F.lit("no text on any page")))
+    )
+    found = documents.select("doc_id").distinct().join(by_doc, "doc_id", "left").withColumn("e", first)
+    return found.filter("e IS NOT NULL").select("doc_id", "e.*")
+
+
 def route_pages(classified: DataFrame) -> DataFrame:
     """One row per document: ``num_pages``, ``page1`` and ``page2`` (structs of page_no, image_width, image_height, lines).
 

@@ -119,7 +119,7 @@ def clear_job(tables: dict[str, DataFrame], documents: DataFrame, jobs: DataFram
     gone = documents.filter(F.col("job_id") == job_id).select("doc_id")
     out = {name: rows.join(gone, "doc_id", "left_anti") for name, rows in tables.items()}
     total = F.when(F.col("job_id") == job_id, 0).otherwise(F.col("total_files")).cast("int")
-    return out | {"documents": documents.filter(F.col("job_id") != job_id), "jobs": jobs.withColumn("total_files", total)}
+    return out | {"documents": documents.filter(~F.col("job_id").eqNullSafe(job_id)), "jobs": jobs.withColumn("total_files", total)}
 
 
 def review_overlay(fields: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -93,6 +93,15 @@ def certificate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "p.page_no", F.lit(SIDE).alias("image_width"), F.lit(SIDE).alias("image_height"), "p.lines")
 
 
+def spoilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages, with all of some documents' pages numbered alike, without a size, or without text."""
+    k = F.col("doc_id")
+    return certificate_pages(spark, sf_dir).withColumns({
+        "page_no": F.when(k % 19 == 0, 1).otherwise(F.col("page_no")), "image_width": F.when(k % 17 != 0, F.col("image_width")),
+        "lines": F.when(k % 13 == 0, F.filter("lines", lambda x: F.lit(False))).otherwise(F.col("lines")),
+    })
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table: job by customer, status by the order's."""
     o = table(spark, sf_dir, "orders")

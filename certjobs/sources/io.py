@@ -21,7 +21,7 @@ PAGES = T.StructType(
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path``: path, filename, length. Contents are not read."""
+    """Files below ``path``: path, filename, length. Contents are not read. Files without any byte are not listed, as Spark's reader skips them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length")
 
@@ -76,10 +76,11 @@ def write_json(records: DataFrame, path: str) -> None:
 
 def write_tables(tables: dict[str, DataFrame], path: str, spread: int = 8) -> None:
     """Each table as Parquet below ``path``; those with a job_id are partitioned by it, a job's rows spread over ``spread``
-    tasks so that one large job fills no single one."""
+    tasks so that one large job fills no single one. Of these only the partitions of the jobs in ``tables`` are replaced, so a job
+    that is run again leaves the others' rows, and its own once."""
     for name, rows in tables.items():
         if "job_id" in rows.columns and "doc_id" in rows.columns:
-            rows.repartition("job_id", F.pmod(F.hash("doc_id"), F.lit(spread))).write.mode("overwrite").partitionBy("job_id").parquet(f"{path}/{name}")
+            rows.repartition("job_id", F.pmod(F.hash("doc_id"), F.lit(spread))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{path}/{name}")
         else:
             rows.write.mode("overwrite").parquet(f"{path}/{name}")
 

@@ -1,5 +1,6 @@
 """Progress, reviews, deletes, uploads, streams, pixels."""
 
+import json
 import os
 
 import duckdb
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from certjobs.jobs.oracle import BASE
 from certjobs.jobs.queries import page_stream_fields
-from certjobs.operators import quality, tables
+from certjobs.operators import quality, report, tables
+from certjobs.operators.pages import page_errors
 from certjobs.sources import io
-from certjobs.streaming.progress import extract_page_stream, merge_status, read_page_stream
+from certjobs.streaming.progress import extract_page_stream, merge_status, read_page_stream, start_progress
 from tests.test_extraction import HOLDER, SENTENCE, page
 
 
@@ -99,3 +101,93 @@ def test_exports(spark, tmp_path):
     io.write_csv(tables.export_failed(docs), out, one_file=True)
     text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".csv"))
     assert text == "File name,Error Stage,Error Type,Error Message\nb.pdf,ocr,E,m\n"
+
+
+def test_manifest(spark, tmp_path):
+    os.makedirs(tmp_path / "a" / "b")
+    for name, size in (("a/x.pdf", 3), ("a/b/y z.PNG", 2), ("a/b/empty.pdf", 0), ("a/b/v.exe", 1)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    found = io.read_manifest(spark, str(tmp_path))
+    assert sorted((r["filename"], r["length"]) for r in found.collect()) == [("v.exe", 1), ("x.pdf", 3), ("y z.PNG", 2)]
+    accepted, _ = io.validate_uploads(found)
+    assert sorted((r["safe_name"], r["file_type"], r["status"]) for r in accepted.collect()) == [("x.pdf", "pdf", "pending"), ("y_z.PNG", "png", "pending")]
+    jobs = spark.createDataFrame([(7, "queued")], "job_id long, status string")
+    pending = accepted.select(F.xxhash64("path").alias("doc_id"), F.lit(7).cast("long").alias("job_id"), "status")
+    assert [(r["total"], r["waiting"], r["percent"]) for r in tables.job_progress(jobs, pending).collect()] == [(2, 2, 0)]
+    assert tables.work_selection(jobs, pending).count() == 2
+
+
+def test_read_pages_composes(spark, tmp_path):
+    folder = os.path.join(tmp_path, "pages")
+    rows = [page(1, 1, ("ﬁve １２ cafe\u0301", (0, 0, 1, 1)), ("b", (0, 2, 1, 3))), page(1, 2, ("c", (0, 0, 1, 1)))]
+    spark.createDataFrame(rows, io.PAGES).write.parquet(folder)
+    for compose, first in ((False, "ﬁve １２ cafe\u0301"), (True, "five 12 caf\u00e9")):
+        got = {r["page_no"]: r for r in io.read_pages(spark, folder, compose=compose).collect()}
+        assert [x["text"] for x in got[1]["lines"]] == [first, "b"] and got[2]["image_width"] == 1000 and got[1]["lines"][0]["confidence"] == 0.95
+    assert io.read_pages(spark, folder).dtypes == io.read_pages(spark, folder, compose=True).dtypes == spark.createDataFrame([], io.PAGES).dtypes
+
+
+def test_jobs_tables_are_replaced_by_job(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, job_id long, v string")
+    folder = str(tmp_path)
+    read = lambda: sorted((r["doc_id"], r["job_id"], r["v"]) for r in spark.read.parquet(f"{folder}/t").collect())
+    io.write_tables({"t": make((1, 1, "a"), (2, 1, "b"), (3, 2, "c")), "plain": make((1, 1, "a")).select("v")}, folder)
+    assert read() == [(1, 1, "a"), (2, 1, "b"), (3, 2, "c")]
+    for _ in range(2):
+        io.write_tables({"t": make((1, 1, "z"), (4, 3, "n"))}, folder)
+        assert read() == [(1, 1, "z"), (3, 2, "c"), (4, 3, "n")]
+    assert [r["v"] for r in spark.read.parquet(f"{folder}/plain").collect()] == ["a"]
+
+
+def test_report_json(spark, tmp_path):
+    certs = spark.createDataFrame([(1, "1.pdf", "passed", ""), (2, "2.pdf", "failed", "x")], "doc_id long, source_file string, validation_status string, validation_flags string")
+    fields = spark.createDataFrame([(1, "b", None, 0.0, "regex", True), (1, "a", "v", 0.5, "ocr", False)], "doc_id long, field_name string, value string, confidence double, source string, needs_review boolean")
+    counts = spark.createDataFrame([(1, 3, 1)], "doc_id long, transfer_rows long, transfer_rows_needing_review long")
+    records = report.accuracy_records(certs, fields, counts, spark.createDataFrame([(1, 2)], "doc_id long, num_pages long"))
+    want = [
+        {"file": "1.pdf", "num_pages": 2, "fields": {"a": {"value": "v", "confidence": 0.5, "source": "ocr", "needs_review": False}, "b": {"value": None, "confidence": 0.0, "source": "regex", "needs_review": True}},
+         "validation_status": "passed", "validation_flags": "", "transfer_rows": 3, "transfer_rows_needing_review": 1},
+        {"file": "2.pdf", "num_pages": None, "fields": None, "validation_status": "failed", "validation_flags": "x", "transfer_rows": 0, "transfer_rows_needing_review": 0},
+    ]
+    assert sorted((json.loads(r["value"]) for r in report.report_json(records).collect()), key=lambda r: r["file"]) == want
+    folder = os.path.join(tmp_path, "json")
+    io.write_json(records, folder)
+    lines = [x for f in os.listdir(folder) if f.endswith(".json") for x in open(os.path.join(folder, f))]
+    assert sorted(map(json.loads, lines), key=lambda r: r["file"]) == want
+
+
+def test_page_errors(spark):
+    line = [(0, "x", 0.9, 0.0, 0.0, 1.0, 1.0)]
+    rows = [
+        (1, 1, 10, 10, line), (2, 1, 10, 10, line), (2, 1, None, 10, []), (3, 1, 10, 0, line), (3, 2, 10, 10, line), (4, 1, 10, 10, [(0, " ", 0.9, 0.0, 0.0, 1.0, 1.0), (1, None, 0.9, 0.0, 0.0, 1.0, 1.0)]),
+        (4, 2, 10, 10, None), (5, None, 10, 10, line), (6, 1, 10, 10, []), (6, 2, 10, 10, line), (9, 1, 10, 10, None),
+    ]
+    documents = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 7)], "doc_id long")
+    got = {r["doc_id"]: (r["stage"], r["type"], r["message"]) for r in page_errors(documents, spark.createDataFrame(rows, io.PAGES)).collect()}
+    assert got == {
+        2: ("PDF_CONVERSION", "PageNumber", "1 page numbers missing or repeated"), 3: ("OCR", "PageSize", "1 pages without size"), 4: ("OCR", "NoText", "no text on any page"),
+        5: ("PDF_CONVERSION", "PageNumber", "1 page numbers missing or repeated"), 7: ("PDF_CONVERSION", "NoPages", "no pages"),
+    }
+    assert page_errors(documents, spark.createDataFrame([], io.PAGES)).count() == 7
+
+
+def test_clear_job_keeps_documents_without_job(spark):
+    docs = spark.createDataFrame([(1, 3), (2, 4), (3, None)], "doc_id long, job_id long")
+    out = tables.clear_job({"t": docs.select("doc_id")}, docs, spark.createDataFrame([(3, 5), (4, 6)], "job_id long, total_files int"), 3)
+    assert sorted(r["doc_id"] for r in out["documents"].collect()) == sorted(r["doc_id"] for r in out["t"].collect()) == [2, 3]
+    assert {r["job_id"]: r["total_files"] for r in out["jobs"].collect()} == {3: 0, 4: 6}
+
+
+def test_progress_stream(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, job_id long, status string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    jobs = spark.createDataFrame([(1, "running")], "job_id long, status string")
+    schema, want = make((1, 1, "x", 1)).schema, [(2, 0, 0, 2, 0), (2, 1, 0, 1, 50), (2, 1, 1, 0, 100)]
+    steps = [((1, 1, "pending", 1), (2, 1, "pending", 1)), ((1, 1, "done", 5),), ((1, 1, "processing", 4), (2, 1, "failed", 6))]
+    for n, rows in enumerate(steps):
+        make(*rows).coalesce(1).write.mode("append").parquet(source)
+        started = start_progress(spark.readStream.schema(schema).parquet(source), jobs, folder)  # goes on where the last one ended
+        started.processAllAvailable()
+        started.stop()
+        got = spark.read.parquet(f"{folder}/progress/{n}").collect()
+        assert [(r["total"], r["done"], r["failed"], r["waiting"], r["percent"]) for r in got] == [want[n]]
