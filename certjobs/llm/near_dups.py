@@ -90,28 +90,33 @@ def _identity(s: np.ndarray) -> int:
     return int(signed(np.array([whole(s, 0x2545F4914F6CDD1D)], np.uint64))[0])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, u) in order -> partial counts (u, k) of the shingles that another set holds too; repeated rows count once.
-    Nothing is held but the last set seen of the current shingle."""
-    last_w, last_u, open_ = None, None, False  # open_: the last row of the batch before is not known to be shared yet
-    for batch in batches:
-        w, u = (np.asarray(batch.column(i)) for i in range(2))
-        counted = [np.empty(0, np.int64)]
-        if len(w):
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-            new[0] = (w[0], u[0]) != (last_w, last_u)
-            w, u = w[new], u[new]
-        if len(w):
-            if open_ and w[0] == last_w:
-                counted.append(np.array([last_u]))
-            before, after = np.zeros(len(w), bool), np.zeros(len(w), bool)
-            before[1:] = after[:-1] = w[1:] == w[:-1]
-            before[0] = w[0] == last_w
-            counted.append(u[before | after])
-            last_w, last_u, open_ = int(w[-1]), int(u[-1]), not bool(before[-1])
-        ids, k = np.unique(np.concatenate(counted), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k, pa.int64())], ["u", "k"])
+def _shared(least: int):
+    """Rows (w, n, u) in order -> partial counts (u, k) of the shingles that another set holds too whose size lets the two link;
+    repeated rows count once. In order of size a set has such a partner if its next neighbour on either side is one, so nothing
+    is held but the last set seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, open_ = None, False  # open_: the last row of the batch before is not known to be shared yet
+        for batch in batches:
+            w, n, u = (np.asarray(batch.column(i)) for i in range(3))
+            counted = [np.empty(0, np.int64)]
+            if len(w):
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
+                new[0] = last is None or (w[0], u[0]) != (last[0], last[2])
+                w, n, u = w[new], n[new].astype(np.int64), u[new]
+            if len(w):
+                fits = np.zeros(len(w), bool)
+                fits[1:] = (w[1:] == w[:-1]) & (100 * n[:-1] >= least * n[1:])
+                fits[0] = last is not None and w[0] == last[0] and 100 * last[1] >= least * n[0]
+                if open_ and fits[0]:
+                    counted.append(np.array([last[2]]))
+                counted.append(u[fits | np.append(fits[1:], False)])
+                last, open_ = (int(w[-1]), int(n[-1]), int(u[-1])), not bool(fits[-1])
+            ids, k = np.unique(np.concatenate(counted), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k, pa.int64())], ["u", "k"])
+
+    return run
 
 
 def _gate(ids: DataFrame) -> np.ndarray:
@@ -194,19 +199,22 @@ def _possible(n: Column, m: Column, room: Column, least: int) -> Column:
 
 
 def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The token-group matrix: a row (w, u, n, room, l) for each shingle w of a set u that another group holds too.
+    """The token-group matrix: a row (w, u, n, room, l) for each shingle w of a set u that another group holds too, and another
+    set of a size that lets the two link (in order of size, one of its two neighbours then).
 
     ``l`` names the list of the sets that hold w, so shingles with equal lists have one name. ``room`` is the number of shared
     shingles of u from w on, in one order of all shingles (rare before frequent): two sets whose first common shingle is w
     have no more than the lesser room in common. Sets that share fewer than ``least_overlap`` shingles with other groups are
     ruled out.
     """
-    placed = sets.join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    placed = sets.withColumn("n", (F.size("rare") + F.size("hot")).cast("long")).join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
     facts = {"low": F.min("c"), "high": F.max("c"), "df": F.count("*"), "sig": F.sum(F.xxhash64("u").cast("decimal(38,0)"))}
     named = F.xxhash64("df", F.col("sig").cast("string")).alias("l")
-    rare = placed.select("u", "c", F.explode("rare").alias("w"))
+    rare = placed.select("u", "c", "n", F.explode("rare").alias("w"))
     of_w = Window.partitionBy("w")
-    rare = rare.select("*", *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("low < high").select("u", "w", "df", named)
+    by_size = of_w.orderBy("n", "u")
+    fits = (100 * F.lag("n").over(by_size) >= least * F.col("n")) | (100 * F.col("n") >= least * F.lead("n").over(by_size))
+    rare = rare.select("*", fits.alias("fits"), *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("fits AND low < high").select("u", "w", "df", named)
     often = placed.select("u", "c", F.explode("hot").alias("w"))
     # hot shingles are at most (shingles per row) / HOT, whatever the size of the table
     lists = often.groupBy("w").agg(*[v.alias(k) for k, v in facts.items()]).filter("low < high").select("w", "df", named)
@@ -313,7 +321,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     that repeat a key are judged each by its own text; a null key counts as the smallest; an empty table gives no rows.
 
     Steps: (1) rows with equal sets are one class, of which one row stands for all; (2) only classes whose prefix has enough
-    shingles in the prefixes of others (``prefix_bound``) go on, with whole sets; (3) those whose minima agree with the first
+    shingles in the prefixes of others of a fitting size (``prefix_bound``) go on, with whole sets; (3) those whose minima agree with the first
     of their bucket make the first groups, once the two whole sets are found to link; (4) the token-group matrix bounds what a
     set has in common with all other groups, with any set of a list (``room``), and with a single group's token union; only
     what passes is opened, which is to say that whole sets are compared. Lists first meet their leader, so that groups
@@ -328,8 +336,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     per_class = [F.min("d").alias("rep"), F.count("*").alias("size"), F.max(F.size("hot")).alias("hot")]
     classes = written(sketch.filter("n > 0").groupBy("u", "n").agg(*per_class), "classes")
-    rare = sketch.select(F.explode("pre").alias("w"), "u")
-    counts = rare.repartition("w").sortWithinPartitions("w", "u").mapInArrow(_shared, "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
+    rare = sketch.select(F.explode("pre").alias("w"), "n", "u")
+    counts = rare.repartition("w").sortWithinPartitions("w", "n", "u").mapInArrow(_shared(least), "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
     enough = F.coalesce("k", F.lit(0)) + F.col("hot") >= _bound(F.col("n"), least)  # hot shingles count as shared without a look
     alive = written(classes.join(counts, "u", "left").filter(enough).select("u", "n", "rep"), "alive")
     narrow = written(sketch.select("d", "tag", "u", "n", "mins"), "rows")
