@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import NONE, attach, components, forget, text_of, written
+from certjobs.llm.common import NONE, attach, components, forget, text_of, without, written
 from certjobs.llm.frequent import among, frequent_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, mix, signed, slices, whole
 
@@ -59,33 +59,36 @@ def prefix_bound(n: int, least: int) -> int:
     return needed_hits(least_overlap(n, least), least)
 
 
-SKETCH = "d long, tag long, u long, n int, mins array<long>, pre array<long>, hot array<long>"
+SKETCH = "d long, tag long, u long, n int, pre array<long>, hot array<long>"
 
 
 def _sketch(size: int, least: int, frequent: np.ndarray):
-    """(d, text, tag) -> a hash of the row's whole set (u), the set's size, its minima, and its prefix (rare shingles, then hot ones)."""
+    """(d, text, tag) -> a hash of the row's whole set (u), the set's size, and its prefix (rare shingles, then hot ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column(0)
             for w in slices(batch.column(1), NOT_SPACE, True):
-                cols: list[list] = [[] for _ in range(5)]
+                cols: list[list] = [[] for _ in range(4)]
                 for r in range(w.rows):
                     s = shingles(w, r, size)
                     hot = among(s, frequent)
                     ordered = np.concatenate([s[~hot], s[hot]])[: prefix_length(len(s), least)]
                     rare = min(len(ordered), int((~hot).sum()))
-                    mins = [int(signed(mix(s ^ k).min().reshape(1))[0]) for k in _SEEDS] if len(s) else []
-                    for c, v in zip(cols, (_identity(s), len(s), mins, signed(ordered[:rare]), signed(ordered[rare:])), strict=True):
+                    for c, v in zip(cols, (_identity(s), len(s), signed(ordered[:rare]), signed(ordered[rare:])), strict=True):
                         c.append(v)
-                types = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+                types = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2]
                 made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
                 own = slice(w.first, w.first + w.rows)
-                yield pa.RecordBatch.from_arrays([d[own], batch.column(2)[own], *made], ["d", "tag", "u", "n", "mins", "pre", "hot"])
+                yield pa.RecordBatch.from_arrays([d[own], batch.column(2)[own], *made], ["d", "tag", "u", "n", "pre", "hot"])
 
     return run
 
 
+def _minima(s: np.ndarray) -> np.ndarray:
+    return signed(np.array([mix(s ^ k).min() for k in _SEEDS if len(s)], np.uint64))
+
+
 def _identity(s: np.ndarray) -> int:
     return int(signed(np.array([whole(s, 0x2545F4914F6CDD1D)], np.uint64))[0])
 
@@ -131,7 +134,7 @@ def _gate(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(size: int, bits: np.ndarray, frequent: np.ndarray):
-    """(d, slot, text) -> the whole sets (rare shingles and hot ones) of the rows whose slot the gate has."""
+    """(d, slot, text) -> the whole sets (rare shingles and hot ones) and their minima, for the rows whose slot the gate has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +145,9 @@ def _sets(size: int, bits: np.ndarray, frequent: np.ndarray):
                 hot = [among(s, frequent) for s in sets]
                 made = [
                     pa.array([_identity(s) for s in sets], pa.int64()), pa.array([signed(s[~h]) for s, h in zip(sets, hot, strict=True)], pa.list_(pa.int64())),
-                    pa.array([signed(s[h]) for s, h in zip(sets, hot, strict=True)], pa.list_(pa.int64())),
+                    pa.array([signed(s[h]) for s, h in zip(sets, hot, strict=True)], pa.list_(pa.int64())), pa.array([_minima(s) for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[w.first : w.first + w.rows], *made], ["d", "u", "rare", "hot"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[w.first : w.first + w.rows], *made], ["d", "u", "rare", "hot", "mins"])
 
     return run
 
@@ -207,15 +210,17 @@ def token_groups(sets: DataFrame, sizes: DataFrame, nodes: DataFrame, least: int
     have no more than the lesser room in common. Sets that share fewer than ``least_overlap`` shingles with other groups are
     ruled out.
     """
-    placed = sets.withColumn("n", (F.size("rare") + F.size("hot")).cast("long")).join(nodes.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    placed = sets.withColumn("n", (F.size("rare") + F.size("hot")).cast("long")).join(nodes.select(F.col("node").alias("u"), "component"), "u", "left")
+    group = F.coalesce("component", "u").alias("c")
     facts = {"low": F.min("c"), "high": F.max("c"), "df": F.count("*"), "sig": F.sum(F.xxhash64("u").cast("decimal(38,0)"))}
     named = F.xxhash64("df", F.col("sig").cast("string")).alias("l")
-    rare = placed.select("u", "c", "n", F.explode("rare").alias("w"))
+    # the group is named after the shuffle, which is narrower for the nulls
+    rare = placed.select("u", "component", "n", F.explode("rare").alias("w")).repartition("w").select("u", "n", "w", group)
     of_w = Window.partitionBy("w")
     by_size = of_w.orderBy("n", "u")
     fits = (100 * F.lag("n").over(by_size) >= least * F.col("n")) | (100 * F.col("n") >= least * F.lead("n").over(by_size))
     rare = rare.select("*", fits.alias("fits"), *[v.over(of_w).alias(k) for k, v in facts.items()]).filter("fits AND low < high").select("u", "w", "df", named)
-    often = placed.select("u", "c", F.explode("hot").alias("w"))
+    often = placed.select("u", group, F.explode("hot").alias("w"))
     # hot shingles are at most (shingles per row) / HOT, whatever the size of the table
     lists = often.groupBy("w").agg(*[v.alias(k) for k, v in facts.items()]).filter("low < high").select("w", "df", named)
     often = often.join(F.broadcast(lists), "w").select("u", "w", (F.col("df") + (1 << 40)).alias("df"), "l")
@@ -340,15 +345,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     counts = rare.repartition("w").sortWithinPartitions("w", "n", "u").mapInArrow(_shared(least), "u long, k long").groupBy("u").agg(F.sum("k").alias("k"))
     enough = F.coalesce("k", F.lit(0)) + F.col("hot") >= _bound(F.col("n"), least)  # hot shingles count as shared without a look
     alive = written(classes.join(counts, "u", "left").filter(enough).select("u", "n", "rep"), "alive")
-    narrow = written(sketch.select("d", "tag", "u", "n", "mins"), "rows")
+    narrow = written(sketch.select("d", "tag", "u", "n"), "rows")
     forget(sketch)  # prefixes are a third of all shingles
 
     slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot")
-    whole_ = texts.select("d", slot, "text").mapInArrow(_sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent), "d long, u long, rare array<long>, hot array<long>")
-    sets = written(whole_.join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi").select("u", "rare", "hot"), "sets")
-
-    first = narrow.select("d", "u", "n", "mins").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_semi")
-    minima = first.select("u", "n", F.posexplode("mins").alias("j", "v"))
+    made = _sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent)
+    passed = written(texts.select("d", slot, "text").mapInArrow(made, "d long, u long, rare array<long>, hot array<long>, mins array<long>"), "passed")
+    # what the gate let through besides is known by ids alone, so that whole sets are not shuffled to drop it
+    gone = written(passed.select("d", "u").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_anti"), "gone")
+    sets = written(without(passed, gone, {"d": F.col("d"), "u": F.col("u")}).drop("d"), "sets")
+    forget(passed)
+
+    minima = sets.select("u", (F.size("rare") + F.size("hot")).alias("n"), F.posexplode("mins").alias("j", "v"))
     heads = minima.groupBy("j", "v").agg(F.min(F.struct("u", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     star = attach(minima, heads, ["j", "v"], "size").filter(F.col("head").isNotNull() & (F.col("u") != F.col("head.u")))
     star = star.filter(_possible(F.col("n"), F.col("head.n"), F.least("n", "head.n"), least)).groupBy(F.col("head.u").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"))

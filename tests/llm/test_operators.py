@@ -18,7 +18,7 @@ from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.html_text import extract_text, main_text, text_lines
 from certjobs.llm.licenses import NOTICES, notices, scan_licenses
-from certjobs.llm.near_dups import _meet, least_overlap, near_duplicates, prefix_bound, prefix_length
+from certjobs.llm.near_dups import _meet, _shared, least_overlap, near_duplicates, prefix_bound, prefix_length
 from certjobs.llm.packing import Ids, pack, powers, tokenizer_files
 from certjobs.llm.quality import fit_quality, score_quality
 from certjobs.llm.secrets import scan_secrets
@@ -107,6 +107,22 @@ def test_near_duplicates(spark):
     assert got == sorted(want) and len({c for _, _, c in want}) < len(rows) - 10
 
 
+@pytest.mark.parametrize("cut", [1, 3, 7, 1000])
+def test_shared_counts_sets_of_fitting_size(cut):
+    """Counts over batches of any length against a plain count, with repeated rows and shingles that end a batch."""
+    r = random.Random(cut)
+    size = {u: r.choice([1, 5, 8, 10, 12, 13, 40, 41, 60]) for u in range(-20, 20)}
+    rows = sorted((w, size[u], u) for u in size for w in r.sample(range(-9, 9), 6) for _ in range(r.choice([1, 1, 2])))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + cut], strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["w", "n", "u"]) for i in range(0, len(rows), cut)]
+    got = dict.fromkeys(size, 0)
+    for batch in _shared(80)(iter(batches)):
+        for u, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            got[u] += k
+    holders = {(w, u) for w, _, u in rows}
+    fits = lambda u, v: u != v and 100 * min(size[u], size[v]) >= 80 * max(size[u], size[v])
+    assert got == {u: sum(any((w, v) in holders and fits(u, v) for v in size) for w in range(-9, 9) if (w, u) in holders) for u in size}
+
+
 def test_near_duplicates_dense(spark):
     """A template whose copies lie about the threshold, a passage that hundreds of texts share, chains of edits, repeated and null keys."""
     r = random.Random(11)
