@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from certjobs.llm import chat_format, conversation_repair
 from certjobs.llm.common import held_out, read_table, text_of
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
@@ -180,6 +181,72 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.format_conversations(chat_format.with_trap(read_table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\\'), '### ', '\m'), '</turn>', '\e')) AS t,
+         length(replace(replace(replace(replace(role, '\', '\\'), '### ', '\m'), '</turn>', '\e'), ':', '\c')) AS r FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(t + r + length('### ' || ': ' || '</turn>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repair_conversations(rows, F.col("present")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce([4294967295] || flatten([[(ascii(x) >> b) & 1 FOR b IN range(8)] FOR x IN string_split(k, '')]),
+    lambda h, b: xor(h >> 1, CASE WHEN xor(h, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS kind FROM c
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS prev, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy)
+), f AS (
+  SELECT conv_id, i, turn, role, text, left(role, 1) AS r, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, prev IS NOT NULL AND prev || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM o
+), step(r, q, nq) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ins(q, nq, n, said) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, 'user:'), (1, 2, 1, 'user:'), (3, 2, 1, 'user:'), (2, 3, 1, 'assistant:'),
+  (0, 3, 2, 'user:' || chr(10) || 'assistant:'), (1, 3, 2, 'user:' || chr(10) || 'assistant:'), (2, 2, 2, 'assistant:' || chr(10) || 'user:'), (3, 3, 2, 'user:' || chr(10) || 'assistant:')),
+e AS (
+  SELECT conv_id, i, q, q AS nq, 2 AS cost, 'D' AS letter, NULL AS said FROM f, range(4) AS s(q)
+  UNION ALL SELECT conv_id, i, q, nq, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'K', role || ':' || text FROM f JOIN step USING (r) WHERE fault IN ('truncated', 'none')
+  UNION ALL SELECT conv_id, i, q, nq, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R', CASE step.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text FROM f, step WHERE fault IN ('truncated', 'none') AND step.r <> 's'
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'said': ''} AS b FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT e.conv_id, e.i, e.nq, min({'cost': (b.cost + 5 * n + e.cost)::INT, 'audit': b.audit || repeat('I', n) || letter,
+    'said': concat_ws(chr(10), nullif(b.said, ''), nullif(ins.said, ''), e.said)})
+  FROM best JOIN ins ON best.q = ins.q JOIN e ON e.conv_id = best.conv_id AND e.i = best.i + 1 AND e.q = ins.nq GROUP BY e.conv_id, e.i, e.nq
+), ends AS (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id),
+done AS (
+  SELECT conv_id, min({'cost': b.cost + 5 * n, 'audit': b.audit || repeat('I', n), 'said': concat_ws(chr(10), nullif(b.said, ''), nullif(ins.said, ''))}) AS b
+  FROM best JOIN ends USING (conv_id, i) JOIN ins USING (q) WHERE ins.nq IN (0, 3) GROUP BY conv_id
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(b.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n USING (conv_id) LEFT JOIN done USING (conv_id)
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_duplicates": op2_near_duplicates,
@@ -191,5 +258,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
+    "op12_chat_format": op12_chat_format,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op12_chat_format": OP12_SQL, "op13_conversation_repair": OP13_SQL}
