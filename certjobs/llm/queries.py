@@ -14,6 +14,7 @@ from certjobs.llm.licenses import LEAST, NOTICES, notices, scan_licenses
 from certjobs.llm.near_dups import near_duplicates
 from certjobs.llm.packing import pack
 from certjobs.llm.quality import fit_quality, score_quality
+from certjobs.llm.ranked_search import ranked_search
 from certjobs.llm.secrets import scan_secrets
 from certjobs.llm.substring_dedup import substring_dedup
 from certjobs.llm.toxicity import fit_toxicity, score_toxicity
@@ -181,6 +182,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS b, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term, big_n),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * big_n) // big_l AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT b, item_id, term, count(*) AS times FROM b GROUP BY ALL),
+x AS (
+  SELECT b, item_id, m.r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m ON m.r = tf.r GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(chat_format.with_trap(read_table(spark, sf_dir, "conversations"))))
 
@@ -258,7 +281,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
+    "op11_ranked_search": op11_ranked_search,
     "op12_chat_format": op12_chat_format,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op12_chat_format": OP12_SQL, "op13_conversation_repair": OP13_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_conversation_repair": OP13_SQL}
