@@ -9,29 +9,80 @@ from certjobs.operators import fields as fields_
 from certjobs.operators import pages as pages_
 from certjobs.operators import rules, transfers
 
+#: What is known of a document beside its pages.
+KNOWN = ["num_pages", "page_number", "source_file"]
 
-def routed(pages: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Documents with their two pages: doc_id, num_pages, page_number, source_file, page1 and page2. The one shuffle is the
-    routing's, on doc_id; ``source`` (doc_id, original_filename) names the files."""
-    docs = pages_.route_pages(pages_.classify_pages(pages)).withColumn("page_number", F.col("page1.page_no"))
-    if source is None:
-        return docs.withColumn("source_file", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
-    return docs.join(source.select("doc_id", F.col("original_filename").alias("source_file")), "doc_id", "left")
 
+def routed(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Documents with their two pages: doc_id, num_pages, page_number, source_file, page1, page2 and error. One shuffle of pages, on
+    doc_id. ``documents`` (doc_id, original_filename and, as it may be, job_id) names the files; each of its documents is
+    there then, one without pages with that error."""
+    docs = pages_.route_pages(pages_.classify_pages(pages))
+    if documents is None:
+        docs = docs.withColumn("source_file", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    else:
+        names = documents.select("doc_id", F.col("original_filename").alias("source_file"), *_job(documents))
+        docs = names.join(docs, "doc_id", "left").withColumn("error", F.when(F.col("num_pages").isNull(), pages_.no_pages()).otherwise(F.col("error")))
+    return docs.withColumn("page_number", F.col("page1.page_no"))
 
-def extracted(docs: DataFrame) -> DataFrame:
-    """Routed documents with the nine field structs: doc_id, num_pages, page_number, source_file and the fields; narrow."""
-    return fields_.extract_fields(docs, keep=["num_pages", "page_number", "source_file"])
 
+def _job(rows: DataFrame) -> list[str]:
+    return [c for c in ("job_id",) if c in rows.columns]
 
-def run(pages: DataFrame, source: DataFrame | None = None, validate_transfers: bool = False) -> dict[str, DataFrame]:
-    """certificates, fields, transfers and outcomes of all documents, lazily. Persist ``pages`` or write the tables with
-    ``write_tables`` if several are used. The ledger hangs on the routed pages, not on the fields, so neither is worked
-    out for the other."""
-    docs = routed(pages, source)
-    wide, ledger = extracted(docs), transfers.transfer_rows(docs)
-    certs = rules.certificates(wide, latest=transfers.latest_transfers(ledger), validate_transfers=validate_transfers)
+
+def extracted(docs: DataFrame, ledger: bool = False) -> DataFrame:
+    """Routed documents that can be extracted with the nine field structs: doc_id, num_pages, page_number, source_file (and job_id) and
+    the fields; with ``ledger`` also what the last ledger entry says. Narrow: the ledger is read within the row."""
+    known, fine = [*KNOWN, *_job(docs)], docs.filter("error IS NULL")
+    if not ledger:
+        return fields_.extract_fields(fine, keep=known)
+    present = transfers.present_holder(transfers.ledger_cells(fine, keep=[*known, "page1"]), keep=[*known, "page1"])
+    return fields_.extract_fields(present, keep=[*known, *rules.PRESENT])
+
+
+def outcomes(docs: DataFrame) -> DataFrame:
+    """The document table's part of routed documents: what became of each, with stages in lower case."""
+    e = F.col("error")
+    return docs.select(
+        "doc_id", *_job(docs), F.col("source_file").alias("original_filename"), F.coalesce("num_pages", F.lit(0)).alias("num_pages"), F.when(e.isNull(), "done").otherwise("failed").alias("status"),
+        F.lower(e["stage"]).alias("error_stage"), e["type"].alias("error_type"), e["message"].alias("error_message"),
+    )
+
+
+def run(pages: DataFrame, documents: DataFrame | None = None, validate_transfers: bool = False) -> dict[str, DataFrame]:
+    """documents, certificates, fields, transfers and outcomes of all documents, lazily; with their job_id, if ``documents`` has it.
+
+    What fails is judged along the way: a failed document is in ``documents`` with its error and in no other table. Each table is one
+    pass over the pages, with the one shuffle of routing (and that of ``documents``). If several are used, write ``complete`` once and
+    take them from it.
+    """
+    docs = routed(pages, documents)
+    fine, job = docs.filter("error IS NULL"), _job(docs)
+    certs = rules.certificates(extracted(docs, ledger=True), validate_transfers=validate_transfers, keep=job)
+    judged = rules.certificates(extracted(docs, ledger=validate_transfers), validate_transfers=validate_transfers, keep=job)
+    return {
+        "certificates": certs.drop("outcomes"), "fields": fields_.long_fields(extracted(docs), keep=job), "transfers": transfers.transfer_rows(fine, keep=job),
+        "outcomes": rules.outcome_rows(judged, keep=job), "documents": outcomes(docs),
+    }
+
+
+def complete(docs: DataFrame, validate_transfers: bool = False) -> DataFrame:
+    """All that extraction finds, one row for each routed document: what is known of it, its error, the nine field structs, the ledger's
+    ``cells``, the certificate's columns as ``certificate`` and its ``outcomes``; these are null where the document failed. Write it
+    once and take all tables from it with ``tables_of``."""
+    known = [*KNOWN, "error", *_job(docs)]
+    page = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    fine = docs.select("doc_id", *known, page("page1"), page("page2"))
+    cells = transfers.ledger_cells(fine, keep=[*known, "page1"])
+    present = transfers.present_holder(cells, keep=[*known, "page1", "cells"])
+    wide = fields_.extract_fields(present, keep=[*known, "cells", *rules.PRESENT]).withColumn("fields", F.struct(*fields_.NAMES))
+    return rules.certificates(wide, validate_transfers=validate_transfers, keep=["num_pages", "error", "cells", "fields", *_job(docs)])
+
+
+def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``run``, each a narrow projection of what ``complete`` has found."""
+    fine, job = rows.filter("error IS NULL"), _job(rows)
     return {
-        "certificates": certs.drop("outcomes"), "fields": fields_.long_fields(wide), "transfers": ledger, "outcomes": rules.outcome_rows(certs),
-        "documents": docs.select("doc_id", "num_pages"),
+        "certificates": fine.drop("num_pages", "error", "cells", "fields", "outcomes"), "fields": fields_.long_fields(fine.select("doc_id", *job, "fields.*"), keep=job),
+        "transfers": transfers.entries(fine, keep=job), "outcomes": rules.outcome_rows(fine, keep=job), "documents": outcomes(rows),
     }

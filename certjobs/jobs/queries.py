@@ -18,6 +18,7 @@ from certjobs.operators import pages as pages_
 from certjobs.operators import quality, report, tables
 from certjobs.operators import transfers as transfers_
 from certjobs.sources import derived, io
+from certjobs.sources.store import Store, shared_folder, store_run
 from certjobs.streaming.progress import extract_page_stream, merge_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,15 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return extraction.run(derived.certificate_pages(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """A new store with the results of every job: one pass over the pages, and all tables from it."""
+    docs = derived.documents(spark, sf_dir)
+    store = Store(spark, shared_folder(spark), buckets=8)
+    found = extraction.complete(extraction.routed(derived.certificate_pages(spark, sf_dir), docs))
+    store_run(store, found, extraction.tables_of, [r["job_id"] for r in docs.select("job_id").distinct().collect()])
+    return store
+
+
 def _certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates, the face value as a double."""
     return _run(spark, sf_dir)["certificates"].withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS)
@@ -94,7 +104,7 @@ def transfer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = pages_.route_pages(pages_.classify_pages(derived.certificate_pages(spark, sf_dir)))
     lines = transfers_.ledger_lines(routed)
-    return lines.select("doc_id", "row_index", "line_no", transfers_.table_column(F.col("cx")).alias("field"))
+    return lines.select("doc_id", "row_index", "line_no", "field")
 
 
 @query("SELECT * FROM present")
@@ -154,24 +164,26 @@ def work_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.work_selection(derived.jobs(spark, sf_dir), derived.documents(spark, sf_dir)).select("doc_id", "job_id")
 
 
+#: What is wrong with the pages of ``derived.spoilt_pages``, as the number of an error, for each of the documents ``known``.
+_SPOILT = """pg AS (SELECT doc_id, count(*) AS n FROM typed GROUP BY doc_id),
+e AS (SELECT known.*, CASE WHEN n IS NULL THEN 1 WHEN n > 1 AND known.doc_id % 19 = 0 THEN 2 WHEN known.doc_id % 17 = 0 THEN 3 END AS e, n FROM known LEFT JOIN pg USING (doc_id)),
+x AS (SELECT *, CASE WHEN e IS NULL THEN 'done' ELSE 'failed' END AS outcome, CASE WHEN e <= 2 THEN 'pdf_conversion' WHEN e = 3 THEN 'ocr' END AS stage, ['NoPages', 'PageNumber', 'PageSize'][e] AS kind,
+ CASE e WHEN 1 THEN 'no pages' WHEN 2 THEN '1 page numbers missing or repeated' WHEN 3 THEN n || ' pages without size' END AS message FROM e)
+"""
+
+
 @query(
-    "SELECT doc_id, job_id, original_filename, CASE WHEN doc_id IN (SELECT doc_id FROM fw WHERE certificate_no IS NOT NULL) THEN 'done' ELSE 'failed' END AS status,"
-    " CASE WHEN doc_id NOT IN (SELECT doc_id FROM fw WHERE certificate_no IS NOT NULL) THEN 'extraction' END AS error_stage FROM docs"
+    f""", known AS (SELECT doc_id, job_id, original_filename FROM docs), {_SPOILT}
+SELECT doc_id, job_id, original_filename, coalesce(n, 0) AS num_pages, outcome AS status, stage AS error_stage, kind AS error_type, message AS error_message FROM x"""
 )
 def document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unread = _certs(spark, sf_dir).filter("certificate_no IS NULL")
-    errors = unread.select("doc_id", F.lit("EXTRACTION").alias("stage"), F.lit("MissingField").alias("type"), F.lit("no certificate number").alias("message"))
-    out = tables.document_outcomes(derived.documents(spark, sf_dir), errors)
-    return out.select("doc_id", "job_id", "original_filename", "status", "error_stage")
+    """The document table that extraction itself gives over pages some of which are spoilt."""
+    return extraction.run(derived.spoilt_pages(spark, sf_dir), derived.documents(spark, sf_dir))["documents"]
 
 
 @query(
-    """, known AS (SELECT doc_id FROM docs UNION ALL SELECT -c_custkey FROM customer), pg AS (SELECT doc_id, count(*) AS n FROM typed GROUP BY doc_id),
-e AS (SELECT known.doc_id, CASE WHEN n IS NULL THEN 1 WHEN n > 1 AND known.doc_id % 19 = 0 THEN 2 WHEN known.doc_id % 17 = 0 THEN 3 WHEN known.doc_id % 13 = 0 THEN 4 END AS e, n
- FROM known LEFT JOIN pg USING (doc_id))
-SELECT doc_id, CASE WHEN e IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN e <= 2 THEN 'pdf_conversion' WHEN e > 2 THEN 'ocr' END AS error_stage,
- ['NoPages', 'PageNumber', 'PageSize', 'NoText'][e] AS error_type,
- CASE e WHEN 1 THEN 'no pages' WHEN 2 THEN '1 page numbers missing or repeated' WHEN 3 THEN n || ' pages without size' WHEN 4 THEN 'no text on any page' END AS error_message FROM e"""
+    f""", known AS (SELECT doc_id FROM docs UNION ALL SELECT -c_custkey FROM customer), {_SPOILT}
+SELECT doc_id, outcome AS status, stage AS error_stage, kind AS error_type, message AS error_message FROM x"""
 )
 def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes over pages some of which are spoilt, and over customers' uploads (negative ids) that have no pages."""
@@ -180,6 +192,23 @@ def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.document_outcomes(documents, errors).select("doc_id", "status", "error_stage", "error_type", "error_message")
 
 
+@query(
+    f""", known AS (SELECT doc_id FROM docs), {_SPOILT}
+SELECT doc_id, outcome = 'done' AS has_certificate, CASE WHEN outcome = 'failed' THEN 0 ELSE 9 END + 0::BIGINT AS n_fields,
+ CASE WHEN outcome = 'failed' OR doc_id % 13 = 0 THEN 0 ELSE coalesce(transfer_rows, 0) END AS n_transfers, outcome = 'done' AND (doc_id % 13 = 0 OR certs.needs_review) AS needs_review
+FROM x LEFT JOIN counts USING (doc_id) JOIN certs USING (doc_id)"""
+)
+def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document of a partly spoilt batch has in the other tables: failed ones nothing, those without text empty fields for review."""
+    found = extraction.complete(extraction.routed(derived.spoilt_pages(spark, sf_dir), derived.documents(spark, sf_dir)))
+    out = extraction.tables_of(found)
+    count = lambda name, n: out[name].groupBy("doc_id").agg(F.count("*").alias(n))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    certs = out["certificates"].select("doc_id", F.lit(True).alias("has_certificate"), "needs_review")
+    joined = out["documents"].select("doc_id").join(certs, "doc_id", "left").join(count("fields", "n_fields"), "doc_id", "left").join(count("transfers", "n_transfers"), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("has_certificate", F.lit(False)).alias("has_certificate"), zero("n_fields"), zero("n_transfers"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+
+
 @query("SELECT certs.*, job_id FROM certs JOIN docs USING (doc_id) JOIN jobs USING (job_id) WHERE owner = 'user1' AND needs_review")
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.job_results(_certs(spark, sf_dir), derived.documents(spark, sf_dir), derived.jobs(spark, sf_dir), "user1", review_only=True)
@@ -198,7 +227,8 @@ r AS (SELECT doc_id, string_agg(rule_name || '=' || passed, '|' ORDER BY rule_or
 SELECT certs.doc_id, certificate_no, fields_text, coalesce(transfers_text, '') AS transfers_text, rules_text FROM certs JOIN f USING (doc_id) LEFT JOIN t USING (doc_id) JOIN r USING (doc_id)"""
 )
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, sf_dir)
+    """Over stored tables, which hold a document's rows together: the joins move nothing."""
+    out = _stored(spark, sf_dir).tables()
     nested = tables.nested_results(out["certificates"], out["fields"], out["transfers"], out["outcomes"])
     text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
     return nested.select(
@@ -239,11 +269,11 @@ UNION ALL SELECT 'transfers', doc_id, count(*) FROM transfers WHERE doc_id NOT I
 UNION ALL SELECT 'outcomes', doc_id, count(*) FROM outcomes WHERE doc_id NOT IN ({_DELETED}) GROUP BY doc_id"""
 )
 def bulk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left in each table once an owner's failed documents' certificates are deleted."""
-    out = _run(spark, sf_dir)
-    docs, jobs = derived.documents(spark, sf_dir), derived.jobs(spark, sf_dir)
-    owned = docs.join(jobs.filter("owner = 'user2'").select("job_id"), "job_id", "left_semi")
-    left = tables.bulk_delete({n: out[n] for n in ("certificates", "fields", "transfers", "outcomes")}, docs.filter("status = 'failed'").select("doc_id"), owned)
+    """Rows left in each stored table once an owner's failed documents' certificates are deleted."""
+    store, jobs = _stored(spark, sf_dir), derived.jobs(spark, sf_dir).filter("owner = 'user2'").select("job_id")
+    docs = derived.documents(spark, sf_dir)
+    store.delete(docs.filter("status = 'failed'"), docs.join(jobs, "job_id", "left_semi"))
+    left = {n: store.table(n) for n in ("certificates", "fields", "transfers", "outcomes")}
     parts = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "doc_id", "n") for name, rows in left.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -253,13 +283,16 @@ def bulk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'job', job_id, job_id, CASE WHEN job_id = 3 THEN 0 ELSE total END FROM progress"""
 )
 def clear_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are left, with their transfers, and all jobs, with their totals."""
-    docs = derived.documents(spark, sf_dir)
-    jobs = tables.job_progress(derived.jobs(spark, sf_dir), docs).withColumnRenamed("total", "total_files")
-    out = tables.clear_job({"transfers": _run(spark, sf_dir)["transfers"]}, docs, jobs, 3)
-    counts = out["transfers"].groupBy("doc_id").agg(F.count("*").alias("transfers"))
-    left = out["documents"].join(counts, "doc_id", "left").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "job_id", F.coalesce("transfers", F.lit(0).cast("long")).alias("n"))
-    return left.union(out["jobs"].select(F.lit("job"), "job_id", "job_id", F.col("total_files").cast("long")))
+    """The documents that are left in the store, with their transfers, and all jobs, with their totals. Before that, job 4 is run again."""
+    store, jobs = _stored(spark, sf_dir), derived.jobs(spark, sf_dir)
+    again = derived.documents(spark, sf_dir).filter("job_id = 4")
+    pages = derived.certificate_pages(spark, sf_dir).join(again.select("doc_id"), "doc_id", "left_semi")
+    store_run(store, extraction.complete(extraction.routed(pages, again)), extraction.tables_of, [4])
+    store.clear(3)
+    counts = store.table("transfers").groupBy("doc_id").agg(F.count("*").alias("transfers"))
+    left = store.table("documents").join(counts, "doc_id", "left").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "job_id", F.coalesce("transfers", F.lit(0).cast("long")).alias("n"))
+    totals = tables.job_progress(jobs, store.table("documents"))
+    return left.union(totals.select(F.lit("job"), "job_id", "job_id", "total"))
 
 
 def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +324,8 @@ _LABELS = ", ".join(
 
 @query(f"""SELECT {_LABELS}, '' AS "Registered Folio No", coalesce(face_value::DECIMAL(12, 2)::VARCHAR, '') AS "Face Value Per Share" FROM certs""")
 def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.export_certificates(_run(spark, sf_dir)["certificates"])
+    """Sorted as stored, so that the sort's sampling does not run the extraction again."""
+    return tables.export_certificates(_stored(spark, sf_dir).table("certificates"))
 
 
 @query("""SELECT original_filename AS "File name", error_stage AS "Error Stage", error_type AS "Error Type", error_message AS "Error Message" FROM docs WHERE status = 'failed'""")

@@ -182,10 +182,11 @@ def extract_fields(docs: DataFrame, page: str = "page1", keep: list[str] | None
     return computed(said, kept, {n: F.when(F.col("__there"), found[n]) for n in NAMES})
 
 
-def long_fields(wide: DataFrame) -> DataFrame:
-    """One row per document and field: the field table. Documents without a front page have no rows."""
+def long_fields(wide: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per document and field, with what ``keep`` names: the field table. Documents without a front page have no rows."""
+    kept = ["doc_id", *(keep or [])]
     each = F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("f")) for n in NAMES])
-    rows = wide.select("doc_id", F.explode(each).alias("x")).filter(F.col("x.f").isNotNull())
-    return rows.select("doc_id", "x.field_name", "x.f.*")
+    rows = wide.select(*kept, F.explode(each).alias("x")).filter(F.col("x.f").isNotNull())
+    return rows.select(*kept, "x.field_name", "x.f.*")
 
 

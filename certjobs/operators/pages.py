@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from certjobs.functions.steps import computed
 from certjobs.functions.text import collapse_label
 
 #: Keywords of the two kinds of page.
@@ -16,6 +17,10 @@ def _hits(text: Column, keywords: list[str]) -> Column:
     return sum((text.contains(k).cast("int") for k in keywords), F.lit(0))
 
 
+def page_type(front_hits: Column, ledger_hits: Column) -> Column:
+    return F.when((ledger_hits > 0) & (ledger_hits >= front_hits), "transfer_ledger").when(front_hits > 0, "certificate_front").otherwise("unknown")
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``front_hits``, ``ledger_hits`` and ``page_type``; a narrow projection.
 
@@ -23,53 +28,78 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     """
     label = collapse_label(F.array_join(F.transform(F.array_sort("lines"), lambda x: F.coalesce(x["text"], F.lit(""))), " "))
     hit = pages.withColumn("__label", label).withColumns({"front_hits": _hits(F.col("__label"), FRONT_KEYWORDS), "ledger_hits": _hits(F.col("__label"), LEDGER_KEYWORDS)})
-    kind = (
-        F.when((F.col("ledger_hits") > 0) & (F.col("ledger_hits") >= F.col("front_hits")), "transfer_ledger")
-        .when(F.col("front_hits") > 0, "certificate_front")
-        .otherwise("unknown")
-    )
-    return hit.withColumn("page_type", kind).drop("__label")
+    return hit.withColumn("page_type", page_type(F.col("front_hits"), F.col("ledger_hits"))).drop("__label")
 
 
-def page_errors(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """What keeps documents from being extracted: (doc_id, stage, type, message), for each of ``documents`` its first error only.
+def _error(stage: str, kind: str, message: Column) -> Column:
+    return F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("type"), message.alias("message"))
 
-    In this order: no pages, a page number that is missing or used twice (both of stage PDF_CONVERSION), a page without a size,
-    no text on any page (both OCR). Pages are counted per document before the join.
-    """
-    size = (F.col("image_width") > 0) & (F.col("image_height") > 0)
-    said = F.exists("lines", lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
-    seen = pages.groupBy("doc_id", "page_no").agg(
-        F.count("*").alias("copies"), F.count_if(~F.coalesce(size, F.lit(False))).alias("unsized"), F.count_if(F.coalesce(said, F.lit(False))).alias("texts")
-    )
-    repeated = (F.col("copies") > 1) | F.col("page_no").isNull()
-    by_doc = seen.groupBy("doc_id").agg(F.lit(True).alias("any"), F.count_if(repeated).alias("repeated"), F.sum("unsized").alias("unsized"), F.sum("texts").alias("texts"))
-    error = lambda stage, kind, message: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("type"), message.alias("message"))
-    counted = lambda c, what: F.concat(F.col(c).cast("string"), F.lit(what))
-    first = (
-        F.when(F.col("any").isNull(), error("PDF_CONVERSION", "NoPages", F.lit("no pages")))
-        .when(F.col("repeated") > 0, error("PDF_CONVERSION", "PageNumber", counted("repeated", " page numbers missing or repeated")))
-        .when(F.col("unsized") > 0, error("OCR", "PageSize", counted("unsized", " pages without size")))
-        .when(F.col("texts") == 0, error("OCR", "NoText", F.lit("no text on any page")))
-    )
-    found = documents.select("doc_id").distinct().join(by_doc, "doc_id", "left").withColumn("e", first)
-    return found.filter("e IS NOT NULL").select("doc_id", "e.*")
+
+def no_pages() -> Column:
+    """The error of a document that has no pages."""
+    return _error("PDF_CONVERSION", "NoPages", F.lit("no pages"))
 
 
 def route_pages(classified: DataFrame) -> DataFrame:
-    """One row per document: ``num_pages``, ``page1`` and ``page2`` (structs of page_no, image_width, image_height, lines).
+    """One row per document: ``num_pages``, ``page1`` and ``page2`` (structs of page_no, image_width, image_height, lines), and
+    ``error`` (stage, type, message), which is null for a document that can be extracted.
 
-    Page 2 is the first ledger page; page 1 the first page that is not that one, whatever its type. One shuffle, on doc_id;
-    pages of neither kind are dropped right after the window.
+    Page 2 is the first ledger page; page 1 the first page that is not that one, whatever its type. A document fails if a page number
+    is missing or used twice (stage PDF_CONVERSION) or if a page has no size (OCR), in this order; one without any text does not
+    fail, its fields are empty. One shuffle, on doc_id; pages of neither kind are dropped right after the window, but the first page
+    of each document stays so that no failed document is lost.
     """
     doc = Window.partitionBy("doc_id")
-    ledger_no = F.min(F.when(F.col("page_type") == "transfer_ledger", F.col("page_no"))).over(doc)
-    seen = classified.withColumns({"__p2": ledger_no, "num_pages": F.count("*").over(doc)})
+    alike = Window.partitionBy("doc_id", "page_no").orderBy("page_no")  # on the partitioning and order of the document's
+    size = F.coalesce((F.col("image_width") > 0) & (F.col("image_height") > 0), F.lit(False))
+    repeated = (F.col("__nth") == 2) & F.col("page_no").isNotNull()
+    seen = classified.withColumn("__nth", F.row_number().over(alike)).withColumns({
+        "__p2": F.min(F.when(F.col("page_type") == "transfer_ledger", F.col("page_no"))).over(doc), "num_pages": F.count("*").over(doc),
+        "__repeated": F.count_if(repeated).over(doc) + F.max(F.col("page_no").isNull().cast("int")).over(doc), "__unsized": F.count_if(~size).over(doc),
+        "__least": F.min("page_no").over(doc),
+    })
     other = F.min(F.when(~F.col("page_no").eqNullSafe(F.col("__p2")), F.col("page_no"))).over(doc)
-    chosen = seen.withColumn("__p1", other).filter((F.col("page_no") == F.col("__p1")) | (F.col("page_no") == F.col("__p2")))
+    chosen = seen.withColumn("__p1", other).filter((F.col("page_no") == F.col("__p1")) | (F.col("page_no") == F.col("__p2")) | F.col("page_no").eqNullSafe(F.col("__least")))
     page = F.struct("page_no", "image_width", "image_height", "lines")
+    counted = lambda c, what: F.concat(F.first(c).cast("string"), F.lit(what))
+    error = F.when(F.first("__repeated") > 0, _error("PDF_CONVERSION", "PageNumber", counted("__repeated", " page numbers missing or repeated"))).when(
+        F.first("__unsized") > 0, _error("OCR", "PageSize", counted("__unsized", " pages without size"))
+    )
     return chosen.groupBy("doc_id").agg(
         F.first("num_pages").alias("num_pages"),
         F.first(F.when(F.col("page_no") == F.col("__p1"), page), ignorenulls=True).alias("page1"),
         F.first(F.when(F.col("page_no") == F.col("__p2"), page), ignorenulls=True).alias("page2"),
+        error.alias("error"),
+    )
+
+
+def route_nested(docs: DataFrame) -> DataFrame:
+    """``route_pages`` for documents that have all their pages in one row (doc_id, pages): without a shuffle."""
+    first = lambda c: F.get(c, 0)
+    text = lambda p: collapse_label(F.array_join(F.transform(F.array_sort(p["lines"]), lambda x: F.coalesce(x["text"], F.lit(""))), " "))
+    ordered = F.array_sort("pages")  # by page_no, which comes first; nulls first
+    kind = lambda p: page_type(_hits(text(p), FRONT_KEYWORDS), _hits(text(p), LEDGER_KEYWORDS))
+    known = lambda p: p["page_no"].isNotNull()
+    seen = computed(docs, ["doc_id"], {"__pages": ordered})
+    seen = computed(seen, ["doc_id", "__pages"], {"__kinds": F.transform("__pages", kind)})
+    pages = F.col("__pages")
+    ledger = F.get(F.filter(F.transform(pages, lambda p, i: F.when(known(p) & (F.get("__kinds", i) == "transfer_ledger"), p)), lambda p: p.isNotNull()), 0)
+    seen = computed(seen, ["doc_id", "__pages"], {"page2": ledger})
+    other = first(F.filter(pages, lambda p: known(p) & ~p["page_no"].eqNullSafe(F.col("page2.page_no"))))
+    numbers = F.filter(F.transform(pages, lambda p: p["page_no"]), lambda n: n.isNotNull())
+    twice = lambda n, i: (i > 0) & n.eqNullSafe(F.get(numbers, i - 1)) & ~n.eqNullSafe(F.get(numbers, i - 2))
+    repeated = F.size(F.filter(numbers, twice)) + F.when(F.size(numbers) < F.size(pages), 1).otherwise(0)
+    sized = lambda p: F.coalesce((p["image_width"] > 0) & (p["image_height"] > 0), F.lit(False))
+    unsized = F.size(F.filter(pages, lambda p: ~sized(p)))
+    counted = lambda c, what: F.concat(c.cast("string"), F.lit(what))
+    error = F.when(repeated > 0, _error("PDF_CONVERSION", "PageNumber", counted(repeated, " page numbers missing or repeated"))).when(
+        unsized > 0, _error("OCR", "PageSize", counted(unsized, " pages without size"))
     )
+    return seen.select("doc_id", F.size(pages).cast("long").alias("num_pages"), other.alias("page1"), "page2", error.alias("error"))
+
+
+def page_errors(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """What keeps documents from being extracted: (doc_id, stage, type, message), for each of ``documents`` its first error only."""
+    routed = route_pages(classify_pages(pages)).select("doc_id", F.lit(True).alias("any"), "error")
+    found = documents.select("doc_id").distinct().join(routed, "doc_id", "left")
+    return found.withColumn("e", F.when(F.col("any").isNull(), no_pages()).otherwise(F.col("error"))).filter("e IS NOT NULL").select("doc_id", "e.*")

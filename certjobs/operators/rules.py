@@ -70,32 +70,33 @@ def overall_confidence(fields: list[Column]) -> Column:
     return F.when(there, F.round(sum((f["confidence"] for f in fields), F.lit(0.0)) / len(fields), 4)).otherwise(0.0)
 
 
-def certificates(wide: DataFrame, threshold: float = THRESHOLD, latest: DataFrame | None = None, validate_transfers: bool = False) -> DataFrame:
-    """The certificate record of each document in ``wide`` (doc_id, source_file, page_number and the nine field structs).
+PRESENT = ["present_share_holder_name", "present_transfer_date", "present_folio_no"]
 
-    ``latest`` adds the present holder, date and folio (left join on doc_id). The rules look at the front page only, unless
-    ``validate_transfers`` is set.
-    """
-    joined = wide if latest is None else wide.join(latest, "doc_id", "left")
+
+def certificates(wide: DataFrame, threshold: float = THRESHOLD, validate_transfers: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """The certificate record of each document in ``wide`` (doc_id, source_file, page_number, the nine field structs and, where the
+    ledger was read, the present holder, date and folio), with what ``keep`` names; narrow. The rules look at the front page only,
+    unless ``validate_transfers`` is set."""
+    ledger = PRESENT[0] in wide.columns
     values = {n: F.col(f"{n}.value") for n in NAMES}
-    if validate_transfers and latest is not None:
+    if validate_transfers and ledger:
         values["present_transfer_date"] = F.col("present_transfer_date")
-    judged = computed(joined, joined.columns, {"outcomes": outcomes(values)}).withColumn("validation_status", overall_status(F.col("outcomes")))
+    judged = computed(wide, wide.columns, {"outcomes": outcomes(values)}).withColumn("validation_status", overall_status(F.col("outcomes")))
     confidence = overall_confidence([F.col(n) for n in NAMES])
     flagged = F.coalesce(F.exists(F.array(*[F.col(f"{n}.needs_review") for n in NAMES]), lambda x: x), F.lit(False))
-    present = ["present_share_holder_name", "present_transfer_date", "present_folio_no"]
     return judged.select(
         "doc_id", "company_name.value", "share_type.value", "certificate_no.value", "share_holder_name.value",
         safe_int(values["number_of_shares"]).try_cast("int"), safe_decimal(values["face_value"]).try_cast("decimal(12,2)"),
         "distinctive_from.value", "distinctive_to.value", "date_of_issue.value", "source_file", F.coalesce("page_number", F.lit(1)),
         confidence, (confidence < threshold) | (F.col("validation_status") == "failed") | flagged, "validation_status", flag_summary(F.col("outcomes")), "outcomes",
-        *([F.lit(None).cast("string").alias(p) for p in present] if latest is None else present),
+        *(PRESENT if ledger else [F.lit(None).cast("string").alias(p) for p in PRESENT]), *(keep or []),
     ).toDF(
         "doc_id", "company_name", "share_type", "certificate_no", "share_holder_name", "number_of_shares", "face_value", "distinctive_from", "distinctive_to", "date_of_issue",
-        "source_file", "page_number", "overall_confidence", "needs_review", "validation_status", "validation_flags", "outcomes", *present,
+        "source_file", "page_number", "overall_confidence", "needs_review", "validation_status", "validation_flags", "outcomes", *PRESENT, *(keep or []),
     )
 
 
-def outcome_rows(certs: DataFrame) -> DataFrame:
-    """The rule table: one row per certificate and outcome."""
-    return certs.select("doc_id", F.explode("outcomes").alias("x")).select("doc_id", "x.*")
+def outcome_rows(certs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The rule table: one row per certificate and outcome, with what ``keep`` names."""
+    kept = ["doc_id", *(keep or [])]
+    return certs.select(*kept, F.explode("outcomes").alias("x")).select(*kept, "x.*")

@@ -29,6 +29,11 @@ def job_progress(jobs: DataFrame, documents: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status").isin(WAITING)).alias("waiting"),
     )
+    return progress_of(jobs, counts)
+
+
+def progress_of(jobs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Jobs with their counts (job_id, n, done, failed, waiting), zero where there are none, and the percentage finished."""
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     joined = jobs.join(counts, "job_id", "left")
     total, done, failed = (zero(F.col(c)) for c in ("n", "done", "failed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certjobs.functions.dates import normalize_date
@@ -20,50 +20,102 @@ def is_header(text: Column, cy: Column) -> Column:
     return collapse_label(text).rlike(HEADER) | (cy <= HEADER_BAND)
 
 
+def _placed(lines: Column, width: Column, height: Column) -> Column:
+    """The lines that are not headers, from the top, as an array of structs."""
+
+    def line(x: Column) -> Column:
+        mid, text = (x["y1"] + x["y2"]) / 2, F.coalesce(x["text"], F.lit(""))
+        cx, cy = center(x["x1"], x["x2"], width), center(x["y1"], x["y2"], height)
+        return F.struct(
+            mid.alias("mid"), x["line_no"].alias("line_no"), x["x1"].alias("x1"), text.alias("text"), x["confidence"].alias("confidence"), cy.alias("cy"), cx.alias("cx")
+        )
+
+    body = F.filter(F.transform(lines, line), lambda x: ~F.coalesce(is_header(x["text"], x["cy"]), F.lit(True)))
+    return F.array_sort(body)
+
+
+def _with_columns(placed: Column) -> Column:
+    return F.transform(placed, lambda x: F.struct(*[x[n].alias(n) for n in ("mid", "line_no", "x1", "text", "confidence", "cy")], table_column(x["cx"]).alias("field")))
+
+
+def _starts(placed: Column) -> Column:
+    """Where rows start (from 0): at the first line, and at each that lies more than ROW_GAP below the line before it; so rows chain."""
+    below = lambda i: F.coalesce(F.get(placed, i)["cy"] - F.get(placed, i - 1)["cy"] > ROW_GAP, F.lit(False))
+    every = F.when(F.size(placed) > 0, F.sequence(F.lit(0), F.size(placed) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: (i == 0) | below(i))
+
+
+def ledger_clusters(docs: DataFrame, page: str = "page2", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, what ``keep`` names, and the page's lines in clusters: ``clusters``, an array of arrays of lines with their column
+    (``field``), whose positions are the rows' numbers. Everything stays within the document's row; null without the page."""
+    at, kept = F.col(page), ["doc_id", *(keep or [])]
+    ready = computed(docs, kept + [page], {"__placed": F.when(at.isNotNull(), _placed(at["lines"], at["image_width"], at["image_height"]))})
+    ready = computed(ready, kept, {"__lines": _with_columns(F.col("__placed")), "__starts": _starts(F.col("__placed"))})
+    lines, starts = F.col("__lines"), F.col("__starts")
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(lines))
+    return computed(ready, kept, {"clusters": F.transform(starts, lambda at, k: F.slice(lines, at + 1, end(k) - at))})
+
+
 def ledger_lines(docs: DataFrame, page: str = "page2") -> DataFrame:
-    """The page's lines that are not headers, with their centres and the number of their cluster (``row_index``).
-
-    Sessionisation down the page: a line starts a new row if it lies more than ROW_GAP below the line before it, so rows chain. The
-    window runs within a document, on the partitioning that routing has left.
-    """
-    at = F.col(page)
-    lines = docs.filter(at.isNotNull()).select("doc_id", at["image_width"].alias("w"), at["image_height"].alias("h"), F.explode(at["lines"]).alias("x"))
-    placed = lines.select(
-        "doc_id", F.col("x.line_no").alias("line_no"), F.coalesce("x.text", F.lit("")).alias("text"), F.col("x.confidence").alias("confidence"), F.col("x.x1").alias("x1"),
-        center(F.col("x.x1"), F.col("x.x2"), F.col("w")).alias("cx"), ((F.col("x.y1") + F.col("x.y2")) / 2).alias("mid"), center(F.col("x.y1"), F.col("x.y2"), F.col("h")).alias("cy"),
-    )
-    body = placed.filter(~is_header(F.col("text"), F.col("cy")))
-    down = Window.partitionBy("doc_id").orderBy("mid", "line_no")
-    starts = F.coalesce(F.col("cy") - F.lag("cy").over(down) > ROW_GAP, F.lit(False))
-    index = F.sum(F.col("__starts").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return body.withColumn("__starts", starts).withColumn("row_index", index.cast("int")).drop("__starts")
-
-
-def transfer_rows(docs: DataFrame, page: str = "page2", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per plausible ledger entry. Clusters without a transferee (two characters) and without a date are skipped, but keep
-    their number; a date that does not parse is kept as read and flagged."""
-    tokens = ledger_lines(docs, page).withColumn("field", table_column(F.col("cx")))
-    token = F.struct("x1", "mid", "line_no", "text")
-    cells = tokens.groupBy("doc_id", "row_index").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("field") == f, token))).alias(f"__t_{f}") for f in FIELDS],
-        *[F.min(F.when(F.col("field") == f, F.col("confidence"))).alias(f"__c_{f}") for f in FIELDS],
-    )
-    texts = {f: F.nullif(strip_noise(F.array_join(F.transform(f"__t_{f}", lambda x: x["text"]), " ")), F.lit("")) for f in FIELDS}
-    marks = ["doc_id", "row_index", *[f"__c_{f}" for f in FIELDS]]
-    read = computed(cells, marks, texts).filter((F.length(F.coalesce("transferee_name", F.lit(""))) >= 2) | F.col("transfer_date").isNotNull())
-    read = computed(read, [*marks, *FIELDS], {"__iso": normalize_date(F.col("transfer_date"))})
+    """The page's lines that are not headers, with their column and the number of their cluster (``row_index``)."""
+    rows = ledger_clusters(docs, page).select("doc_id", F.posexplode("clusters").alias("row_index", "lines"))
+    return rows.select("doc_id", "row_index", F.explode("lines").alias("x")).select("doc_id", "row_index", "x.line_no", "x.text", "x.confidence", "x.field")
+
+
+def ledger_cells(docs: DataFrame, page: str = "page2", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, what ``keep`` names, and ``cells``: an array with each plausible row's number, its five texts and their lowest
+    confidences. Clusters without a transferee (two characters) and without a date are left out, but keep their number."""
+    kept = ["doc_id", *(keep or [])]
+
+    def cell(lines: Column, field: str) -> tuple[Column, Column]:
+        own = F.filter(lines, lambda x: x["field"] == field)
+        across = F.array_sort(F.transform(own, lambda x: F.struct(x["x1"].alias("x1"), x["mid"].alias("mid"), x["line_no"].alias("line_no"), x["text"].alias("text"))))
+        text = F.nullif(strip_noise(F.array_join(F.transform(across, lambda x: x["text"]), " ")), F.lit(""))
+        return text.alias(field), F.array_min(F.transform(own, lambda x: x["confidence"])).alias(f"c_{field}")
+
+    def row(lines: Column, k: Column) -> Column:
+        parts = [cell(lines, f) for f in FIELDS]
+        return F.struct(k.cast("int").alias("row_index"), *[t for t, _ in parts], *[c for _, c in parts])
+
+    plausible = lambda r: (F.length(F.coalesce(r["transferee_name"], F.lit(""))) >= 2) | r["transfer_date"].isNotNull()
+    read = computed(ledger_clusters(docs, page, keep), kept, {"__rows": F.transform("clusters", row)})
+    return read.select(*kept, F.filter("__rows", plausible).alias("cells"))
+
+
+def transfer_rows(docs: DataFrame, page: str = "page2", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """One row per plausible ledger entry, with what ``keep`` names; a date that does not parse is kept as read and flagged."""
+    return entries(ledger_cells(docs, page, keep), threshold, keep)
+
+
+def entries(cells: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The transfer table of documents with their ``cells``."""
+    kept, marks = ["doc_id", *(keep or [])], ["row_index", *[f"c_{f}" for f in FIELDS]]
+    read = cells.select(*kept, F.explode("cells").alias("x")).select(*kept, "x.*")
+    read = computed(read, [*kept, *marks, *FIELDS], {"__iso": normalize_date(F.col("transfer_date"))})
     unread = F.col("transfer_date").isNotNull() & F.col("__iso").isNull()
-    total = sum((F.coalesce(f"__c_{f}", F.lit(0.0)) for f in FIELDS), F.lit(0.0))
-    count = sum((F.col(f"__c_{f}").isNotNull().cast("int") for f in FIELDS), F.lit(0)) + unread.cast("int")
+    total = sum((F.coalesce(f"c_{f}", F.lit(0.0)) for f in FIELDS), F.lit(0.0))
+    count = sum((F.col(f"c_{f}").isNotNull().cast("int") for f in FIELDS), F.lit(0)) + unread.cast("int")
     confidence = F.round(total / count, 4)
     return read.select(
-        "doc_id", "row_index", F.coalesce("__iso", "transfer_date").alias("transfer_date"), *FIELDS[1:], confidence.alias("confidence"),
+        *kept, "row_index", F.coalesce("__iso", "transfer_date").alias("transfer_date"), *FIELDS[1:], confidence.alias("confidence"),
         ((confidence < threshold) | F.col("__iso").isNull()).alias("needs_review"),
     )
 
 
+def present_holder(cells: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per document what the entry furthest down the ledger (not the latest by date) says: present holder, date and folio, null
+    without entries. Within the document's row."""
+    kept = ["doc_id", *(keep or [])]
+    last = cells.select(*kept, F.get("cells", F.size("cells") - 1).alias("x"))
+    dated = computed(last, [*kept, "x"], {"__iso": normalize_date(F.col("x.transfer_date"))})
+    return dated.select(
+        *kept, F.col("x.transferee_name").alias("present_share_holder_name"), F.coalesce("__iso", "x.transfer_date").alias("present_transfer_date"),
+        F.col("x.ledger_folio_no").alias("present_folio_no"),
+    )
+
+
 def latest_transfers(transfers: DataFrame) -> DataFrame:
-    """Per document the entry furthest down the ledger (not the latest by date): present holder, date and folio."""
+    """``present_holder`` of a transfer table at rest, for documents with entries."""
     last = F.max_by(F.struct("transferee_name", "transfer_date", "ledger_folio_no"), "row_index")
     rows = transfers.groupBy("doc_id").agg(last.alias("x"))
     return rows.select(

@@ -74,17 +74,6 @@ def write_json(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, spread: int = 8) -> None:
-    """Each table as Parquet below ``path``; those with a job_id are partitioned by it, a job's rows spread over ``spread``
-    tasks so that one large job fills no single one. Of these only the partitions of the jobs in ``tables`` are replaced, so a job
-    that is run again leaves the others' rows, and its own once."""
-    for name, rows in tables.items():
-        if "job_id" in rows.columns and "doc_id" in rows.columns:
-            rows.repartition("job_id", F.pmod(F.hash("doc_id"), F.lit(spread))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{path}/{name}")
-        else:
-            rows.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_jdbc(rows: DataFrame, url: str, table: str, options: dict[str, str]) -> None:
     """Append to a relational store through Spark's JDBC writer."""
     rows.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()

@@ -12,7 +12,7 @@ from certjobs.jobs.queries import page_stream_fields
 from certjobs.operators import quality, report, tables
 from certjobs.operators.pages import page_errors
 from certjobs.sources import io
-from certjobs.streaming.progress import extract_page_stream, merge_status, read_page_stream, start_progress
+from certjobs.streaming.progress import extract_page_stream, merge_status, read_page_stream
 from tests.test_extraction import HOLDER, SENTENCE, page
 
 
@@ -127,18 +127,6 @@ def test_read_pages_composes(spark, tmp_path):
     assert io.read_pages(spark, folder).dtypes == io.read_pages(spark, folder, compose=True).dtypes == spark.createDataFrame([], io.PAGES).dtypes
 
 
-def test_jobs_tables_are_replaced_by_job(spark, tmp_path):
-    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, job_id long, v string")
-    folder = str(tmp_path)
-    read = lambda: sorted((r["doc_id"], r["job_id"], r["v"]) for r in spark.read.parquet(f"{folder}/t").collect())
-    io.write_tables({"t": make((1, 1, "a"), (2, 1, "b"), (3, 2, "c")), "plain": make((1, 1, "a")).select("v")}, folder)
-    assert read() == [(1, 1, "a"), (2, 1, "b"), (3, 2, "c")]
-    for _ in range(2):
-        io.write_tables({"t": make((1, 1, "z"), (4, 3, "n"))}, folder)
-        assert read() == [(1, 1, "z"), (3, 2, "c"), (4, 3, "n")]
-    assert [r["v"] for r in spark.read.parquet(f"{folder}/plain").collect()] == ["a"]
-
-
 def test_report_json(spark, tmp_path):
     certs = spark.createDataFrame([(1, "1.pdf", "passed", ""), (2, "2.pdf", "failed", "x")], "doc_id long, source_file string, validation_status string, validation_flags string")
     fields = spark.createDataFrame([(1, "b", None, 0.0, "regex", True), (1, "a", "v", 0.5, "ocr", False)], "doc_id long, field_name string, value string, confidence double, source string, needs_review boolean")
@@ -165,7 +153,7 @@ def test_page_errors(spark):
     documents = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 7)], "doc_id long")
     got = {r["doc_id"]: (r["stage"], r["type"], r["message"]) for r in page_errors(documents, spark.createDataFrame(rows, io.PAGES)).collect()}
     assert got == {
-        2: ("PDF_CONVERSION", "PageNumber", "1 page numbers missing or repeated"), 3: ("OCR", "PageSize", "1 pages without size"), 4: ("OCR", "NoText", "no text on any page"),
+        2: ("PDF_CONVERSION", "PageNumber", "1 page numbers missing or repeated"), 3: ("OCR", "PageSize", "1 pages without size"),
         5: ("PDF_CONVERSION", "PageNumber", "1 page numbers missing or repeated"), 7: ("PDF_CONVERSION", "NoPages", "no pages"),
     }
     assert page_errors(documents, spark.createDataFrame([], io.PAGES)).count() == 7
@@ -176,18 +164,3 @@ def test_clear_job_keeps_documents_without_job(spark):
     out = tables.clear_job({"t": docs.select("doc_id")}, docs, spark.createDataFrame([(3, 5), (4, 6)], "job_id long, total_files int"), 3)
     assert sorted(r["doc_id"] for r in out["documents"].collect()) == sorted(r["doc_id"] for r in out["t"].collect()) == [2, 3]
     assert {r["job_id"]: r["total_files"] for r in out["jobs"].collect()} == {3: 0, 4: 6}
-
-
-def test_progress_stream(spark, tmp_path):
-    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, job_id long, status string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
-    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
-    jobs = spark.createDataFrame([(1, "running")], "job_id long, status string")
-    schema, want = make((1, 1, "x", 1)).schema, [(2, 0, 0, 2, 0), (2, 1, 0, 1, 50), (2, 1, 1, 0, 100)]
-    steps = [((1, 1, "pending", 1), (2, 1, "pending", 1)), ((1, 1, "done", 5),), ((1, 1, "processing", 4), (2, 1, "failed", 6))]
-    for n, rows in enumerate(steps):
-        make(*rows).coalesce(1).write.mode("append").parquet(source)
-        started = start_progress(spark.readStream.schema(schema).parquet(source), jobs, folder)  # goes on where the last one ended
-        started.processAllAvailable()
-        started.stop()
-        got = spark.read.parquet(f"{folder}/progress/{n}").collect()
-        assert [(r["total"], r["done"], r["failed"], r["waiting"], r["percent"]) for r in got] == [want[n]]
