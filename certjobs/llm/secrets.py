@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +25,48 @@ MOST_OWNERS = 1
 SPAN = "struct<start:int,ord:int,kind:string,end:int,value:string>"
 
 
+#: Matches that are walked through one after the other; blocks of them are put together by their lengths.
+BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int, gate: str | None = None) -> Column:
     """Matches of ``pattern``, leftmost and non-overlapping, whose ``group`` has ``least`` or more characters, as an
     array of (start, ord, kind, end, value); positions are code points.
 
     What lies between the matches (``split``) and the matches themselves (``regexp_extract_all``) come from the same
-    left-to-right scan; their lengths, summed, are the positions.
+    left-to-right scan; their lengths, summed, are the positions: within blocks of matches first, then block by block, so that
+    no list grows by one element at a time over all matches of a text.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), gaps.alias("gap")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+    span = lambda begin, end, value: F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")).cast(SPAN)
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + F.coalesce(F.length(x["all"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")).cast(SPAN)
         long_enough = F.coalesce(F.length(x["value"]) >= least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["out"], F.array(span(begin, end, x["value"])))).otherwise(state["out"]).alias("out"))
+
+    def blocks(matches: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+        one = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(matches, b * BLOCK + 1, BLOCK), one, step))
+
+    def placed(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        before = F.aggregate(parts, zero, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")), lambda s: s["before"])
+        moved = lambda at: lambda s: span(s["start"] + at, s["end"] + at, s["value"])
+        return _let(before, lambda at: F.flatten(F.transform(parts, lambda x, i: F.transform(x["out"], moved(F.get(at, i))))))
 
-    return F.when(text.rlike(gate or pattern), F.aggregate(found, start, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(gate or pattern), _let(found, lambda m: _let(blocks(m), placed))).otherwise(none)
 
 
 def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str) -> DataFrame:
