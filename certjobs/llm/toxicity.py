@@ -43,7 +43,7 @@ _SIGN = "0-9@$!|+€"
 _SPACED = re.compile(r"(?<![\w@$!|+€])(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?![\w@$!|+€])")
 #: Words and signs without a blank; those with a letter and a sign, or a letter twice in a row, are odd.
 _TOKEN = re.compile(r"[\w@$!|+€]+")
-_ODD = re.compile(rf"(?=.*(?:[^\W\d_].*[{_SIGN}]|[{_SIGN}].*[^\W\d_]|([^\W\d_])\1))", re.S | re.I)
+_LETTER, _MARK, _TWICE = re.compile(r"[^\W\d_]"), re.compile(f"[{_SIGN}]"), re.compile(r"([^\W\d_])\1", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,6 +51,10 @@ def _char_class(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+def _odd(token: str) -> bool:
+    return bool(_MARK.search(token) and _LETTER.search(token) or _TWICE.search(token))
+
+
 class Decoder:
     """Restores obfuscated tokens: the best path through the lattice of what each character may stand for."""
 
@@ -61,7 +65,7 @@ class Decoder:
 
     def token(self, raw: str) -> str:
         """A word with its signs and repeats decoded; one that is not odd has a lattice of one path and stays."""
-        return self._decode(self._arcs(raw.lower())) if _ODD.match(raw) else raw
+        return self._decode(self._arcs(raw.lower())) if _odd(raw) else raw
 
     def spaced(self, raw: str) -> str:
         """Single characters with marks between them: at each mark the path joins them or starts another word."""
