@@ -22,7 +22,7 @@ MOST = 2048
 NUMBERED = 1_000_000
 
 #: Runs without a word boundary from which on a text goes to the tokenizers library: white space, or anything else.
-_RUN = re.compile(r"\s{512}|\S{4096}")
+_RUN = re.compile(r"(?<!\s)\s{512}|(?<!\S)\S{4096}")  # looked for where a run begins only, so each character is read once
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
