@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,7 @@ _MAY_BEGIN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _SIGNS = re.compile(r"[>\"']")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Elements whose content is never text of the page.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
 #: Those of them that swallow the rest of a page where they are never closed.
@@ -97,62 +98,117 @@ class _Tags:
 
 
 def _aside(tag: str, attributes: str, inside: int) -> int:
-    """Whether an element holds menus and the like: 2 by its tag or a whole word of its attributes, 1 by a part of a word."""
+    """Whether an element holds menus and the like: 3 by its tag, 2 by a whole word of its attributes, 1 by a part of a word."""
     if tag in _VOID or tag in _NEVER and not (tag == "article" and inside):
         return 0
     if tag in _ASIDE and not (tag == "header" and inside):
-        return 2
+        return 3
     words = [w for m in _MARKS.finditer(attributes) for w in m[1].strip("\"'").lower().split()]
     if not _NAMES.isdisjoint(words):
         return 2
     return int(any(not _NAMES.isdisjoint(re.split(r"[-_]+", w)) for w in words))
 
 
-def _left_by_start(tag: str, stack: list[str], opened: Counter[str]) -> int:
-    """How many of the open elements stay open when ``tag`` starts; ``opened`` counts them."""
-    n = len(stack)
-    if tag in _ENDS and any(opened[x] > 0 for x in _ENDS[tag][0]):
+class _Open:
+    """The open elements, and where the last of each kind stands, so that no question about them walks over all."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # places of elements that are not inline
+        self.apart: list[int] = []  # places of elements that may not stand between a list item and its end
+
+    def push(self, tag: str) -> None:
+        n = len(self.stack)
+        self.stack.append(tag)
+        self.at[tag].append(n)
+        if tag not in _INLINE:
+            self.blocks.append(n)
+        if tag not in _BETWEEN:
+            self.apart.append(n)
+
+    def cut(self, left: int) -> None:
+        while len(self.stack) > left:
+            n, tag = len(self.stack) - 1, self.stack.pop()
+            self.at[tag].pop()
+            for places in (self.blocks, self.apart):
+                if places and places[-1] == n:
+                    places.pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these; -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+
+def _left_by_start(tag: str, open_: _Open) -> int:
+    """How many of the open elements stay open when ``tag`` starts."""
+    stack, n = open_.stack, len(open_.stack)
+    if tag in _ENDS:
         ended, barrier = _ENDS[tag]
-        for i in range(n - 1, -1, -1):
-            if stack[i] in ended:
-                while i and stack[i - 1] in ended:
-                    i -= 1
-                return i
-            if (stack[i] in barrier) if barrier else (stack[i] not in _BETWEEN):
-                break
-    if tag in _BLOCKS and opened["p"] > 0:
-        i = n
-        while i and stack[i - 1] in _INLINE:
-            i -= 1
-        if i and stack[i - 1] == "p":
-            return i - 1
+        i = open_.last(*ended)
+        wall = open_.last(*barrier) if barrier else open_.apart[-1] if open_.apart else -1
+        if i >= 0 and i >= wall:
+            while i and stack[i - 1] in ended:
+                i -= 1
+            return i
+    if tag in _BLOCKS and open_.at["p"]:
+        i = open_.blocks[-1]
+        if stack[i] == "p":
+            return i
     return n
 
 
-def _left_by_end(tag: str, stack: list[str]) -> int:
+def _left_by_end(tag: str, open_: _Open) -> int:
     """How many of the open elements stay open after the end tag of ``tag``; a surplus one ends nothing."""
-    n = len(stack)
-    for i in range(n - 1, -1, -1):
-        if stack[i] == tag:
-            return i
-        if stack[i] not in _INLINE if tag in _INLINE else stack[i] in _TABLE and tag not in _TABLE and tag not in _NEVER:
-            break
-    return n
+    i = open_.last(tag)
+    if tag in _INLINE:
+        wall = open_.blocks[-1] if open_.blocks else -1
+    else:
+        wall = -1 if tag in _TABLE or tag in _NEVER else open_.last(*_TABLE)
+    return i if i >= 0 and i >= wall else len(open_.stack)
+
 
+#: Elements inside each other, each told to be aside by a class word, that may hold a page's only heading.
+DEEP = 4
 
-def text_lines(page: str) -> list[tuple[str, int, bool]]:
+Line = tuple[str, int, bool]
+
+
+def text_lines(page: str) -> list[Line]:
     """The page without markup: a line for every block, as (text, its characters outside links and white space, in the article).
 
-    A block of menus, forms, adverts and the like leaves one empty line. A block that only a part of a class word tells to
-    be one ("has-sidebar") stays if it holds the page's main element or its first article; without an article its
-    first h1, and without that more than half of its text.
+    Blocks of menus, forms, adverts and the like leave one empty line, as many as stand in a row. A block that only a part of
+    a class word tells to be one ("has-sidebar") stays if it holds the page's main element or its first article; without an
+    article its first h1, and without that more than half of its text. One that a whole class word tells ("search") stays if no
+    main element, article or h1 is outside such blocks, and it holds one and more than half of the page's text. Where the main
+    element holds at least half of what articles and main elements say, articles outside it are cards of other pages.
     """
-    lines: list[tuple[str, int, bool, int, int]] = []  # and the group it is in, the group whose place it holds
+    spared: set[int] = set()
+    for _ in range(DEEP):
+        lines, hidden, heads = _read(page, spared)
+        total = sum(n for _, n, _ in hidden) + sum(plain for _, plain, _ in lines)
+        more = {at for at, n, head in hidden if head and 2 * n > total}
+        if heads or not more:
+            break
+        spared |= more
+    else:
+        lines, _, _ = _read(page, spared)
+    return [x for x, before in zip(lines, [("x", 0, False), *lines]) if x[0] or before[0]]
+
+
+def _read(page: str, spared: set[int]) -> tuple[list[Line], list[tuple[int, int, bool]], bool]:
+    """(lines, what class words hide as (place, characters, with a main element, article or h1), whether one of these is outside); the
+    elements at the places ``spared`` are not hidden."""
+    lines: list[tuple[str, int, bool, int, int, bool]] = []  # and the group it is in, the group whose place it holds, in the main element
+    hidden: list[list] = []
+    main, by_name = 0, False  # by_name: the skipped element is one by a class word
     parts: list[str] = []
     plain, link, article, skip, at = 0, 0, 0, -1, 0  # skip: the open elements outside the skipped one
     folded, last = page.lower(), {}  # the last end tag of each kind
-    stack: list[str] = []
-    opened: Counter[str] = Counter()
+    if len(folded) != len(page):  # lower-casing may lengthen a letter; tags are ASCII
+        folded = page.translate(_LOWER)
+    open_ = _Open()
+    stack = open_.stack
     groups: list[tuple[int, int, int]] = []  # the open ones: number, open elements and articles outside
     n_groups, held = 0, {}  # the groups around the first main, article and h1
 
@@ -161,7 +217,7 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         line = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if line:
-            lines.append((line, plain, article > 0, groups[-1][0] if groups else 0, 0))
+            lines.append((line, plain, article > 0, groups[-1][0] if groups else 0, 0, main > 0))
         plain = 0
 
     def said(raw: str) -> None:
@@ -170,11 +226,17 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             plain += 0 if link else len(_SPACE.sub("", text))
+        elif raw and by_name:
+            hidden[-1][1] += len(_SPACE.sub("", raw))
+
+    def last_end(tag: str) -> int:
+        if tag not in last:
+            last[tag] = folded.rfind(f"</{tag}")
+        return last[tag]
 
     def leave(left: int) -> None:
         nonlocal article
-        opened.subtract(stack[left:])
-        del stack[left:]
+        open_.cut(left)
         while groups and len(stack) <= groups[-1][1]:
             close()
             article = min(article, groups.pop()[2])
@@ -195,16 +257,16 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             if tag not in _INLINE:
                 close()
             if not (single and tag in ("svg", "math")):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if last.setdefault(tag, folded.rfind(f"</{tag}")) >= at else None
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if last_end(tag) >= at else None
                 if not end:
                     last[tag] = -1  # nor is there one further on
                 if end or tag in _UNPARSED:
                     at = end.end() if end else n
             continue
         if closing:
-            left = _left_by_end(tag, stack) if opened[tag] > 0 else len(stack)
+            left = _left_by_end(tag, open_)
         else:
-            left = _left_by_start(tag, stack, opened)
+            left = _left_by_start(tag, open_)
         own = left == skip and closing and stack[left] == tag
         if left < len(stack):
             leave(left)
@@ -216,27 +278,29 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         opens = not closing and not single and tag not in _VOID
         if skip >= 0:
             if opens:
-                stack.append(tag)
-                opened[tag] += 1
+                open_.push(tag)
+                if by_name and tag in ("main", "article", "h1"):
+                    hidden[-1][2] = True
             continue
-        kind = _aside(tag, m[3], article) if opens else 0
-        if kind and (tag in _OPTIONAL or last.setdefault(tag, folded.rfind(f"</{tag}")) >= at):
+        kind = _aside(tag, m[3], article) if opens and m.start() not in spared else 0
+        if kind and (tag in _OPTIONAL or last_end(tag) >= at):
             close()
-            if kind == 2 or tag in _INLINE:
-                lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, 0))
+            if kind >= 2 or tag in _INLINE:
+                by_name = kind == 2
+                if by_name:
+                    hidden.append([m.start(), 0, tag in ("main", "article", "h1")])
+                lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, 0, main > 0))
                 skip = len(stack)
-                stack.append(tag)
-                opened[tag] += 1
+                open_.push(tag)
                 continue
             n_groups += 1
-            lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, n_groups))
+            lines.append(("", 0, article > 0, groups[-1][0] if groups else 0, n_groups, main > 0))
             groups.append((n_groups, len(stack), article))
         elif kind:  # never closed: only its tag is left out
             close()
             continue
         if opens:
-            stack.append(tag)
-            opened[tag] += 1
+            open_.push(tag)
             if tag in ("main", "article", "h1"):
                 held.setdefault(tag, [g for g, _, _ in groups])
         if tag == "a":
@@ -247,18 +311,24 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             close()
             if tag in ("article", "main"):
                 article = max(0, article + (-1 if closing else 1))
+                if tag == "main":
+                    main = max(0, main + (-1 if closing else 1))
     close()
+    said_in = [sum(x[1] for x in lines if x[2] and x[5] == inside) for inside in (False, True)]
+    if 0 < said_in[1] >= said_in[0]:
+        lines = [(*x[:2], x[2] and x[5], *x[3:]) for x in lines]
+    marked = bool(held)
     if not n_groups:
-        return [x[:3] for x in lines]
+        return [x[:3] for x in lines], hidden, marked
     keep = {0, *held.get("main", ()), *held.get("article", held.get("h1", ()))}
     if "article" not in held and "h1" not in held:
         inside, parent = [0] * (n_groups + 1), {x[4]: x[3] for x in lines if x[4]}
-        for _, k, _, g, _ in lines:
+        for _, k, _, g, _, _ in lines:
             inside[g] += k
         for g in range(n_groups, 0, -1):
             inside[parent[g]] += inside[g]
         keep |= {g for g in parent if 2 * inside[g] > inside[0]}
-    return [x[:3] for x in lines if x[3] in keep and (not x[4] or x[4] not in keep)]
+    return [x[:3] for x in lines if x[3] in keep and (not x[4] or x[4] not in keep)], hidden, marked
 
 
 def main_text(page: str | None, lines: int = LINES, dense: int = DENSE) -> str:
