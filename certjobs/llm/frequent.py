@@ -39,7 +39,7 @@ def frequent_hashes(texts: DataFrame, kind: np.ndarray, lower: bool, per_row: Ca
                 keys, counts = keys[keep], counts[keep]
 
         for batch in batches:
-            for w in slices(batch.column(0), kind, lower):
+            for w in slices(batch.column(0), kind, lower, 1 << 20):
                 rows += w.rows
                 for r in range(w.rows):
                     h = per_row(w, r)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import NONE, attach, components, forget, text_of, without, written
+from certjobs.llm.common import NONE, attach, components, forget, gate_bits, text_of, without, written
 from certjobs.llm.frequent import among, frequent_hashes
 from certjobs.llm.words import NOT_SPACE, Words, grams, mix, signed, slices, whole
 
@@ -21,8 +21,10 @@ HOT = 1 / 2000
 #: Independent minima by which documents are first put into groups, and how many must agree.
 MINIMA = 8
 AGREEING = 4
-#: Bits of the gate that spares taking texts apart which no candidate needs (a fixed 2 MB).
+#: Least bits of the gate that spares taking texts apart which no candidate needs (2 MB); it grows with the candidates, to 32 MB.
 GATE_BITS = 1 << 24
+#: Bytes of text that a task takes apart at a time.
+STEP = 1 << 20
 #: Sets of one document's partners that a task compares together, on average, and members of a list that meet together.
 PAIRS = 256
 BLOCK = 500
@@ -68,7 +70,7 @@ def _sketch(size: int, least: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column(0)
-            for w in slices(batch.column(1), NOT_SPACE, True):
+            for w in slices(batch.column(1), NOT_SPACE, True, STEP):
                 cols: list[list] = [[] for _ in range(4)]
                 for r in range(w.rows):
                     s = shingles(w, r, size)
@@ -122,11 +124,11 @@ def _shared(least: int):
     return run
 
 
-def _gate(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has the slot of every id, gathered as its 512 parts."""
-    slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)) + 1  # the first bitmap holds 1 to 32768
+def _gate(ids: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits that has the slot of every id, gathered as parts of 4 KB."""
+    slot = F.pmod(F.xxhash64("d"), F.lit(size)) + 1  # the first bitmap holds 1 to 32768
     parts = ids.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    bits = np.zeros(GATE_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in parts.collect():
         raw = np.frombuffer(r["bits"], np.uint8)
         bits[(r["part"] - 1) * 4096 :][: len(raw)] |= raw
@@ -140,7 +142,7 @@ def _sets(size: int, bits: np.ndarray, frequent: np.ndarray):
         for batch in batches:
             slot = np.asarray(batch.column(1))
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
-            for w in slices(batch.column(2), NOT_SPACE, True) if batch.num_rows else ():
+            for w in slices(batch.column(2), NOT_SPACE, True, STEP) if batch.num_rows else ():
                 sets = [shingles(w, r, size) for r in range(w.rows)]
                 hot = [among(s, frequent) for s in sets]
                 made = [
@@ -348,8 +350,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     narrow = written(sketch.select("d", "tag", "u", "n"), "rows")
     forget(sketch)  # prefixes are a third of all shingles
 
-    slot = F.pmod(F.xxhash64("d"), F.lit(GATE_BITS)).alias("slot")
-    made = _sets(size, _gate(alive.select(F.col("rep").alias("d"))), frequent)
+    bits = max(GATE_BITS, gate_bits(alive.count()))
+    slot = F.pmod(F.xxhash64("d"), F.lit(bits)).alias("slot")
+    made = _sets(size, _gate(alive.select(F.col("rep").alias("d")), bits), frequent)
     passed = written(texts.select("d", slot, "text").mapInArrow(made, "d long, u long, rare array<long>, hot array<long>, mins array<long>"), "passed")
     # what the gate let through besides is known by ids alone, so that whole sets are not shuffled to drop it
     gone = written(passed.select("d", "u").join(alive.select(F.col("rep").alias("d"), "u"), ["d", "u"], "left_anti"), "gone")

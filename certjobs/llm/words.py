@@ -110,9 +110,10 @@ def signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def slices(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool) -> Iterator[Words]:
-    """The words of a string column, a bounded slice of rows at a time; null counts as empty."""
-    arr = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")
+def slices(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool, size: int = SLICE) -> Iterator[Words]:
+    """The words of a string column, a slice of rows of about ``size`` bytes at a time; null counts as empty."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    arr = pc.fill_null(arr, "") if arr.null_count else arr
     if not len(arr):
         return
     wide = pa.types.is_large_string(arr.type)
@@ -120,7 +121,7 @@ def slices(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool) ->
     data = np.frombuffer(arr.buffers()[2], np.uint8) if arr.buffers()[2] is not None and arr.buffers()[2].size else np.empty(0, np.uint8)
     r = 0
     while r < len(arr):
-        to = max(r + 1, int(np.searchsorted(offsets, offsets[r] + SLICE, "right")) - 1)
+        to = max(r + 1, int(np.searchsorted(offsets, offsets[r] + size, "right")) - 1)
         buf, cuts = data[offsets[r] : offsets[to]], offsets[r : to + 1] - offsets[r]
         if lower:
             buf = LOWER[buf]
