@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certjobs.llm.common import attach, read_table, settled, text_of, without, written
+from certjobs.llm.common import attach, forget, read_table, settled, text_of, without, written
 from certjobs.llm.decontaminate import decontaminate
 from certjobs.llm.exact_dedup import exact_dedup
 from certjobs.llm.near_dups import near_duplicates
@@ -77,9 +77,13 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("ngram_jaccard", near),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages, each over what the one before it kept; a stage's table goes once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
 
 
