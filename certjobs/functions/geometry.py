@@ -78,3 +78,20 @@ def region_hits(lines: DataFrame, regions: DataFrame, tolerance: float = TOLERAN
     inside = cx.between(F.col("r.x1") - tolerance, F.col("r.x2") + tolerance) & cy.between(F.col("r.y1") - tolerance, F.col("r.y2") + tolerance)
     joined = lines.alias("l").join(F.broadcast(regions.alias("r")), inside & (F.col("l.layout_page") == F.col("r.page")))
     return joined.select("l.doc_id", "l.page_no", "l.line_no", "r.region")
+
+
+def cell_hits(lines: DataFrame, layouts: DataFrame, tolerance: float = TOLERANCE, cells: int = 10) -> DataFrame:
+    """``region_hits`` for any number of layouts: each line meets the regions of its own layout (``layout_id``) and page that reach into
+    the cell of a grid where its centre lies. An equi-join on layout, page and cell; boxes are compared for what meets there only.
+
+    A region has a row for each cell that it reaches into, with the tolerance, at most ``cells + 2`` squared; cells beyond the page's
+    edges are one each. Lines are compared with the regions of one cell, so each pair meets once.
+    """
+    cell = lambda v: F.greatest(F.lit(-1), F.least(F.lit(cells), F.floor(v * cells))).cast("int")
+    reach = lambda low, high: F.sequence(cell(F.col(low) - tolerance), cell(F.col(high) + tolerance))
+    wide = layouts.withColumn("gx", F.explode(reach("x1", "x2"))).withColumn("gy", F.explode(reach("y1", "y2"))).alias("r")
+    cx, cy = center(F.col("x1"), F.col("x2"), F.col("image_width")), center(F.col("y1"), F.col("y2"), F.col("image_height"))
+    placed = lines.withColumns({"cx": cx, "cy": cy}).withColumns({"gx": cell(F.col("cx")), "gy": cell(F.col("cy"))}).alias("l")
+    same = (F.col("l.layout_id") == F.col("r.layout_id")) & (F.col("l.layout_page") == F.col("r.page")) & (F.col("l.gx") == F.col("r.gx")) & (F.col("l.gy") == F.col("r.gy"))
+    inside = F.col("l.cx").between(F.col("r.x1") - tolerance, F.col("r.x2") + tolerance) & F.col("l.cy").between(F.col("r.y1") - tolerance, F.col("r.y2") + tolerance)
+    return placed.join(wide, same & inside).select("l.doc_id", "l.page_no", "l.line_no", "l.layout_id", "r.region")

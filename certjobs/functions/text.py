@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Unicode has it, with the four separators below U+0020.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
@@ -21,7 +21,17 @@ WORD_DIGITS, WORD_LETTERS = "01458", "OIASB"
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition; ASCII and null values pass untouched."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return texts.map(_composed)
+
+
+def _composed(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else unicodedata.normalize("NFKC", text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(lists: pd.Series) -> pd.Series:
+    """``nfkc`` for lists of texts."""
+    return lists.map(lambda texts: None if texts is None else [_composed(t) for t in texts])
 
 
 def normalize_whitespace(c: Column, compose: bool = False) -> Column:

@@ -5,8 +5,21 @@
 
 from __future__ import annotations
 
-from certjobs.functions.geometry import PAGE_1, PAGE_2
-from certjobs.functions.numbers import SCALES, WORDS
+#: Fixed values, written here once more so that a wrong table in the library does not pass: the layout's regions by page (x1, y1, x2, y2
+#: in hundredths, distinctive_numbers from 73.5 on).
+REGIONS = """
+1 certificate_number 0 0 20 7 | 1 number_of_shares_box 80 0 100 7 | 1 company_name 8 10 92 26 | 1 registered_office 10 26 90 31
+1 authorised_capital 8 31 92 35 | 1 holder_name 10 44 80 53 | 1 shares_and_face_value 8 53 95 64 | 1 issue_date 8 63 75 71
+1 distinctive_numbers 5 73.5 45 80 | 1 signatures 50 71 98 92 | 2 transfer_table 0 5 100 100 | 2 transfer_table_header 0 5 100 10
+2 column_date 0 0 13 100 | 2 column_transfer_no 13 0 25 100 | 2 column_transferee 25 0 66 100 | 2 column_ledger_folio 66 0 80 100
+2 column_signature 80 0 100 100
+"""
+LAYOUT = {(int(p), name): tuple(float(v) / 100 for v in box) for p, name, *box in (r.split() for r in REGIONS.replace("|", "\n").strip().splitlines())}
+#: Number words.
+NUMBERS = (
+    "zero 0 one 1 two 2 three 3 four 4 five 5 six 6 seven 7 eight 8 nine 9 ten 10 eleven 11 twelve 12 thirteen 13 fourteen 14 fifteen 15 sixteen 16 seventeen 17 "
+    "eighteen 18 nineteen 19 twenty 20 thirty 30 forty 40 fifty 50 sixty 60 seventy 70 eighty 80 ninety 90 hundred 100 thousand 1000 lakh 100000 lac 100000 crore 10000000"
+)
 
 CONF = "(CAST(0.80 AS DOUBLE) + ({k} % 20) / CAST(100.0 AS DOUBLE))"
 NOISE = "' .:;,-_''\"|'"
@@ -57,12 +70,12 @@ def date(c: str) -> str:
 
 def words(c: str) -> str:
     """Number words, by a fold over (total, current, value)."""
-    case = "CASE {w} " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in WORDS.items()) + " END"
+    case = "CASE {w} " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in zip(NUMBERS.split()[::2], NUMBERS.split()[1::2], strict=True)) + " END"
     fixed = "lower(translate(upper(x), '01458', 'OIASB'))"
     tokens = f"list_filter(regexp_extract_all(lower({norm(c)}), '[a-z0-9]+'), lambda x: x NOT IN ('and','only','rupees','rs','shares','share'))"
     values = f"list_transform({tokens}, lambda x: coalesce({case.format(w='x')}, {case.format(w=fixed)}))"
     states = f"list_concat([{{'t': 0::BIGINT, 'c': 0::BIGINT, 'v': 0::BIGINT}}], list_transform({values}, lambda x: {{'t': 0::BIGINT, 'c': 0::BIGINT, 'v': x::BIGINT}}))"
-    most = min(n for w, n in SCALES.items() if w != "hundred")
+    most = 1000
     step = (
         "{'t': CASE WHEN b.v >= " + str(most) + " THEN a.t + (CASE WHEN a.c = 0 THEN 1 ELSE a.c END) * b.v ELSE a.t END, "
         "'c': CASE WHEN b.v >= " + str(most) + " THEN 0 WHEN b.v = 100 THEN (CASE WHEN a.c = 0 THEN 1 ELSE a.c END) * 100 ELSE a.c + b.v END, 'v': b.v}"
@@ -72,7 +85,7 @@ def words(c: str) -> str:
 
 
 def inside(region: str, page: int = 1, tolerance: float = 0.05) -> str:
-    x1, y1, x2, y2 = (PAGE_1 if page == 1 else PAGE_2)[region]
+    x1, y1, x2, y2 = LAYOUT[page, region]
     return f"(cx BETWEEN {x1 - tolerance!r}::DOUBLE AND {x2 + tolerance!r}::DOUBLE AND cy BETWEEN {y1 - tolerance!r}::DOUBLE AND {y2 + tolerance!r}::DOUBLE)"
 
 

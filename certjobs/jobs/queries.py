@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from certjobs.functions import text as text_
 from certjobs.functions.dates import normalize_date
-from certjobs.functions.geometry import region_hits, template_regions
+from certjobs.functions.geometry import cell_hits, region_hits, template_regions
 from certjobs.functions.numbers import parse_decimal, parse_shares_count, safe_decimal, safe_int, words_to_number
 from certjobs.jobs import extraction
-from certjobs.jobs.oracle import BASE, date, norm, words
+from certjobs.jobs.oracle import BASE, LAYOUT, date, norm, words
 from certjobs.operators import fields as fields_
 from certjobs.operators import pages as pages_
 from certjobs.operators import quality, report, tables
 from certjobs.operators import transfers as transfers_
 from certjobs.sources import derived, io
 from certjobs.sources.store import Store, shared_folder, store_run
+from certjobs.streaming.documents import extract_documents
 from certjobs.streaming.progress import extract_page_stream, merge_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,10 +316,20 @@ def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest_review(derived.reviews(spark, sf_dir)).drop("reviewed_at")
 
 
+#: Fixed values, written once more for the SQL: the labels of the export and of the listing.
+_EXPORTED = (
+    "source_file=File name|certificate_no=Certificate No|company_name=Company Name|share_holder_name=First Share Holder Name|number_of_shares=No of Shares|"
+    "share_type=Share Type|distinctive_from=From Distinctive No|distinctive_to=To Distinctive No|date_of_issue=Date of Issue|"
+    "present_share_holder_name=Present Share Holder Name|present_transfer_date=Present Transfer Date|present_folio_no=Present Folio No|"
+    "validation_status=Validation Status|validation_flags=Validation Flags|needs_review=Needs Review|overall_confidence=Overall Confidence"
+)
+_LISTED = (
+    "source_file=File|company_name=Name of Share|present_folio_no=Folio No|registered_folio_no=Registered Folio No|certificate_no=Certificate No|"
+    "share_holder_name=Name of Share Holder|number_of_shares=No of Shares|face_value=Face Value / Share|share_type=Share Type"
+)
+_pairs = lambda text: [pair.split("=") for pair in text.split("|")]
 _LABELS = ", ".join(
-    f"coalesce({c if c != 'needs_review' else 'upper(substr(needs_review::VARCHAR, 1, 1)) || substr(needs_review::VARCHAR, 2)'}::VARCHAR, '') AS \"{label}\""
-    for c, label in tables.EXPORT.items()
-    if c not in ("registered_folio_no", "face_value")
+    f"coalesce({c if c != 'needs_review' else 'upper(substr(needs_review::VARCHAR, 1, 1)) || substr(needs_review::VARCHAR, 2)'}::VARCHAR, '') AS \"{label}\"" for c, label in _pairs(_EXPORTED)
 )
 
 
@@ -335,7 +346,7 @@ def export_failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT "
-    + ", ".join(f'{c if c != "registered_folio_no" else "NULL::VARCHAR"} AS "{label}"' for c, label in tables.LISTING.items())
+    + ", ".join(f'{c if c != "registered_folio_no" else "NULL::VARCHAR"} AS "{label}"' for c, label in _pairs(_LISTED))
     + """, CASE WHEN needs_review THEN 'Needs review' ELSE 'OK' END AS "Status" FROM certs"""
 )
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,11 +408,7 @@ def series_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.series_consistency(_certs(spark, sf_dir).join(derived.documents(spark, sf_dir).select("doc_id", "job_id"), "doc_id"), "job_id")
 
 
-_REGIONS = "UNION ALL ".join(
-    f"SELECT {page} AS page, '{name}' AS region, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1, {x2}::DOUBLE AS x2, {y2}::DOUBLE AS y2 "
-    for page, regions in ((1, "PAGE_1"), (2, "PAGE_2"))
-    for name, (x1, y1, x2, y2) in getattr(__import__("certjobs.functions.geometry", fromlist=["x"]), regions).items()
-)
+_REGIONS = "UNION ALL ".join(f"SELECT {page} AS page, '{name}' AS region, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1, {x2}::DOUBLE AS x2, {y2}::DOUBLE AS y2 " for (page, name), (x1, y1, x2, y2) in LAYOUT.items())
 
 
 @query(
@@ -565,18 +572,64 @@ def live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUTED, _FRONT = "min(page_no) FILTER (page2_no IS NULL OR page_no <> page2_no) AS page1_no", "min(page_no) FILTER (page_type = 'certificate_front') AS page1_no"
 
 
-@query(
-    BASE.replace(_ROUTED, _FRONT)
-    + "SELECT field_name, source, count(*) AS n, count(value) AS filled FROM fields GROUP BY ALL UNION ALL SELECT 'fronts', NULL, count(*), NULL FROM typed WHERE page_type = 'certificate_front'",
-    base=False,
-)
+@query(BASE.replace(_ROUTED, _FRONT) + "SELECT fields.*, page1_no AS page_no FROM fields JOIN routed USING (doc_id) WHERE page1_no IS NOT NULL", base=False)
 def page_stream_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's stateless extraction over all pages at rest, each page by itself, with the number of front pages."""
+    """The stream's stateless extraction over all pages at rest: all that it says of each document's front page."""
+    return extract_page_stream(derived.certificate_pages(spark, sf_dir))
+
+
+@query("SELECT doc_id, certificate_no, company_name, validation_status, present_share_holder_name, present_transfer_date, needs_review FROM certs")
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of whole documents does once it has all pages of one, over all documents at rest."""
     pages = derived.certificate_pages(spark, sf_dir)
-    found = extract_page_stream(pages)
-    fronts = found.filter("field_name = 'company_name'").agg(F.count("*").alias("n"))
-    by_field = found.groupBy("field_name", "source").agg(F.count("*").alias("n"), F.count("value").alias("filled"))
-    return by_field.unionByName(fronts.select(F.lit("fronts").alias("field_name"), F.lit(None).cast("string").alias("source"), "n", F.lit(None).cast("long").alias("filled")))
+    docs = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "image_width", "image_height", "lines")).alias("pages"))
+    certs = extraction.tables_of(extract_documents(docs))["certificates"]
+    return certs.select("doc_id", "certificate_no", "company_name", "validation_status", "present_share_holder_name", "present_transfer_date", "needs_review")
+
+
+@query("SELECT doc_id, page_no, line_no, text FROM lines")
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as JSON and read again, composed as they are read; one row a line."""
+    folder = shared_folder(spark)
+    io.write_json(derived.certificate_pages(spark, sf_dir), folder)
+    return io.read_pages(spark, folder, "json", compose=True).select("doc_id", "page_no", F.explode("lines").alias("x")).select("doc_id", "page_no", "x.line_no", "x.text")
+
+
+@query(
+    """, f AS (SELECT job_id, fields.* FROM fields JOIN docs USING (doc_id) WHERE job_id <> 3)
+SELECT field_name, count(*) AS n, count(value) AS filled, round(avg(confidence), 4) AS mean_confidence, round(avg(needs_review::INT::DOUBLE), 4) AS review_share FROM f GROUP BY field_name"""
+)
+def merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field summary from partial sums by job: of half the jobs, then of the others and job 4 again, without the cleared job 3."""
+    docs = derived.documents(spark, sf_dir).select("doc_id", "job_id")
+    fields = _run(spark, sf_dir)["fields"].join(docs, "doc_id")
+    first, later = report.field_partials(fields.filter("job_id % 2 = 0")), report.field_partials(fields.filter("job_id % 2 = 1 OR job_id = 4"))
+    return report.merged_summary(report.replace_partials(first, later).filter("job_id <> 3"))
+
+
+@query(
+    f""", layout AS ({_REGIONS}), many AS (SELECT c_custkey AS layout_id, page, region, x1 + (c_custkey % 7) * 0.01::DOUBLE AS x1, y1, x2 + (c_custkey % 7) * 0.01::DOUBLE AS x2, y2 FROM customer, layout)
+SELECT l.doc_id, l.page_no, line_no, region FROM lines l JOIN typed t ON l.doc_id = t.doc_id AND l.page_no = t.page_no JOIN orders ON o_orderkey = l.doc_id
+JOIN many ON layout_id = o_custkey AND page = CASE WHEN page_type = 'transfer_ledger' THEN 2 ELSE 1 END
+WHERE cx BETWEEN many.x1 - 0.05::DOUBLE AND many.x2 + 0.05::DOUBLE AND cy BETWEEN many.y1 - 0.05::DOUBLE AND many.y2 + 0.05::DOUBLE"""
+)
+def many_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a layout for each customer, as many as there are: lines meet them by layout and cell of the page."""
+    shift = (F.col("c_custkey") % 7) * F.lit(0.01)
+    layouts = derived.table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(template_regions(spark)))  # 17 rows by definition
+    layouts = layouts.select(F.col("c_custkey").alias("layout_id"), "page", "region", (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
+    pages = pages_.classify_pages(derived.certificate_pages(spark, sf_dir))
+    kind = F.when(F.col("page_type") == "transfer_ledger", 2).otherwise(1).alias("layout_page")
+    lines = pages.select("doc_id", "page_no", "image_width", "image_height", kind, F.explode("lines").alias("x")).select("*", "x.*").drop("x")
+    owner = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("layout_id"))
+    return cell_hits(lines.join(owner, "doc_id"), layouts).select("doc_id", "page_no", "line_no", "region")
+
+
+@query("SELECT certs.*, job_id FROM certs JOIN docs USING (doc_id) WHERE job_id = 4 AND doc_id > 5000 ORDER BY doc_id LIMIT 100")
+def results_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a job's stored results behind a document; the limit is the feature."""
+    found = tables.page_after(_stored(spark, sf_dir).table("certificates", 4), 5000)
+    return found.withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS, "job_id")
 
 
 @query("SELECT doc_id, page_no, count(*) AS n, string_agg(text, '|' ORDER BY line_no) AS texts FROM lines GROUP BY doc_id, page_no")

@@ -74,6 +74,13 @@ def page_of(ordered: DataFrame, number: int, size: int = 100) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, after: int | None = None, size: int = 100) -> DataFrame:
+    """The page of ``rows`` by doc_id that comes behind the last one of the page before. Of stored tables, which are sorted by doc_id
+    within files, only row groups that reach beyond ``after`` are read, and each task passes on ``size`` rows at most; so a
+    page costs the same wherever it is, and nothing is sorted whole."""
+    return (rows if after is None else rows.filter(F.col("doc_id") > after)).orderBy("doc_id").limit(size)
+
+
 def nested_results(certs: DataFrame, fields: DataFrame, transfers: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Certificates with their fields, transfers and outcomes as sorted arrays; each child is grouped before its join."""
 

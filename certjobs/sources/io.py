@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certjobs.functions.text import nfkc
+from certjobs.functions.text import nfkc_all
 
 #: What may be uploaded.
 EXTENSIONS = ["pdf", "png", "jpg", "jpeg", "tiff", "tif", "webp", "bmp"]
@@ -57,12 +57,13 @@ def fold_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, file_format: str = "parquet", compose: bool = False) -> DataFrame:
-    """Pages in the canonical form. ``compose`` applies NFKC to every line, once, here."""
+    """Pages in the canonical form. ``compose`` applies NFKC to every line, once, here, within the page's row."""
     pages = spark.read.schema(PAGES).format(file_format).load(path)
     if not compose:
         return pages
-    lines = pages.select("doc_id", "page_no", "image_width", "image_height", F.explode("lines").alias("x")).select("*", "x.*").drop("x")
-    return fold_lines(lines.withColumn("text", nfkc(F.col("text"))))
+    texts = pages.withColumn("__texts", nfkc_all(F.transform("lines", lambda x: x["text"])))
+    lines = F.transform("lines", lambda x, i: F.struct(*[(F.get("__texts", i) if f.name == "text" else x[f.name]).alias(f.name) for f in LINE]))
+    return texts.withColumn("lines", F.array_sort(lines)).drop("__texts")
 
 
 def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:

@@ -26,7 +26,7 @@ def extract_page_stream(pages: DataFrame) -> DataFrame:
     """Field rows of each front page, page by page: stateless, so append mode and no watermark. Works on batches alike."""
     front = classify_pages(pages).filter("page_type = 'certificate_front'")
     page = F.struct("page_no", "image_width", "image_height", "lines")
-    return long_fields(extract_fields(front.select("doc_id", page.alias("page1"))))
+    return long_fields(extract_fields(front.select("doc_id", "page_no", page.alias("page1")), keep=["page_no"]), keep=["page_no"])
 
 
 def merge_status(state: DataFrame, events: DataFrame) -> DataFrame:

@@ -3,12 +3,9 @@
 import json
 import os
 
-import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from certjobs.jobs.oracle import BASE
-from certjobs.jobs.queries import page_stream_fields
 from certjobs.operators import quality, report, tables
 from certjobs.operators.pages import page_errors
 from certjobs.sources import io
@@ -62,22 +59,6 @@ def test_stream_is_batch(spark, tmp_path):
     assert whole.count() == 54
 
 
-def test_page_stream_counts_every_document(spark):
-    """Also those whose front is not the page that routing takes: the field rules over each document's one front page."""
-    folder = "/root/testdata/sf0.001"
-    routed = "min(page_no) FILTER (page2_no IS NULL OR page_no <> page2_no) AS page1_no"
-    assert BASE.count(routed) == 1
-    fronts = BASE.replace(routed, "min(page_no) FILTER (page_type = 'certificate_front') AS page1_no")
-    con = duckdb.connect()
-    for name in ("orders", "customer", "nation", "lineitem", "supplier", "events"):
-        con.execute(f"CREATE VIEW {name} AS FROM '{folder}/{name}.parquet'")
-    want = con.execute(fronts + "SELECT field_name, source, count(*), count(value) FROM fields GROUP BY ALL").fetchall()
-    got = [tuple(r) for r in page_stream_fields(spark, folder).collect()]
-    n = next(r[2] for r in got if r[0] == "fronts")
-    assert sorted(r for r in got if r[0] != "fronts") == sorted(want)
-    assert {name: sum(r[2] for r in want if r[0] == name) for name, *_ in want} == dict.fromkeys({r[0] for r in want}, n)
-
-
 def test_status_merge(spark):
     make = lambda *r: spark.createDataFrame(list(r), "doc_id long, job_id long, status string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
     state = merge_status(make((1, 1, "done", 5), (2, 1, "pending", 1)), make((1, 1, "pending", 4), (2, 1, "failed", 2)))
