@@ -49,8 +49,12 @@ def outcomes(docs: DataFrame) -> DataFrame:
     )
 
 
-def run(pages: DataFrame, documents: DataFrame | None = None, validate_transfers: bool = False) -> dict[str, DataFrame]:
-    """documents, certificates, fields, transfers and outcomes of all documents, lazily; with their job_id, if ``documents`` has it.
+TABLES = ("certificates", "fields", "transfers", "outcomes", "documents")
+
+
+def run(pages: DataFrame, documents: DataFrame | None = None, validate_transfers: bool = False, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """documents, certificates, fields, transfers and outcomes of all documents (those of ``names``), lazily; with their job_id, if
+    ``documents`` has it.
 
     What fails is judged along the way: a failed document is in ``documents`` with its error and in no other table. Each table is one
     pass over the pages, with the one shuffle of routing (and that of ``documents``). If several are used, write ``complete`` once and
@@ -58,12 +62,16 @@ def run(pages: DataFrame, documents: DataFrame | None = None, validate_transfers
     """
     docs = routed(pages, documents)
     fine, job = docs.filter("error IS NULL"), _job(docs)
-    certs = rules.certificates(extracted(docs, ledger=True), validate_transfers=validate_transfers, keep=job)
-    judged = rules.certificates(extracted(docs, ledger=validate_transfers), validate_transfers=validate_transfers, keep=job)
-    return {
-        "certificates": certs.drop("outcomes"), "fields": fields_.long_fields(extracted(docs), keep=job), "transfers": transfers.transfer_rows(fine, keep=job),
-        "outcomes": rules.outcome_rows(judged, keep=job), "documents": outcomes(docs),
+
+    def certificates(ledger: bool) -> DataFrame:
+        return rules.certificates(extracted(docs, ledger), validate_transfers=validate_transfers, keep=job)
+
+    made = {
+        "certificates": lambda: certificates(ledger=True).drop("outcomes"), "fields": lambda: fields_.long_fields(extracted(docs), keep=job),
+        "transfers": lambda: transfers.transfer_rows(fine, keep=job), "outcomes": lambda: rules.outcome_rows(certificates(ledger=validate_transfers), keep=job),
+        "documents": lambda: outcomes(docs),
     }
+    return {name: made[name]() for name in names}
 
 
 def complete(docs: DataFrame, validate_transfers: bool = False) -> DataFrame:

@@ -43,8 +43,8 @@ def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]
     return add
 
 
-def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return extraction.run(derived.certificate_pages(spark, sf_dir))
+def _run(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return extraction.run(derived.certificate_pages(spark, sf_dir), names=names or extraction.TABLES)
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> Store:
@@ -58,7 +58,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
 
 def _certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates, the face value as a double."""
-    return _run(spark, sf_dir)["certificates"].withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS)
+    return _run(spark, sf_dir, "certificates")["certificates"].withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS)
 
 
 @query("SELECT * FROM certs")
@@ -80,7 +80,7 @@ def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM fields")
 def fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)["fields"]
+    return _run(spark, sf_dir, "fields")["fields"]
 
 
 def _one_field(name: str) -> None:
@@ -98,7 +98,7 @@ for _name in fields_.NAMES:
 
 @query("SELECT * FROM transfers")
 def transfer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)["transfers"]
+    return _run(spark, sf_dir, "transfers")["transfers"]
 
 
 @query("SELECT doc_id, row_index, line_no, f AS field FROM clustered")
@@ -110,12 +110,12 @@ def ledger_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM present")
 def latest_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers_.latest_transfers(_run(spark, sf_dir)["transfers"])
+    return transfers_.latest_transfers(_run(spark, sf_dir, "transfers")["transfers"])
 
 
 @query("SELECT * FROM counts")
 def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers_.transfer_counts(_run(spark, sf_dir)["transfers"])
+    return transfers_.transfer_counts(_run(spark, sf_dir, "transfers")["transfers"])
 
 
 @query(
@@ -123,12 +123,12 @@ def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     " coalesce(string_agg(ledger_folio_no, '; ' ORDER BY row_index), '') AS folio_history FROM transfers GROUP BY doc_id"
 )
 def transfer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers_.transfer_history(_run(spark, sf_dir)["transfers"])
+    return transfers_.transfer_history(_run(spark, sf_dir, "transfers")["transfers"])
 
 
 @query("SELECT * FROM outcomes")
 def validation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)["outcomes"]
+    return _run(spark, sf_dir, "outcomes")["outcomes"]
 
 
 @query(
@@ -137,13 +137,13 @@ SELECT doc_id, moved >= issued AS passed, CASE WHEN moved >= issued THEN '' ELSE
 FROM w WHERE moved IS NOT NULL AND issued IS NOT NULL"""
 )
 def transfer_date_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extraction.run(derived.certificate_pages(spark, sf_dir), validate_transfers=True)["outcomes"]
+    found = extraction.run(derived.certificate_pages(spark, sf_dir), validate_transfers=True, names=("outcomes",))["outcomes"]
     return found.filter("rule_name = 'transfer_after_issue'").select("doc_id", "passed", "message")
 
 
 @query("SELECT rule_name, passed, count(*) AS n FROM outcomes GROUP BY ALL")
 def rule_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.rule_facet(_run(spark, sf_dir)["outcomes"])
+    return tables.rule_facet(_run(spark, sf_dir, "outcomes")["outcomes"])
 
 
 @query("SELECT * FROM progress")
@@ -179,7 +179,7 @@ SELECT doc_id, job_id, original_filename, coalesce(n, 0) AS num_pages, outcome A
 )
 def document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table that extraction itself gives over pages some of which are spoilt."""
-    return extraction.run(derived.spoilt_pages(spark, sf_dir), derived.documents(spark, sf_dir))["documents"]
+    return extraction.run(derived.spoilt_pages(spark, sf_dir), derived.documents(spark, sf_dir), names=("documents",))["documents"]
 
 
 @query(
@@ -297,7 +297,7 @@ def clear_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tables.review_overlay(_run(spark, sf_dir)["fields"], derived.reviews(spark, sf_dir)).drop("has_value")
+    out = tables.review_overlay(_run(spark, sf_dir, "fields")["fields"], derived.reviews(spark, sf_dir)).drop("has_value")
     return out.withColumn("reviewed_at", F.date_format("reviewed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -355,7 +355,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id || '.pdf' AS file, field_name AS field, value, confidence, needs_review FROM fields")
 def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, sf_dir)
+    out = _run(spark, sf_dir, "fields", "certificates")
     return report.accuracy_rows(out["fields"], out["certificates"])
 
 
@@ -366,7 +366,7 @@ def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
  || ':' || source || ':' || needs_review, '|' ORDER BY field_name) AS fields_text FROM fields GROUP BY doc_id) USING (doc_id)"""
 )
 def accuracy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, sf_dir)
+    out = _run(spark, sf_dir, "certificates", "fields", "transfers", "documents")
     records = report.accuracy_records(out["certificates"], out["fields"], transfers_.transfer_counts(out["transfers"]), out["documents"])
     one = lambda k, v: F.concat_ws(":", F.concat(k, F.lit("="), F.coalesce(v["value"], F.lit("null"))), F.round(v["confidence"] * 10000).cast("long"), v["source"], v["needs_review"].cast("string"))
     each = F.transform(F.array_sort(F.map_entries("fields")), lambda e: one(e["key"], e["value"]))
@@ -377,7 +377,7 @@ def accuracy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT field_name, count(*) AS n, count(value) AS filled, round(avg(confidence), 4) AS mean_confidence, round(avg(needs_review::INT::DOUBLE), 4) AS review_share FROM fields GROUP BY field_name"""
 )
 def field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.field_summary(_run(spark, sf_dir)["fields"])
+    return report.field_summary(_run(spark, sf_dir, "fields")["fields"])
 
 
 @query(
@@ -388,7 +388,7 @@ def expected_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derived.documents(spark, sf_dir).select("doc_id")
     numbers = docs.select("doc_id", F.lit("certificate_no").alias("field_name"), F.concat(F.lit("OB"), F.col("doc_id").cast("string")).alias("expected_value"))
     dates = docs.select("doc_id", F.lit("date_of_issue").alias("field_name"), F.lit("1967-08-14").alias("expected_value"))
-    return report.expected_check(_run(spark, sf_dir)["fields"], numbers.union(dates))
+    return report.expected_check(_run(spark, sf_dir, "fields")["fields"], numbers.union(dates))
 
 
 @query(
@@ -602,7 +602,7 @@ SELECT field_name, count(*) AS n, count(value) AS filled, round(avg(confidence),
 def merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field summary from partial sums by job: of half the jobs, then of the others and job 4 again, without the cleared job 3."""
     docs = derived.documents(spark, sf_dir).select("doc_id", "job_id")
-    fields = _run(spark, sf_dir)["fields"].join(docs, "doc_id")
+    fields = _run(spark, sf_dir, "fields")["fields"].join(docs, "doc_id")
     first, later = report.field_partials(fields.filter("job_id % 2 = 0")), report.field_partials(fields.filter("job_id % 2 = 1 OR job_id = 4"))
     return report.merged_summary(report.replace_partials(first, later).filter("job_id <> 3"))
 
