@@ -37,11 +37,15 @@ def merge_status(state: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(newest.alias("x")).select("doc_id", "x.*")
 
 
+#: The newest status of a document.
+STATUS = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("at", T.LongType())])
+
+
 class Newest(StatefulProcessor):
     """Keeps a document's newest status and gives what changes: one less of what was counted before, one more of what is now."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", T._parse_datatype_string("job_id long, status string, at long"))
+        self.newest = handle.getValueState("newest", STATUS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.newest.get() if self.newest.exists() else None
