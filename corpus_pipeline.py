@@ -20,12 +20,22 @@ from certjobs.llm.quality import fit_quality, score_quality
 LEAST_QUALITY = 0.3
 
 
+#: Most documents that go to a Python worker at once: batches hold whole texts, and a worker and its JVM each several copies of one.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(BATCH_ROWS, int(spark.conf.get(name)) if int(spark.conf.get(name)) > 0 else BATCH_ROWS))
+
+
 def _row() -> dict[str, Column]:
     return {"doc_id": F.col("doc_id"), "tag": F.xxhash64(text_of())}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the compression classifier rejects."""
+    _small_batches(spark)
     model = fit_quality(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     return score_quality(docs, model, name="__score").filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
@@ -50,6 +60,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component of near duplicates the document with the smallest doc_id (null is the smallest; ties by the hash
     of the text). Texts without words are no near duplicates and stay."""
+    _small_batches(spark)
     found = settled(lambda: near_duplicates(docs, tag=_row()["tag"]).filter("group_id IS NOT NULL").select("doc_id", "tag", "group_id"), "components")
 
     def others() -> DataFrame:
@@ -63,6 +74,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of the benchmark."""
+    _small_batches(spark)
     own = docs.toDF(*[f"own_{c}" for c in docs.columns])  # so that no column of documents is taken for an added one
     found = decontaminate(own, read_table(spark, sf_dir, "benchmark"), text="own_text")
     return found.filter("n_hit = 0").select(*own.columns).toDF(*docs.columns)
@@ -70,6 +82,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut into sequences of a power of two tokens."""
+    _small_batches(spark)
     return pack(docs)
 
 
