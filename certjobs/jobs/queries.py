@@ -47,12 +47,16 @@ def _run(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return extraction.run(derived.certificate_pages(spark, sf_dir), names=names or extraction.TABLES)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> Store:
-    """A new store with the results of every job: one pass over the pages, and all tables from it."""
+def _named(*names: str) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    return lambda found: {n: rows for n, rows in extraction.tables_of(found).items() if n in names}
+
+
+def _stored(spark: SparkSession, sf_dir: str, *names: str) -> Store:
+    """A new store with the results of every job: one pass over the pages, and the tables of ``names`` from it."""
     docs = derived.documents(spark, sf_dir)
     store = Store(spark, shared_folder(spark), buckets=8)
     found = extraction.complete(extraction.routed(derived.certificate_pages(spark, sf_dir), docs))
-    store_run(store, found, extraction.tables_of, [r["job_id"] for r in docs.select("job_id").distinct().collect()])
+    store_run(store, found, _named(*names), [r["job_id"] for r in docs.select("job_id").distinct().collect()])
     return store
 
 
@@ -229,7 +233,7 @@ SELECT certs.doc_id, certificate_no, fields_text, coalesce(transfers_text, '') A
 )
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over stored tables, which hold a document's rows together: the joins move nothing."""
-    out = _stored(spark, sf_dir).tables()
+    out = _stored(spark, sf_dir, "certificates", "fields", "transfers", "outcomes").tables()
     nested = tables.nested_results(out["certificates"], out["fields"], out["transfers"], out["outcomes"])
     text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
     return nested.select(
@@ -271,12 +275,13 @@ UNION ALL SELECT 'outcomes', doc_id, count(*) FROM outcomes WHERE doc_id NOT IN
 )
 def bulk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left in each stored table once an owner's failed documents' certificates are deleted."""
-    store, jobs = _stored(spark, sf_dir), derived.jobs(spark, sf_dir).filter("owner = 'user2'").select("job_id")
+    parts = ("certificates", "fields", "transfers", "outcomes")
+    store, jobs = _stored(spark, sf_dir, *parts), derived.jobs(spark, sf_dir).filter("owner = 'user2'").select("job_id")
     docs = derived.documents(spark, sf_dir)
     store.delete(docs.filter("status = 'failed'"), docs.join(jobs, "job_id", "left_semi"))
-    left = {n: store.table(n) for n in ("certificates", "fields", "transfers", "outcomes")}
-    parts = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "doc_id", "n") for name, rows in left.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    left = {n: store.table(n) for n in parts}
+    rows = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "doc_id", "n") for name, rows in left.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
 @query(
@@ -285,10 +290,10 @@ UNION ALL SELECT 'job', job_id, job_id, CASE WHEN job_id = 3 THEN 0 ELSE total E
 )
 def clear_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are left in the store, with their transfers, and all jobs, with their totals. Before that, job 4 is run again."""
-    store, jobs = _stored(spark, sf_dir), derived.jobs(spark, sf_dir)
+    store, jobs = _stored(spark, sf_dir, "documents", "transfers"), derived.jobs(spark, sf_dir)
     again = derived.documents(spark, sf_dir).filter("job_id = 4")
     pages = derived.certificate_pages(spark, sf_dir).join(again.select("doc_id"), "doc_id", "left_semi")
-    store_run(store, extraction.complete(extraction.routed(pages, again)), extraction.tables_of, [4])
+    store_run(store, extraction.complete(extraction.routed(pages, again)), _named("documents", "transfers"), [4])
     store.clear(3)
     counts = store.table("transfers").groupBy("doc_id").agg(F.count("*").alias("transfers"))
     left = store.table("documents").join(counts, "doc_id", "left").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "job_id", F.coalesce("transfers", F.lit(0).cast("long")).alias("n"))
@@ -336,7 +341,7 @@ _LABELS = ", ".join(
 @query(f"""SELECT {_LABELS}, '' AS "Registered Folio No", coalesce(face_value::DECIMAL(12, 2)::VARCHAR, '') AS "Face Value Per Share" FROM certs""")
 def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted as stored, so that the sort's sampling does not run the extraction again."""
-    return tables.export_certificates(_stored(spark, sf_dir).table("certificates"))
+    return tables.export_certificates(_stored(spark, sf_dir, "certificates").table("certificates"))
 
 
 @query("""SELECT original_filename AS "File name", error_stage AS "Error Stage", error_type AS "Error Type", error_message AS "Error Message" FROM docs WHERE status = 'failed'""")
@@ -628,7 +633,7 @@ def many_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT certs.*, job_id FROM certs JOIN docs USING (doc_id) WHERE job_id = 4 AND doc_id > 5000 ORDER BY doc_id LIMIT 100")
 def results_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of a job's stored results behind a document; the limit is the feature."""
-    found = tables.page_after(_stored(spark, sf_dir).table("certificates", 4), 5000)
+    found = tables.page_after(_stored(spark, sf_dir, "certificates").table("certificates", 4), 5000)
     return found.withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS, "job_id")
 
 
