@@ -17,6 +17,7 @@ from certjobs.operators import fields as fields_
 from certjobs.operators import pages as pages_
 from certjobs.operators import quality, report, tables
 from certjobs.operators import transfers as transfers_
+from certjobs.operators.text_index import TextIndex
 from certjobs.sources import derived, io
 from certjobs.sources.store import Store, shared_folder, store_run
 from certjobs.streaming.documents import extract_documents
@@ -256,6 +257,20 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.search(_certs(spark, sf_dir), "NATION_1 ob1", status="failed")
 
 
+@query(
+    """SELECT certs.*, job_id FROM certs JOIN docs USING (doc_id) WHERE needs_review AND list_bool_and(list_transform(['tion_1', 'b12'], lambda w: contains(lower(coalesce(certificate_no, '')), w)
+ OR contains(lower(coalesce(company_name, '')), w) OR contains(lower(coalesce(share_holder_name, '')), w) OR contains(lower(source_file), w)))"""
+)
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substrings found by the index over all stored certificates. Job 4 is indexed a second time before."""
+    certs = _stored(spark, sf_dir, "certificates").table("certificates")
+    index = TextIndex(spark, shared_folder(spark))
+    index.update(certs)
+    index.update(certs.filter("job_id = 4"))
+    found = index.search(certs, "TION_1 b12", review=True)
+    return found.withColumn("face_value", F.col("face_value").cast("double")).select(*CERT_COLUMNS, "job_id")
+
+
 @query(
     """SELECT facet, value, n FROM (SELECT 'needs_review' AS facet, needs_review::VARCHAR AS value, count(*) AS n FROM certs GROUP BY ALL
 UNION ALL SELECT 'validation_status', validation_status, count(*) FROM certs GROUP BY ALL UNION ALL SELECT 'share_type', share_type, count(*) FROM certs GROUP BY ALL)"""
