@@ -19,10 +19,15 @@ WINDOW = 13
 ANCHOR = 6
 #: Anchors that a larger share of the documents hold are dealt apart.
 HOT = 1 / 1000
-#: Runs of one anchor that a task sorts at once; larger groups are split by the longest prefix, the window itself.
+#: Documents of one anchor, and bytes of their windows, that a task sorts at once; groups beyond either are split by the longest
+#: prefix, the window itself.
 GROUP = 5000
-#: Sub-keys that the rows of a large group's window are spread over.
+GROUP_BYTES = 8 << 20
+#: Sub-keys that the rows of a large group's window are spread over: one for so many documents, and so many at least.
+SALT_ROWS = 50_000
 SALTS = 64
+#: Texts that a task remembers in order to pass on few copies.
+REMEMBERED = 1 << 18
 
 
 def anchors(hashes: np.ndarray, window: int, size: int) -> np.ndarray:
@@ -50,6 +55,20 @@ def _own_anchors(window: int, size: int):
     return per_row
 
 
+def _sized_anchors(w: Words, r: int, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a row and the bytes of the windows that each serves."""
+    b, e = int(w.cuts[r]), int(w.cuts[r + 1])
+    a = anchors(w.hashes[b:e], window, size)
+    if not len(a):
+        return a, np.empty(0, np.int64)
+    first = _turns(a)
+    held = np.add.reduceat((w.ends[b + window - 1 : e] - w.starts[b : e - window + 1]).astype(np.int64), first)
+    keys, at = np.unique(a[first], return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, held)
+    return keys, total
+
+
 #: ASCII white space to blanks, byte by byte.
 _BLANKS = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
@@ -66,9 +85,8 @@ def _is_plain(w: Words, a: int, b: int) -> bool:
 
 
 def _emit_anchors(window: int, size: int, hot: np.ndarray):
-    """(d, h, text) -> (d, h, a, hot): the distinct anchors of each document. Of equal texts that a task meets, only those with
-    a smaller key than all before them pass, so the one with the smallest key always does."""
-    per_row = _own_anchors(window, size)
+    """(d, h, text) -> (d, h, a, n, hot): the distinct anchors of each document with the bytes of their windows. Of equal texts
+    that a task remembers, only those with a smaller key than all before them pass, so the one with the smallest key always does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
@@ -78,30 +96,34 @@ def _emit_anchors(window: int, size: int, hot: np.ndarray):
             for d, h in zip(ds, hs, strict=True):
                 keep.append(d < least.get(h, d + 1))
                 if keep[-1]:
+                    if len(least) >= REMEMBERED:
+                        least.clear()
                     least[h] = d
             batch = batch.filter(pa.array(keep, pa.bool_()))
             d, h = (np.asarray(batch.column(c)) for c in (0, 1))
             for w in slices(batch.column(2), NOT_SPACE, False) if batch.num_rows else ():
-                each = [per_row(w, r) for r in range(w.rows)]
+                each, held = zip(*[_sized_anchors(w, r, window, size) for r in range(w.rows)], strict=True)
                 n, a = [len(x) for x in each], np.concatenate(each)
                 rows = slice(w.first, w.first + w.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(d[rows], n)), pa.array(np.repeat(h[rows], n)), pa.array(signed(a)), pa.array(among(a, hot))], ["d", "h", "a", "hot"]
+                    [pa.array(np.repeat(d[rows], n)), pa.array(np.repeat(h[rows], n)), pa.array(signed(a)), pa.array(np.concatenate(held)), pa.array(among(a, hot))],
+                    ["d", "h", "a", "n", "hot"],
                 )
 
     return run
 
 
-def shared_hashes(by_text: bool):
-    """Rows (d, h, a, hot) in order of a -> (d, h, a, large) of the hashes ``a`` that two rows hold (two rows with different h,
+def shared_hashes(by_text: bool, group_bytes: int = GROUP_BYTES):
+    """Rows (d, h, a, n, hot) in order of a -> (d, h, a, large) of the hashes ``a`` that two rows hold (two rows with different h,
     if ``by_text``).
 
-    At most GROUP rows wait at a time: a group that outgrows them is large. Hot ones are large without a look.
+    At most GROUP rows wait at a time: a group that outgrows them is large, and so is one whose sum of n is above ``group_bytes``, however
+    few its rows are. Hot ones are large without a look.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, h, out = [], [], {"d": [], "h": [], "a": [], "large": []}
-        current, flushed = None, False
+        current, flushed, held = None, False, 0
 
         def put(ds, hs, a, large) -> None:
             out["d"] += ds
@@ -112,7 +134,7 @@ def shared_hashes(by_text: bool):
         def close() -> None:
             nonlocal d, h
             if d and (flushed or len(d) > 1 and (not by_text or len(set(h)) > 1)):
-                put(d, h, current, flushed)
+                put(d, h, current, flushed or held > group_bytes)
             d, h = [], []
 
         def batch_of() -> pa.RecordBatch:
@@ -122,20 +144,21 @@ def shared_hashes(by_text: bool):
             return pa.RecordBatch.from_arrays(made, list(out))
 
         for batch in batches:
-            hot = np.asarray(batch.column(3))
-            ds, hs, a = (np.asarray(batch.column(c)) for c in (0, 1, 2))
+            hot = np.asarray(batch.column(4))
+            ds, hs, a, ns = (np.asarray(batch.column(c)) for c in (0, 1, 2, 3))
             if hot.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (ds, hs, a)] + [pa.array(np.ones(int(hot.sum()), bool))], list(out))
-            ds, hs, a = ds[~hot], hs[~hot], a[~hot]
+            ds, hs, a, ns = ds[~hot], hs[~hot], a[~hot], ns[~hot]
             if len(a):
                 # hashes of one row only, neither first nor last of the batch, are settled at once
                 edge = np.concatenate([[True], a[1:] != a[:-1], [True]])
                 alone = edge[:-1] & edge[1:]
                 alone[0] = alone[-1] = False
-                for x, y, z in zip(ds[~alone].tolist(), hs[~alone].tolist(), a[~alone].tolist(), strict=True):
+                for x, y, z, n in zip(*(v[~alone].tolist() for v in (ds, hs, a, ns)), strict=True):
                     if z != current:
                         close()
-                        current, flushed = z, False
+                        current, flushed, held = z, False, 0
+                    held += n
                     d.append(x)
                     h.append(y)
                     if len(d) > GROUP:
@@ -178,8 +201,8 @@ def _runs(window: int, size: int, apart: bool):
                             rows["h"].append(hs[i])
                             rows["at"].append(x)
                             rows["words"].append(joined_words(w, b + x, b + y + window - 2, plain))
-                if len(rows["a"]) > 20_000:
-                    yield _batch(rows)
+                            if len(rows["a"]) > 20_000:
+                                yield _batch(rows)
             yield _batch(rows)
 
     return run
@@ -270,7 +293,9 @@ def _judge(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES
+) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_words``, ``n_removed`` and ``kept_text`` (the words left, joined by one blank).
 
     Words are separated by ASCII white space. A word goes if it lies in a window of ``window`` words that also starts in a
@@ -280,8 +305,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Equal texts are settled first, by their MD5: all but the one with the smallest key lose all windows. Of the others, each
     window goes to the group of its anchor, and only groups that two documents share are looked at: their runs of words
     meet in one shuffle, where the suffixes of a group are sorted into the leaves of its subtree, whose nodes at
-    depth ``window`` are the repeats. A group that outgrows memory is split by the longest prefix, the window
-    itself: then a minimum over each window, combined before its shuffle, takes the place of the sort. The joins of
+    depth ``window`` are the repeats. A group of too many documents, or of windows of too many bytes, as when a few texts repeat
+    one line many times, is split by the longest prefix, the window itself: then a minimum over each window, combined before its shuffle, takes the place of the sort. The joins of
     texts with what was found about them share one exchange by key.
     """
     none = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
@@ -292,9 +317,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = marked.groupBy("c").agg(F.min("d").alias("rep"), F.count("*").alias("size"))
     info = written(attach(marked, classes, ["c"], "size").groupBy("d", "h").agg(F.min("rep").alias("rep")), "copies")
 
-    emitted = rows.mapInArrow(_emit_anchors(window, anchor, hot), "d long, h long, a long, hot boolean")
+    emitted = rows.mapInArrow(_emit_anchors(window, anchor, hot), "d long, h long, a long, n long, hot boolean")
     dealt = emitted.withColumn("p", F.when(F.col("hot"), F.xxhash64("d", "h", "a")).otherwise(F.col("a")))
-    held = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(shared_hashes(True), "d long, h long, a long, large boolean")
+    held = dealt.repartition("p").drop("p").sortWithinPartitions("a").mapInArrow(shared_hashes(True, group_bytes), "d long, h long, a long, large boolean")
     shared = written(held, "shared").join(info.filter("rep = d").select("d", "h"), ["d", "h"], "left_semi")
 
     def runs(large: bool) -> DataFrame:
@@ -302,7 +327,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return rows.join(own, ["d", "h"]).select("d", "h", "text", "shared").mapInArrow(_runs(window, anchor, large), RUNS)
 
     small = runs(False).repartition("a").sortWithinPartitions("a").mapInArrow(_trees(window), "d long, h long, at int")
-    spread = F.pmod(F.xxhash64("d", "h"), F.lit(SALTS)).cast("int")
+    spread = F.pmod(F.xxhash64("d", "h"), F.lit(max(SALTS, info.count() // SALT_ROWS))).cast("int")
     windows = runs(True).select("d", "h", "at", F.unhex(F.md5("words")).alias("w"), spread.alias("s"))
     starts = small.unionByName(_repeated(windows)).groupBy("d", "h").agg(F.collect_list("at").alias("starts"))
 

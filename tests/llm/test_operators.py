@@ -22,7 +22,7 @@ from certjobs.llm.near_dups import _meet, _shared, least_overlap, near_duplicate
 from certjobs.llm.packing import Ids, pack, powers, tokenizer_files
 from certjobs.llm.quality import fit_quality, score_quality
 from certjobs.llm.secrets import scan_secrets
-from certjobs.llm.substring_dedup import substring_dedup
+from certjobs.llm.substring_dedup import GROUP_BYTES, shared_hashes, substring_dedup
 from certjobs.llm.toxicity import Decoder, fit_toxicity, language_model, score_toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -252,6 +252,30 @@ def test_substring_dedup(spark):
     assert removed > 500 and substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_one_line_many_times(spark):
+    """Few documents with very many windows of one anchor: split by the window, with the same result as without."""
+    line = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, f"{line}\n" * 300), (2, f"begin {line} " * 5 + f"{line}\n" * 400), (3, "a " * 3000), (3, "a " * 2999 + "b"), (None, "a " * 50), (5, f"{line} end"), (6, f"x{line} end")]
+    words = [(i, t.split()) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, 99), -1 if i is None else i)
+    want = sorted(str((i, len(w), len({x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < (-1 if i is None else i) for x in range(k, k + 13)}))) for i, w in words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (GROUP_BYTES, 2000):
+        assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"])) for r in substring_dedup(docs, group_bytes=most).collect()) == want
+
+
+def test_groups_are_bounded_by_bytes():
+    """Two rows whose windows are too large to be sorted by one task make a large group; one row alone makes none."""
+    cols = {"d": [1, 2, 1, 2, 3], "h": [11, 12, 11, 12, 13], "a": [5, 5, 6, 6, 7], "n": [9 << 20, 30, 60, 30, 99 << 20]}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols.values()] + [pa.array([False] * 5)], [*cols, "hot"])
+    got = [tuple(r.values()) for b in shared_hashes(True)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == [(1, 11, 5, True), (1, 11, 6, False), (2, 12, 5, True), (2, 12, 6, False)]
+
+
 def test_packing(spark):
     assert powers(2048 * 2 + 5) == [2048, 2048, 4, 1]
     rows = corpus() + [(900, "x <|endoftext|> y"), (901, "emoji 😀 word" * 3)]
