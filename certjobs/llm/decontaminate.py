@@ -19,6 +19,9 @@ WINDOW = 10
 #: shuffle on the window hashes.
 BROADCAST_WINDOWS = 1_500_000
 
+#: Texts of one window that meet its items in one task, where the benchmark is joined.
+SPREAD = 10_000
+
 #: Fixed value: a word of the lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -91,6 +94,16 @@ class WindowSet:
         return np.cumsum(edge[:-1]) > 0, items
 
 
+def _without_words(value: str, hit: np.ndarray) -> str:
+    """A text without its hit words; what stands between words stays."""
+    raw = np.frombuffer(value.encode(), np.uint8)
+    alone = next(slices(pa.array([value], pa.large_string()), ALNUM, True))
+    edge = np.zeros(len(raw) + 1, np.int64)
+    edge[alone.starts[: len(hit)][hit]] += 1
+    np.add.at(edge, alone.ends[: len(hit)][hit], -1)
+    return raw[np.cumsum(edge[:-1]) == 0].tobytes().decode()
+
+
 def _added(batch: pa.RecordBatch, text: str, found: WindowSet, clean: bool) -> list[pa.Array]:
     n_words, n_hit, items, cleaned = [], [], [], []
     for w in slices(batch.column(batch.schema.get_field_index(text)), ALNUM, True):
@@ -102,16 +115,7 @@ def _added(batch: pa.RecordBatch, text: str, found: WindowSet, clean: bool) -> l
         items += [sorted(owners.get(r, ())) for r in range(w.rows)]
         for r in range(w.rows) if clean else ():
             value = batch.column(batch.schema.get_field_index(text))[w.first + r].as_py()
-            if counts[r] and value:
-                raw = np.frombuffer(value.encode(), np.uint8)
-                keep = np.ones(len(raw), bool)
-                a, b = int(w.cuts[r]), int(w.cuts[r + 1])
-                own = slices(pa.array([value], pa.large_string()), ALNUM, True)
-                alone = next(own)
-                for i in np.flatnonzero(hit[a:b]):
-                    keep[int(alone.starts[i]) : int(alone.ends[i])] = False
-                value = raw[keep].tobytes().decode()
-            cleaned.append(value)
+            cleaned.append(_without_words(value, hit[int(w.cuts[r]) : int(w.cuts[r + 1])]) if counts[r] and value else value)
     join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
     return [
         pa.array(join(n_words), pa.int64()),
@@ -123,14 +127,14 @@ def _added(batch: pa.RecordBatch, text: str, found: WindowSet, clean: bool) -> l
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, clean: bool = False, broadcast_windows: int = BROADCAST_WINDOWS,
+    window: int = WINDOW, clean: bool = False, broadcast_windows: int = BROADCAST_WINDOWS, spread: int = SPREAD,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids of the benchmark items found, as sorted strings) and, where
     ``clean`` is set, ``clean_text`` (the text without the hit words).
 
     Words are runs of letters and digits of the lower-cased text. A window is ``window`` consecutive words of an item;
     an item with fewer words is one window. A word inside an occurrence of a window is hit; every hash hit is verified
-    word by word. Null and empty texts have no words; an empty benchmark hits nothing; items with null ids or without
+    word by word, and removal works alike whatever the benchmark's size. Null and empty texts have no words, null stays null; an empty benchmark hits nothing; items with null ids or without
     words are left out; repeated rows are judged alike. Added columns replace columns of the same names.
 
     The benchmark is measured first: up to ``broadcast_windows`` windows (a word may begin one) and sixteen bytes of text for each,
@@ -143,7 +147,7 @@ def decontaminate(
     size = max(size["n"] or 0, (size["b"] or 0) // 16)
     base = docs.drop(*[f.name for f in ADDED])
     if size > broadcast_windows:
-        return _by_shuffle(base, items, text, window, clean)
+        return _by_shuffle(base, items, text, window, clean, spread)
     rows = items.collect()
     found = docs.sparkSession.sparkContext.broadcast(WindowSet([r["item"] for r in rows], [r["text"] for r in rows], window))
 
@@ -178,13 +182,10 @@ def _windows(rows: DataFrame, window: int, sizes: list[int] | None) -> DataFrame
     return rows.mapInArrow(emit, "id string, at long, size int, h long, words binary")
 
 
-def _by_shuffle(base: DataFrame, items: DataFrame, text: str, window: int, clean: bool) -> DataFrame:
+def _by_shuffle(base: DataFrame, items: DataFrame, text: str, window: int, clean: bool, spread: int) -> DataFrame:
     """The same for a benchmark too large to broadcast. Equal texts are scanned once, by their SHA-256; every hit is a hit word by
     word, as the words are part of the key."""
-    if clean:
-        raise ValueError("clean_text needs a benchmark within broadcast_windows")
     owned = written(_windows(items.select("item", "text"), window, None), "windows")
-    owners = owned.groupBy("size", "h", "words").agg(F.collect_set("id").alias("owners"))
     sizes = [r["size"] for r in owned.select("size").distinct().collect()]  # at most ``window`` values
     marked = base.withColumn("__sha", F.sha2(text_of(text), 256))
     texts = marked.groupBy("__sha").agg(F.first(text_of(text)).alias("text"))
@@ -194,28 +195,37 @@ def _by_shuffle(base: DataFrame, items: DataFrame, text: str, window: int, clean
     found = written(passing(_windows(texts, window, sizes), slot, gates).filter("__pass").drop("__pass"), "scanned")
     key = ["size", "h", "words"]
     uses = found.join(owned.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("uses"))
-    hits = attach(found, owners.join(uses, key), key, "uses").filter("owners IS NOT NULL")
-    spans = hits.groupBy("id").agg(
-        F.flatten(F.collect_set("owners")).alias("owners"), F.collect_set(F.struct("at", "size")).alias("spans")
-    )
-    # the union of spans, by a fold over them in order of their starts
-    covered = F.aggregate(
-        F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda s, x: F.struct(
-            (s["n"] + F.greatest(F.lit(0).cast("long"), x["at"] + x["size"] - F.greatest(s["to"], x["at"]))).alias("n"),
-            F.greatest(s["to"], x["at"] + x["size"]).alias("to"),
-        ),
-        lambda s: s["n"],
-    )
-    found = spans.select(F.col("id").alias("__sha"), covered.alias("n_hit"), F.array_sort(F.array_distinct("owners")).alias("items"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    uses = written(uses, "uses")
+    hits = written(attach(found, uses, key, "uses").filter("uses IS NOT NULL"), "hits")
+    spans = hits.groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
+    # a window's texts and its items meet as pairs; the texts of one in many texts are spread over parts, and its items repeated for each
+    parts = F.ceil(F.col("uses") / spread).cast("int")
+    held = hits.select("id", *key, F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).distinct()
+    owners = owned.select(F.col("id").alias("item"), *key).distinct().join(uses, key).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("uses")
+    pairs = held.join(owners, [*key, "part"]).select("id", "item").distinct()
+    items_of = pairs.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [np.diff(w.cuts) for w in slices(batch.column(1), ALNUM, True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64())], ["__sha", "n_words"])
-
-    counts = texts.mapInArrow(count, "__sha string, n_words long")
-    out = marked.join(counts, "__sha", "left").join(found, "__sha", "left")
-    return out.withColumns(
-        {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "clean_text": F.lit(None).cast("string")}
-    ).select(*base.columns, *ADDED.names)
+            n_words, n_hit, cleaned = [], [], []
+            for w in slices(batch.column(1), ALNUM, True):
+                for r in range(w.rows):
+                    n, row = int(w.cuts[r + 1] - w.cuts[r]), w.first + r
+                    edge = np.zeros(n + 1, np.int64)
+                    for span in batch.column(2)[row].as_py() or ():
+                        edge[span["at"]] += 1
+                        edge[span["at"] + span["size"]] -= 1
+                    hit = np.cumsum(edge[:-1]) > 0
+                    n_words.append(n)
+                    n_hit.append(int(hit.sum()))
+                    value = batch.column(1)[row].as_py() if clean else None
+                    cleaned.append(_without_words(value, hit) if value and n_hit[-1] else value)
+            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(cleaned, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["__sha", "n_words", "n_hit", "clean_text"])
+
+    judged = texts.join(spans.withColumnRenamed("id", "__sha"), "__sha", "left").select("__sha", "text", "spans")
+    judged = judged.mapInArrow(judge, "__sha string, n_words long, n_hit long, clean_text string").join(items_of.withColumnRenamed("id", "__sha"), "__sha", "left")
+    out = marked.join(judged, "__sha", "left").withColumns(
+        {"items": F.coalesce("items", F.array().cast("array<string>")), "clean_text": F.when(F.col(text).isNotNull(), F.col("clean_text"))}
+    )
+    return out.select(*base.columns, *ADDED.names)

@@ -230,10 +230,23 @@ def test_decontaminate(spark, limit):
     assert decontaminate(frame(spark, []), bench, broadcast_windows=limit).count() == 0
 
 
-def test_clean_text(spark):
-    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
-    out = decontaminate(spark.createDataFrame([(1, "a, B  c-d; é.")], "doc_id long, text string"), bench, clean=True).first()
-    assert out["clean_text"] == "a,   -; é." and out["n_hit"] == 3
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_clean_text(spark, limit):
+    bench = spark.createDataFrame([(1, "b c d"), (2, "C-D é"), (3, None), (None, "a")], "item_id long, text string")
+    rows = [(1, "a, B  c-d; é."), (2, None), (3, ""), (4, "a, B  c-d; é."), (4, "B c d"), (5, "c d 𝒜 É"), (None, "x b c d C D é"), (6, "B c d. " * 4000 + "end")]
+    out = decontaminate(spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, n_hit string"), bench, clean=True, broadcast_windows=limit)
+    want = [(1, "a,   -; .", 4), (2, None, 0), (3, "", 0), (4, "a,   -; .", 4), (4, "  ", 3), (5, "c d 𝒜 É", 0), (None, "x      ", 6), (6, "  . " * 4000 + "end", 12_000)]
+    assert sorted(str((r["doc_id"], r["clean_text"], r["n_hit"])) for r in out.collect()) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("spread", [10_000, 3])
+def test_many_items_and_texts_of_one_window(spark, spread):
+    """Items and texts of a shared window meet whole, also where the window's texts are dealt in parts."""
+    bench = spark.createDataFrame([(i, f"one two three {'' if i % 2 else 'four'}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i} one two three {'four' if i < 10 else 'x'}") for i in range(60)], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate(docs, bench, window=4, broadcast_windows=0, spread=spread).collect()}
+    odd, all_items = sorted(str(i) for i in range(1, 40, 2)), sorted(map(str, range(40)))
+    assert got == {i: all_items if i < 10 else odd for i in range(60)}
 
 
 def test_substring_dedup(spark):
