@@ -72,7 +72,8 @@ def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def write_json(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines, compressed, as they name every field of every line; Spark reads them as they are."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, options: dict[str, str]) -> None:
