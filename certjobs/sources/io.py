@@ -71,9 +71,9 @@ def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_json(records: DataFrame, path: str) -> None:
-    """JSON lines, compressed, as they name every field of every line; Spark reads them as they are."""
-    records.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip").json(path)
+def write_json(records: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines; they name every field of every line, so large tables are a fraction of that with ``compression`` "gzip"."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, options: dict[str, str]) -> None:

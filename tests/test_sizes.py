@@ -141,7 +141,7 @@ def test_a_nested_page_is_labelled_once(spark):
 
 def test_pages_are_written_compressed_and_read_again(spark, tmp_path):
     pages = derived.certificate_pages(spark, SF)
-    io.write_json(pages, str(tmp_path / "pages"))
+    io.write_json(pages, str(tmp_path / "pages"), compression="gzip")
     written = list((tmp_path / "pages").glob("part-*"))
     assert written and all(p.name.endswith(".json.gz") for p in written)
     plain = sum(len(r["value"]) + 1 for r in pages.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect())
